@@ -1,0 +1,271 @@
+"""Operators on texts against brute force over small tables."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from trialgrid.llm import decontam, htmltext, langid, media, neardup, pii, secrets, substrings
+
+SF = "/root/testdata/sf0.001"
+
+
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+
+
+@pytest.fixture(params=["given", "odd", "none"])
+def docs(request, spark, odd_documents, no_documents):
+    return {"given": documents(spark), "odd": odd_documents, "none": no_documents}[request.param]
+
+
+def joined(spans):
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+
+
+def same(got, want):
+    assert Counter(map(tuple, got)) == Counter(map(tuple, want))
+
+
+# --- 2 ---
+
+
+def test_media(spark, docs):
+    got = media.media_features(media.read_archives(spark, media.write_archives(docs, 1 << 14), 4096)).collect()
+    want = []
+    for doc, text in docs.select("doc_id", "text").collect():
+        raw = (text or "").encode()
+        full = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        want.append((doc, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:])))
+    same([(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got], want)
+    assert all(r.media_bytes == r.payload_bytes + media.HEADER for r in got)
+
+
+# --- 3 ---
+
+
+def base_secrets(text):
+    out = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [(k, s, e) for s, _, k, e in sorted(out)]
+
+
+def test_secret_base_spans(spark, docs):
+    extra = spark.createDataFrame([(70, "é😀 secret: token: abcdefghij password = 'xyz' Token=\"abcd1234EFGH\" AKIAABCDEFGHIJKL AKIA1 " + "0f" * 20), (71, "token==abcdefghi passwd:passwd=longenough1")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(extra)
+    got = secrets.digests(secrets.find(docs)).collect()
+    want = []
+    for doc, text in docs.collect():
+        spans = base_secrets(text or "")
+        n = Counter(k for k, _, _ in spans)
+        want.append((doc, n["assign"], n["access"], n["hex"], hashlib.sha256(joined(spans).encode()).hexdigest()))
+    same([r[:5] for r in got], want)
+
+
+def test_weak_parts_need_a_partner(spark):
+    far = "x " * 300
+    alone = f"client_id = abcd99 {far} https://host.example/path {far} Ab3dEf6hIj9kLm2nOp5q"
+    together = "client_id = abcd99 at https://host.example/path with Ab3dEf6hIj9kLm2nOp5q"
+    rows = secrets.find(spark.createDataFrame([(1, alone), (2, together)], "doc_id long, text string")).collect()
+    kinds = {r.doc_id: [s.kind for s in r.spans] for r in rows}
+    assert kinds == {1: [], 2: ["ident", "endpoint", "mixed"]}
+
+
+# --- 4 ---
+
+
+def test_language(spark, odd_documents, no_documents):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.identify(docs).withColumn("held", langid.held_out(docs.doc_id)).filter("held").select("lang", "lang_pred", "score").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows) > 100
+    assert all(0 <= r.score <= 1 for r in rows)
+    odd = {(r.doc_id, r.lang_pred) for r in langid.identify(odd_documents).collect() if r.lang_pred == "und"}
+    assert odd == {(2, "und"), (4, "und"), (5, "und")}
+    assert langid.identify(no_documents).count() == 0
+
+
+def test_gram_slices_are_whole(monkeypatch):
+    text = "the quick brown fox jumps over the lazy dog " * 9
+    whole = Counter(np.concatenate(list(langid.grams(text))).tolist())
+    monkeypatch.setattr(langid, "_SLICE", 7)
+    assert Counter(np.concatenate(list(langid.grams(text))).tolist()) == whole
+
+
+# --- 5 ---
+
+
+def base_personal(text):
+    digits = lambda m: re.sub(r"[^0-9]", "", m[0])
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m)) <= 15]
+
+
+TRICKY = "a@b@c.com x.y+z@d-e.f.g_q@h.ij 1.2.3.4.5.6.7.8 256.1.1.1 001.2.3.4 4111 1111-1111 1111 4111111111111112 +1 (23) 456-78.90 +12 +++123456789 @ a@ @b.c é😀u@v.w"
+
+
+def test_personal_base_spans(spark, docs):
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(70, TRICKY)], "doc_id long, text string"))
+    got = pii.digests(pii.find(docs)).collect()
+    want = []
+    for doc, text in docs.collect():
+        spans = base_personal(text or "")
+        n = Counter(k for k, _, _ in spans)
+        want.append((doc, n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(joined(spans).encode()).hexdigest()))
+    same([r[:6] for r in got], want)
+
+
+def test_repeated_token_takes_the_label(spark):
+    text = "call +1 555 010 9999 or +1-555-010-8888 today, that is 1-555-010-8888 again and order 77 of 12 rooms"
+    rows = pii.find(spark.createDataFrame([(1, text), (2, "order 15550108888 rooms")], "doc_id long, text string")).collect()
+    added = {r.doc_id: [(s.kind, text[s.start : s.end]) for s in r.spans if s not in r.base] for r in rows}
+    assert added == {1: [("phone", "1-555-010-8888")], 2: []}
+    assert pii.redact(spark.createDataFrame([(1, "mail a@b.cd now")], "doc_id long, text string")).first().text == "mail <email> now"
+
+
+def test_marginals_match_enumeration():
+    rng = np.random.RandomState(1)
+    unary, pair = rng.normal(size=(4, 3)), rng.normal(size=(3, 3, 3))
+    edges = np.array([[0, 1], [1, 2], [1, 3]])  # a tree: the messages are exact
+    p = np.zeros((4, 3))
+    for y in np.ndindex(3, 3, 3, 3):
+        w = np.exp(sum(unary[i, y[i]] for i in range(4)) + sum(pair[k, y[a], y[b]] for k, (a, b) in enumerate(edges)))
+        for i in range(4):
+            p[i, y[i]] += w
+    assert np.abs(pii.marginals(unary, edges, pair) - p / p.sum(1, keepdims=True)).max() < 1e-3
+
+
+# --- 6 ---
+
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def item_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(_LOWER))
+
+
+def contamination(docs, items):
+    windows = defaultdict(set)
+    for item, text in items:
+        w = item_words(text)
+        for i in range(max(1, len(w) - 9)) if w else ():
+            windows[tuple(w[i : i + 10])].add(item)
+    out = []
+    for doc, text in docs:
+        w, hit, held = item_words(text), set(), set()
+        for n in {len(x) for x in windows}:
+            for i in range(len(w) - n + 1):
+                if own := windows.get(tuple(w[i : i + n])):
+                    hit.update(range(i, i + n))
+                    held |= {str(x) for x in own if x is not None}
+        out.append((doc, len(w), len(hit), len(held), hashlib.sha256(",".join(sorted(held)).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+def test_contamination(spark, docs):
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(80, "One two THREE four five six seven eight nine ten eleven zebra a a a a")], "doc_id long, text string"))
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "zebra"), (3, None), (4, "..."), (5, "a a a"), (6, "Zebra!"), (7, "the cat sat on the mat by the door of the old")], "item_id long, text string")
+    if docs.count() > 50:
+        items = items.unionByName(spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text"))
+    same(decontam.report(docs, items).collect(), contamination(docs.collect(), items.collect()))
+
+
+def test_no_items(spark, odd_documents):
+    assert not any(r.contaminated for r in decontam.report(odd_documents, spark.createDataFrame([], "item_id long, text string")).collect())
+
+
+# --- 7 ---
+
+
+def spaced(text, lower=False):
+    text = text or ""
+    return re.findall(r"[^\x20\x09-\x0D]+", text.translate(_LOWER) if lower else text)
+
+
+def near(rows, threshold=85):
+    sets = []
+    for _, text in rows:
+        w = spaced(text, True)
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[find(i)] = min(least.get(find(i), doc), doc)
+    return [(doc, len(sets[i]), c := least.get(find(i), doc), doc == c) for i, (doc, _) in enumerate(rows)]
+
+
+def test_near_duplicates(spark, docs):
+    rng = np.random.RandomState(3)
+    made = []
+    for g in range(12):
+        words = [f"w{rng.randint(5000)}" for _ in range(120 + 10 * g)]
+        for c in range(6):
+            copy = list(words)
+            for _ in range(c // 2):
+                copy[rng.randint(len(copy))] = "changed"
+            made.append((1000 + 10 * g + c, " ".join(copy)))
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    same(neardup.near_duplicates(docs).collect(), near([tuple(r) for r in docs.collect()]))
+
+
+# --- 8 ---
+
+
+def without_repeats(rows):
+    seen, out = set(), []
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        w, gone = spaced(text), set()
+        for i in range(len(w) - 19):
+            key = tuple(w[i : i + 20])
+            if key in seen:
+                gone.update(range(i, i + 20))
+            seen.add(key)
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((doc, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("heavy", [3, 4000])
+def test_repeated_windows(spark, docs, heavy, monkeypatch):
+    monkeypatch.setattr(substrings, "HEAVY", heavy)
+    rng = np.random.RandomState(5)
+    passage = [f"p{i}" for i in range(60)]
+    made = [(2000 + i, " ".join([f"a{rng.randint(9999)}" for _ in range(rng.randint(30))] + passage[rng.randint(20) :] + [f"b{rng.randint(9999)}" for _ in range(20)] + ["same"] * rng.randint(50))) for i in range(40)]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    same(substrings.digests(substrings.remove_repeats(docs)).collect(), without_repeats([tuple(r) for r in docs.collect()]))
+
+
+# --- 9 ---
+
+
+def test_pages(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r for r in htmltext.extract(given).collect()}
+    assert len(got) == given.count()
+    for r in given.collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)
+        text = got[r.page_id].text
+        assert got[r.page_id].n_chars == len(text)
+        if article:
+            plain = lambda h: re.sub(r"\s+", "", __import__("html").unescape(re.sub(r"<[a-zA-Z/!][^>]*>", " ", h)))
+            assert re.sub(r"\s+", "", text) == plain(article[1])
+    odd = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>a &lt; b<br>c   d</p><p>e"), (None, "u", "<nav>x</nav>")], "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in htmltext.extract(odd).collect()}
+    assert texts == {1: "", 2: "", 3: "a < b c d\ne", None: ""}
+    assert htmltext.extract(odd.limit(0)).count() == 0

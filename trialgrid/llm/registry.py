@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trialgrid.llm import packing, token_store
+from trialgrid.llm import decontam, htmltext, langid, media, neardup, packing, pii, secrets, substrings, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +24,51 @@ def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, length=4096))
 
 
+def op2_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.read_archives(spark, media.write_archives(_table(spark, sf_dir, "documents"))))
+
+
+def op3_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find(_table(spark, sf_dir, "documents")))
+
+
+def op4_language_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op5_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op6_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
+def op9_html_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.write_store(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
     return token_store.document_digests(spark, path)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_packing, op10_content_addressed_store)}
+    named = (
+        op1_hilbert_packing, op2_media_archives, op3_linked_secrets, op4_language_naive_bayes, op5_pii_skip_chain,
+        op6_prefix_decontamination, op7_minhash_inverted_join, op8_super_kmers, op9_html_subsequence, op10_content_addressed_store,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_prefix_decontamination": decontam.ORACLE}
