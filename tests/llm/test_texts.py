@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trialgrid.llm import decontam, htmltext, langid, media, neardup, pii, secrets, substrings
 
@@ -80,7 +81,7 @@ def test_weak_parts_need_a_partner(spark):
 
 def test_language(spark, odd_documents, no_documents):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = langid.identify(docs).withColumn("held", langid.held_out(docs.doc_id)).filter("held").select("lang", "lang_pred", "score").collect()
+    rows = langid.identify(docs).withColumn("held", langid.held_out(F.col("doc_id"))).filter("held").select("lang", "lang_pred", "score").collect()
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows) > 100
     assert all(0 <= r.score <= 1 for r in rows)
     odd = {(r.doc_id, r.lang_pred) for r in langid.identify(odd_documents).collect() if r.lang_pred == "und"}

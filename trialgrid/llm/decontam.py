@@ -88,6 +88,13 @@ def report(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Rows of `docs` in which no item window occurs."""
+    _, _, found = occurrences(docs, items, size)
+    bad = stored(found.select("rid").distinct(), "contaminated")
+    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(bad, F.col("__rid") == F.col("rid"), "left_anti").drop("__rid")
+
+
 #: The same rows in SQL, by whole windows.
 ORACLE = r"""
 with dw as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),

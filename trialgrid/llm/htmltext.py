@@ -105,7 +105,7 @@ def main_text(page: str, weights: dict[tuple[str, str], float]) -> str:
         if total <= 0:
             total, start = 0.0, i
         total += score
-        if total > best:
+        if total > 0 and total >= best:
             best, best_at = total, (start, i + 1)
     blocks: dict[int, list[str]] = {}
     for kind, text, where, bad, block, _ in found[slice(*best_at)]:

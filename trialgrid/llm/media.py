@@ -30,7 +30,7 @@ from trialgrid.llm.common import new_path
 
 BLOCK, RATE, HEADER = 64, 8000, 44
 _ENTRY = np.dtype([("member", "<i8"), ("offset", "<u8"), ("size", "<u8"), ("n_bytes", "<u8"), ("doc_id", "<i8"), ("known", "<u1")])
-_TAIL = struct.Struct("<QQ4s")
+_TAIL = "<QQ4s"
 SCHEMA = "member long, doc_id long, n_bytes long, media binary"
 
 
@@ -60,7 +60,7 @@ def _archive_writer(folder: str, archive_bytes: int):
 
         def close():
             directory = np.array(entries, _ENTRY).tobytes()
-            stream.write(directory + _TAIL.pack(at, len(entries), b"TARC"))
+            stream.write(directory + struct.pack(_TAIL, at, len(entries), b"TARC"))
             stream.close()
             done.append((name, at, len(entries)))
 
@@ -129,7 +129,7 @@ class _Reader(DataSourceReader):
                 return f.read_at(size, offset)
 
         size = files.get_file_info(base).size
-        start, count, magic = self._again(lambda: _TAIL.unpack(at(size - _TAIL.size, _TAIL.size)))
+        start, count, magic = self._again(lambda: struct.unpack(_TAIL, at(size - struct.calcsize(_TAIL), struct.calcsize(_TAIL))))
         if magic != b"TARC":
             raise ValueError(f"{partition.path} has no directory")
         directory = np.frombuffer(self._again(lambda: at(start, count * _ENTRY.itemsize)), _ENTRY)

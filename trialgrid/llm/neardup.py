@@ -151,8 +151,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(_linked(threshold)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
+    """Per row: rid (monotonically increasing over `docs`), doc_id, n, root (null for empty sets), component_id."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(rows.mapInArrow(_signed, "rid long, doc_id long, n long, h1 long, h2 long, keys array<long>"), "signed")
     light = signed.select("rid", "doc_id", "n", "h1", "h2")
@@ -160,10 +160,22 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     roots = _class_components(docs, signed, classes, threshold)
     named = classes.join(roots, classes.cid == roots.node, "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(least, "root").select("h1", "h2", F.col("n").alias("size"), "component_id")
+    of = named.join(least, "root").select("h1", "h2", F.col("n").alias("size"), "root", "component_id")
     out = light.join(of, (light.h1 == of.h1) & (light.h2 == of.h2) & (light.n == of.size), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("rid", "doc_id", "n", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    return _grouped(docs, threshold).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, threshold: int = 85) -> DataFrame:
+    """Rows of `docs`, one of each group: the one with the smallest doc_id (null last), of those the first. Empty texts all stay."""
+    found = _grouped(docs, threshold)
+    stays = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best")).select(F.col("best.rid").alias("stays"))
+    stays = stored(stays.unionByName(found.filter("root is null").select(F.col("rid").alias("stays"))), "stays")
+    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(stays, F.col("__rid") == F.col("stays"), "left_semi").drop("__rid")
 
 
 def _class_components(docs: DataFrame, signed: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:

@@ -109,7 +109,7 @@ def train(docs: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarra
     counts = docs.select("text").mapInArrow(_tally, "what string, shape string, a int, b int, n long").groupBy("what", "shape", "a", "b").agg(F.sum("n").alias("n")).collect()
     n = len(KINDS) + 1
     shapes: dict[str, np.ndarray] = {}
-    pairs = {"chain": np.ones((n, n)), "skip": np.full((n, n), 0.5) + 20 * np.eye(n)}
+    pairs = {"chain": np.ones((n, n)), "skip": np.full((n, n), 0.5) + 200 * np.eye(n)}
     for r in counts:
         if r.what == "shape":
             shapes.setdefault(r["shape"], np.full(n, 0.5) + np.eye(n)[0] * 2)[r.a] += r.n
