@@ -165,7 +165,9 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     packed = stored(packed.join(heavy.withColumn("heavy", F.lit(True)), "minimiser", "left").select(*[c.split()[0] for c in _PACKED.split(", ")], F.coalesce("heavy", F.lit(False)).alias("heavy")), "packed")
     light = packed.filter("not heavy").drop("heavy").repartition(partitions(spark), "minimiser").sortWithinPartitions("minimiser").mapInArrow(_bucketed, "rid long, start int, stop int")
     single = packed.filter("heavy").drop("heavy").mapInArrow(_singly, "h1 long, h2 long, doc_id long, rid long, start int")
+    # written first, so that the join has shuffles of its own and Spark can split a window that a third of all documents have
     firsts = single.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rid", "start")).alias("first"), F.count("*").alias("m")).filter("m > 1").select("h1", "h2", "first")
+    firsts = stored(firsts, "firsts")
     again = single.join(firsts, ["h1", "h2"]).filter(F.struct("doc_id", "rid", "start") != F.col("first")).select("rid", "start", (F.col("start") + SPAN).cast("int").alias("stop"))
     return light.unionByName(again)
 
