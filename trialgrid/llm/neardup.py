@@ -14,8 +14,13 @@ shingle). Documents with Jaccard similarity of at least `threshold` (in hundredt
 4. Linked classes need to be connected, not listed pair by pair. In each list all members are compared with the one that
    has the fewest own shingles; the verified links give components. Then, in each list, each component's best member is
    compared with the list's best. These steps cost a row per posting.
-5. The rest is exact: classes of a list that are in different components still are compared pair by pair, if the
-   bound of step 3 and the number of equal coordinates allow a link, once for each pair. Every link is confirmed on full sets.
+5. The rest is exact. The lists of one centre form a group; its core holds the items of more than half of the members, and a
+   member's difference d is what it has beside the core or lacks of it. Two sets x, y differ in |dx| + |dy| - 2 |dx & dy| items, so
+   with excess = 185 |d| - 15 n (at 85) they are linked just when 370 |dx & dy| >= excess x + excess y. Members whose excess and
+   the group's least one add up to 0 or less are linked with that one for certain; any other pair has to share
+   ceil((excess + least excess) / 370) items of d, so it meets in a prefix of the rarest ones. At each such item all are compared with
+   one first; then pairs that are in different components still, by their differences. Copies with changes of their own share
+   few of these, so a large group of them forms few pairs. Every link is confirmed on full sets.
 
 Null and empty texts and those without words have an empty set, are linked with nothing and keep their own row. Rows that
 repeat a doc_id are one document if they have one set; component_id is the smallest doc_id of the component. A null doc_id is
@@ -32,6 +37,8 @@ from pyspark.sql import functions as F
 from trialgrid.llm.common import gram_hash, mix64, stored, text_slices, word_table
 
 WORDS, COORDINATES, ROWS, MATCH = 5, 48, 2, 19
+#: Differences of more items don't travel with each posting; their pairs are confirmed on full sets alone.
+CARRIED = 512
 PREFIX = COORDINATES - MATCH + 1
 _random = np.random.RandomState(20)
 _A = _random.randint(1, 1 << 62, COORDINATES * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -205,30 +212,52 @@ def _class_components(docs: DataFrame, signed: DataFrame, classes: DataFrame, th
     again = heads.join(split, "k").filter("root <> best.root").select(F.col("head.cid").alias("a"), F.col("best.cid").alias("b")).distinct()
     links = stored(links.unionByName(_verified(again.join(links, ["a", "b"], "left_anti"), sets, threshold)), "links")
 
-    # what is left of a list in several components: every pair across components that may reach the threshold
-    placed = _placed(alive, connected(links, "cc"), "placed")
-    sizes = placed.groupBy("k", "root").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("k").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("k", "main")
-    few = placed.join(main, "k").filter("root <> main")
-    keys = signed.select(F.col("rid").alias("cid"), "keys").join(live, "cid")
-    few = stored(few.select("k", "c", "cid", "n", "own", "root").join(keys, "cid"), "few")
-    many = stored(placed.join(few.select("k").distinct(), "k").join(main, "k").join(keys, "cid"), "many")
-    x, y = few.alias("x"), many.alias("y")
-    both = F.zip_with("x.keys", "y.keys", lambda a, b: a == b)
-    may = (
-        (F.col("x.k") == F.col("y.k"))
-        & (F.col("x.root") != F.col("y.root"))
-        & ((F.col("y.root") == F.col("y.main")) | (F.col("x.cid") < F.col("y.cid")))
-        & (rest * F.least(F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own")) >= threshold * (F.col("x.own") + F.col("y.own")))
-        & (100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n"))
-        & (F.array_position(both, True) == F.col("x.c") + 1)  # only where the pair meets first
-        & (F.size(F.filter(both, lambda e: e)) >= MATCH)
-    )
-    pairs = x.join(y, may).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-    found = stored(links.unionByName(_verified(pairs, sets, threshold)), "links")
+    # what is left: members of a centre's lists in different components
+    group = alive.select("centre", "cid").distinct().join(connected(links, "cc").withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    split = group.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("centre")
+    posted, sure = _differences(group.join(split, "centre"), sets, threshold)
+    heads = posted.groupBy("centre", "item").agg(F.min_by(F.struct("cid", "n", "excess", "size", "d"), F.struct("excess", "cid")).alias("h")).select("centre", "item", "h.*")
+    star = _close(posted.alias("x"), heads.alias("y"), threshold, F.col("x.cid") != F.col("y.cid"))
+    links = stored(links.unionByName(_verified(sure.unionByName(star).distinct(), sets, threshold)), "links")
+    again = posted.join(connected(links, "cc").withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    again = stored(again, "apart")
+    pairs = _close(again.alias("x"), again.alias("y"), threshold, (F.col("x.root") != F.col("y.root")) & (F.col("x.cid") < F.col("y.cid")))
+    found = stored(links.unionByName(_verified(pairs.distinct(), sets, threshold)), "links")
     return connected(found, "cc")
 
 
+def _differences(group: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Postings (centre, item, cid, n, excess, size, d) of step 5 and the pairs (a, b) that are links for certain.
+
+    A core has fewer items than two mean sets of its group, as each is in more than half of them.
+    """
+    have = group.join(sets, "cid").select("centre", "cid", "items")
+    sizes = group.groupBy("centre").agg(F.count("*").alias("m"))
+    core = have.select("centre", F.explode("items").alias("item")).groupBy("centre", "item").agg(F.count("*").alias("f")).join(sizes, "centre").filter("2 * f > m").groupBy("centre").agg(F.collect_list("item").alias("core"))
+    both = have.join(core, "centre", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
+    apart = both.select("centre", "cid", F.size("items").alias("n"), F.concat(F.array_except("items", "core"), F.array_except("core", "items")).alias("d"))
+    apart = stored(apart.withColumn("size", F.size("d")).withColumn("excess", (100 + threshold) * F.col("size") - (100 - threshold) * F.col("n")), "differences")
+    least = apart.groupBy("centre").agg(F.min(F.struct("excess", "cid")).alias("least"))
+    apart = apart.join(least, "centre")
+    sure = apart.filter((F.col("excess") + F.col("least.excess") <= 0) & (F.col("cid") != F.col("least.cid"))).select(F.col("cid").alias("a"), F.col("least.cid").alias("b"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col("least.excess")) / (2 * (100 + threshold))))
+    each = apart.select("centre", "cid", (F.col("size") - need + 1).alias("prefix"), F.explode("d").alias("item")).filter("prefix > 0")
+    often = apart.select("centre", F.explode("d").alias("item")).groupBy("centre", "item").agg(F.count("*").alias("f"))
+    place = F.row_number().over(Window.partitionBy("centre", "cid").orderBy("f", "item"))
+    prefix = each.join(often, ["centre", "item"]).withColumn("place", place).filter("place <= prefix and f > 1").select("centre", "cid", "item")
+    small = apart.select("centre", "cid", "n", "excess", "size", F.when(F.col("size") <= CARRIED, F.col("d")).alias("d"))
+    return stored(prefix.join(small, ["centre", "cid"]), "postings"), sure
+
+
+def _close(x: DataFrame, y: DataFrame, threshold: int, which: Column) -> DataFrame:
+    """Pairs (a, b) of postings x and y of one item whose differences allow a link (where both are carried: that are one)."""
+    shared = F.when(F.col("x.d").isNotNull() & F.col("y.d").isNotNull(), F.size(F.array_intersect("x.d", "y.d"))).otherwise(F.least("x.size", "y.size"))
+    sized = 100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
+    linked = 2 * (100 + threshold) * shared >= F.col("x.excess") + F.col("y.excess")
+    meet = (F.col("x.centre") == F.col("y.centre")) & (F.col("x.item") == F.col("y.item"))
+    return x.join(y, meet & which & sized & linked).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+
+
 def _placed(alive: DataFrame, roots: DataFrame, name: str) -> DataFrame:
     out = alive.select("k", "c", "cid", "n", "own").join(roots, alive.cid == roots.node, "left")
     return stored(out.select("k", "c", "cid", "n", "own", F.coalesce("root", "cid").alias("root")), name)
