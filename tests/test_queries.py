@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import trialgrid.plans.statistics  # noqa: F401  registers its queries
 from trialgrid.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"

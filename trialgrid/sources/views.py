@@ -59,6 +59,12 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), at(0).alias("x"), at(1).alias("y"), at(2).alias("z"), F.col("label").alias("class"))
 
 
+def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per trial and feature."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("trial"), "label", F.posexplode("embedding").alias("pos", "value"))
+    return rows.select("trial", "label", F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value"))
+
+
 SQL = """
 signal_rows as (select s_name as channel, n_name as subject, r_name as roi, case when s_nationkey % 2 = 0 then 'L' else 'R' end as hemi,
   l_returnflag as description, l_linestatus as phase, l_linenumber as trial,
