@@ -1,6 +1,7 @@
 """Operators on texts against brute force over small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -225,6 +226,32 @@ def test_near_duplicates(spark, docs):
     same(neardup.near_duplicates(docs).collect(), near([tuple(r) for r in docs.collect()]))
 
 
+def test_near_duplicates_below_85(spark):
+    rng = np.random.RandomState(4)
+    made = []
+    for g in range(30):  # a changed word costs five shingles of some 300: similarities of copies are 0.74, 0.66 and 0.60
+        words = [f"g{g}w{i}" for i in range(300)]
+        for c in range(3):
+            copy = list(words)
+            for i in rng.choice(60, 3 * c + 3, replace=False):
+                copy[5 * i + 2] = f"changed{c}"
+            made.append((10 * g + c, " ".join(copy)))
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    want = near(made, 60)
+    assert want != near(made, 85)
+    same(neardup.near_duplicates(docs, 60).collect(), want)
+
+
+def test_coordinates_by_threshold():
+    assert neardup.match_of(85) == 19 and neardup.match_of(100) == neardup.COORDINATES
+    for threshold in range(51, 100):
+        p, m = (threshold / 100) ** 2, neardup.match_of(threshold)
+        missed = lambda k: sum(math.comb(48, i) * p**i * (1 - p) ** (48 - i) for i in range(k))
+        assert missed(m) < 1e-6 <= missed(m + 1)
+    with pytest.raises(ValueError):
+        neardup.match_of(50)
+
+
 # --- 8 ---
 
 

@@ -5,9 +5,9 @@ shingle). Documents with Jaccard similarity of at least `threshold` (in hundredt
 
 1. Equal sets form a class, so exact copies cost one row each and no pair. One member of a class stands for it.
 2. A signature has 48 coordinates, each the minima of two hash functions. Every class is posted under each pair of
-   (coordinate, value). Two classes at the threshold agree in 34.7 coordinates on average and in fewer than `MATCH` = 19 with
-   a chance below one in a million. So a class with fewer than 19 shared postings is skipped, and only the first
-   48 - 19 + 1 = 30 coordinates (the prefix) have to be joined: a pair that agrees in 19 meets in one of them.
+   (coordinate, value). Two classes at the threshold agree in fewer than `match_of(threshold)` coordinates with a chance below
+   one in a million (at 85: in 34.7 on average, and in fewer than 19). So a class with fewer shared postings is skipped, and only
+   the first 48 - 19 + 1 = 30 coordinates (the prefix) have to be joined: a pair that agrees in 19 meets in one of them.
 3. Classes that remain get their full sets. `own` counts the shingles that no other remaining class has. As
    intersection <= size - own on either side and union >= intersection + own + other's own, a member of a posting list whose
    own shingles are too many even for the list's best partner is skipped without forming a pair.
@@ -29,6 +29,8 @@ its own component unless other members have an id. Other columns are not carried
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,15 +38,26 @@ from pyspark.sql import functions as F
 
 from trialgrid.llm.common import gram_hash, mix64, stored, text_slices, word_table
 
-WORDS, COORDINATES, ROWS, MATCH = 5, 48, 2, 19
+WORDS, COORDINATES, ROWS, MISS = 5, 48, 2, 1e-6
 #: Differences of more items don't travel with each posting; their pairs are confirmed on full sets alone.
 CARRIED = 512
-PREFIX = COORDINATES - MATCH + 1
 _random = np.random.RandomState(20)
 _A = _random.randint(1, 1 << 62, COORDINATES * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.randint(1, 1 << 62, COORDINATES * ROWS).astype(np.uint64)
 
 
+def match_of(threshold: int) -> int:
+    """The most coordinates that a pair at `threshold` agrees in but for a chance below MISS; below 51 not even one is that sure."""
+    p = (threshold / 100) ** ROWS
+    below, match = (1 - p) ** COORDINATES, 0
+    while match < COORDINATES and below < MISS:
+        match += 1
+        below += comb(COORDINATES, match) * p**match * (1 - p) ** (COORDINATES - match)
+    if not match or threshold > 100:
+        raise ValueError(f"threshold {threshold}: signatures of {COORDINATES} coordinates find thresholds from 51 to 100")
+    return match
+
+
 def shingle_sets(data: np.ndarray, row_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row, one after another, and where each row begins (one more than rows)."""
     words, _, _, of, first = word_table(data, row_ends, lower=True)
@@ -160,6 +173,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
     """Per row: rid (monotonically increasing over `docs`), doc_id, n, root (null for empty sets), component_id."""
+    match_of(threshold)  # refuses before any work
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(rows.mapInArrow(_signed, "rid long, doc_id long, n long, h1 long, h2 long, keys array<long>"), "signed")
     light = signed.select("rid", "doc_id", "n", "h1", "h2")
@@ -186,17 +200,17 @@ def one_of_each(docs: DataFrame, threshold: int = 85) -> DataFrame:
 
 
 def _class_components(docs: DataFrame, signed: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    spark = signed.sparkSession
+    match = match_of(threshold)
     one = signed.select(F.col("rid").alias("cid"), "keys").join(classes.select("cid"), "cid")
     posted = one.select("cid", F.posexplode("keys").alias("c", "k"))
     shared = posted.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").select("k")
     hits = stored(posted.join(shared, "k"), "hits")
-    live = stored(hits.groupBy("cid").agg(F.count("*").alias("m")).filter(F.col("m") >= MATCH).select("cid"), "live")
+    live = stored(hits.groupBy("cid").agg(F.count("*").alias("m")).filter(F.col("m") >= match).select("cid"), "live")
     sets = stored(_live_sets(docs, signed, classes, live), "sets")
     single = sets.select("cid", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("m"), F.min("cid").alias("cid")).filter("m = 1")
     own = single.groupBy("cid").agg(F.count("*").alias("own"))
     about = sets.select("cid", F.size("items").alias("n")).join(own, "cid", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    members = stored(hits.filter(F.col("c") < PREFIX).join(about, "cid").select("k", "c", "cid", "n", "own"), "members")
+    members = stored(hits.filter(F.col("c") <= COORDINATES - match).join(about, "cid").select("k", "c", "cid", "n", "own"), "members")
 
     # a member that can't reach the threshold with its list's best partner takes no part in that list
     rest = 100 - threshold
