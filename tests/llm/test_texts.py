@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,30 @@ def test_repeated_token_takes_the_label(spark):
     assert pii.redact(spark.createDataFrame([(1, "mail a@b.cd now")], "doc_id long, text string")).first().text == "mail <email> now"
 
 
+def test_label_of_a_copy_does_not_fade():
+    text = "call +1-555-010-8888 today, that is 1-555-010-8888 again"
+    many = "+1-555-010-8888 " + "and later on there is nothing new to say but 1-555-010-8888 " * 50
+    first = "at 1-555-010-8888 " * 50 + "or +1-555-010-8888"
+    filler = [f"part {i % 10}-{i % 900 + 100}-{i % 800 + 150}-{i % 9000 + 1000} in store" for i in range(10_000)]
+    for docs in ([text, many, first], [text, many, first, *filler], [text, many, first, *filler * 3]):
+        model = pii.weights([(r["what"], r["shape"], r["a"], r["b"], r["n"]) for b in pii._tally(iter([pa.RecordBatch.from_pydict({"text": docs})])) for r in b.to_pylist()])
+        added = [[t[s:e] for _, s, e in pii.added_spans(t, pii.base_spans(t), model)] for t in docs[:50]]
+        assert added == [["1-555-010-8888"] * n for n in (1, 50, 50)] + [[]] * (len(added) - 3)
+
+
+def test_copies_without_a_label_tell_nothing():
+    cards = [f"card 411111111111111{i} here" for i in range(10)]  # one in ten passes the check sum
+    text = "mail a@b.cd and then the number 4111111111111112 and far from it once more " + "x " * 60 + "4111111111111112 4111111111111112"
+    model = pii.weights([(r["what"], r["shape"], r["a"], r["b"], r["n"]) for b in pii._tally(iter([pa.RecordBatch.from_pydict({"text": [text, *cards * 9]})])) for r in b.to_pylist()])
+    assert pii.added_spans(text, pii.base_spans(text), model) == []
+
+
+def test_chain_alone_is_no_label():
+    text = "order 1-2 then mail a@b.cd 9-9-9 a@b.cd or 7-7 and 7-7 done"
+    model = pii.weights([(r["what"], r["shape"], r["a"], r["b"], r["n"]) for b in pii._tally(iter([pa.RecordBatch.from_pydict({"text": [text] * 20})])) for r in b.to_pylist()])
+    assert pii.added_spans(text, pii.base_spans(text), model) == []
+
+
 def test_marginals_match_enumeration():
     rng = np.random.RandomState(1)
     unary, pair = rng.normal(size=(4, 3)), rng.normal(size=(3, 3, 3))

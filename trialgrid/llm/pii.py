@@ -2,12 +2,18 @@ r"""Personal data by rules and a skip-chain conditional random field (operator 5
 
 Rules find emails, addresses, cards and phones (`base_spans`). The field's nodes are the tokens that carry a digit or `@`.
 Neighbouring nodes share a chain potential; tokens that repeat (equal after case folding, or equal digits, seven at least) share
-a skip potential, each with its previous like token, so a document has fewer than two edges a node. Loopy sum-product with
-damping gives marginals; a node outside base spans whose entity marginal reaches THRESHOLD is a span of the same kind, so that a
+a skip potential, each with the last like token in a base span, or where there is none before it the first one, or in texts
+without one the previous like token. So a labelled copy is one step from all others, and a document has fewer than two edges a
+node. Loopy sum-product with damping, until the messages stay, gives marginals; a node outside base spans whose entity marginal reaches THRESHOLD is a span of the same kind, so that a
 number written with `+` once is also found where it stands without.
 
-Unary weights are log-odds of a token's shape class, pair weights smoothed log-ratios of label pairs: counts over all documents,
-gathered as one small table (shapes are a closed set).
+Weights are rates over all documents, from counts gathered as one small table (shapes are a closed set), and don't change when
+the corpus is repeated. A token outside base spans is unlabelled, not of label 0: it counts as a mixture of all labels (FREE).
+Unary weights are log-rates of labels by shape. Chain and skip weights are log-ratios of label pairs with a smoothing in proportion.
+Tokens that are told by their content (seven digits, or `@`) are of one kind wherever they stand: their skip weights come from the
+rate at which labelled copies differ, at least DIFFER, and from the shape's own rates, so that what the shape tells counts once
+and not with every copy. With these, one labelled copy outweighs the chain and a shape that base spans never have, while the
+chain alone can't.
 
 Null, empty and long texts are ordinary (null: no spans). Repeated rows get equal answers. Other columns are not read.
 """
@@ -23,7 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-THRESHOLD, SWEEPS, DAMPING, NEAR = 0.9, 12, 0.3, 40
+THRESHOLD, SWEEPS, SETTLED, DAMPING, NEAR = 0.9, 500, 1e-4, 0.3, 40
+#: Label shares of an unlabelled token; smoothing of pair rates; least rate at which copies of one number or address differ.
+FREE, SMOOTH, DIFFER = np.array([0.99, *[0.01 / len(KINDS)] * len(KINDS)]), 0.01, 0.0005
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -64,8 +72,8 @@ def _shape(token: str) -> str:
 
 
 def graph(text: str, base: list[tuple[int, int, int]]):
-    """Nodes (start, end, shape, label or 0), chain pairs and skip pairs of one document."""
-    nodes, last_like, chain, skip = [], {}, [], []
+    """Nodes (start, end, shape, label or 0), chain pairs, skip pairs told by content and other skip pairs of one document."""
+    nodes, groups, chain, told, skip = [], {}, [], [], []
     spans = sorted((s, e, k) for k, s, e in base)
     at = 0
     for m in _NODE.finditer(text):
@@ -83,10 +91,16 @@ def graph(text: str, base: list[tuple[int, int, int]]):
             chain.append((i - 1, i))
         digits = _NOT_DIGIT.sub("", token)
         like = digits if len(digits) >= 7 and "@" not in token else token.lower()
-        if like in last_like:
-            skip.append((last_like[like], i))
-        last_like[like] = i
-    return nodes, chain, skip
+        groups.setdefault((like, "@" in token or len(digits) >= 7), []).append(i)
+    for (_, content), group in groups.items():
+        best = next((i for i in group if nodes[i][3]), None)
+        for before, i in zip(group, group[1:]):
+            if nodes[before][3]:
+                best = before
+            # ahead of the first labelled copy the edge belongs to the unlabelled one, so that each has one
+            pair = (before, i) if best is None else (before, best) if i <= best else (best, i)
+            (told if content else skip).append(pair)
+    return nodes, chain, told, skip
 
 
 def _tally(batches):
@@ -95,36 +109,52 @@ def _tally(batches):
         for text in batch.column("text").to_pylist():
             if not text:
                 continue
-            nodes, chain, skip = graph(text, base_spans(text))
+            nodes, chain, told, skip = graph(text, base_spans(text))
             seen.update(("shape", n[2], n[3], 0) for n in nodes)
-            for kind, pairs in (("chain", chain), ("skip", skip)):
+            for kind, pairs in (("chain", chain), ("told", told), ("skip", skip)):
                 seen.update((kind, "", nodes[a][3], nodes[b][3]) for a, b in pairs)
     if seen:
         rows = [(*k, v) for k, v in seen.items()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["what", "shape", "a", "b", "n"])
 
 
-def train(docs: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Log potentials: by shape, of the chain, of the skip edges."""
+def train(docs: DataFrame) -> tuple[dict[str, np.ndarray], dict]:
+    """Log rates by shape, log potentials of chain and skip edges, and (told) the rate at which labelled copies differ."""
     counts = docs.select("text").mapInArrow(_tally, "what string, shape string, a int, b int, n long").groupBy("what", "shape", "a", "b").agg(F.sum("n").alias("n")).collect()
-    n = len(KINDS) + 1
-    shapes: dict[str, np.ndarray] = {}
-    pairs = {"chain": np.ones((n, n)), "skip": np.full((n, n), 0.5) + 200 * np.eye(n)}
-    for r in counts:
-        if r.what == "shape":
-            shapes.setdefault(r["shape"], np.full(n, 0.5) + np.eye(n)[0] * 2)[r.a] += r.n
-        else:
-            pairs[r.what][r.a, r.b] += r.n
+    return weights([tuple(r) for r in counts])
 
-    def lift(m: np.ndarray) -> np.ndarray:
-        p = m / m.sum()
-        return np.log(p / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True)))
 
-    return {k: np.log(v / v.sum()) for k, v in shapes.items()}, np.clip(lift(pairs["chain"]), -2, 2), np.clip(lift(pairs["skip"]), -6, 6)
+def weights(counts: list[tuple[str, str, int, int, int]]) -> tuple[dict[str, np.ndarray], dict]:
+    n = len(KINDS) + 1
+    share = np.eye(n)  # of a token by base label: that label, or a mixture
+    share[0] = FREE
+    shapes: dict[str, np.ndarray] = {}
+    pairs = {"chain": np.zeros((n, n)), "skip": np.zeros((n, n))}
+    both = differ = 0
+    for what, shape, a, b, m in counts:
+        if what == "shape":
+            shapes.setdefault(shape, np.zeros(n))
+            shapes[shape] += m * share[a]
+        elif what != "told":
+            pairs[what] += m * np.outer(share[a], share[b])
+        elif a and b:
+            both, differ = both + m, differ + m * (a != b)
+
+    def lift(m: np.ndarray, most: float) -> np.ndarray:
+        if not m.sum():
+            return np.zeros((n, n))
+        free = np.outer(FREE, FREE)
+        p = (1 - SMOOTH) * m / m.sum() + SMOOTH * free
+        return np.clip(np.log(p / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True))), -most, most)
+
+    rate = DIFFER + (1 - DIFFER) * differ / max(both, 1)
+    # a label never seen in a shape still has its share there
+    unary = {k: np.log((1 - SMOOTH) * v / v.sum() + SMOOTH * FREE) for k, v in shapes.items()}
+    return unary, {"chain": lift(pairs["chain"], 2), "told": rate, "skip": lift(pairs["skip"], 6)}
 
 
 def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Sum-product with damping. edges (m, 2), pair (m, labels, labels) in logs."""
+    """Sum-product with damping until no message moves by SETTLED (SWEEPS at most, for loops that never do). edges (m, 2), pair (m, labels, labels) in logs."""
     m, n = len(edges), unary.shape[1]
     if not m:
         out = np.exp(unary - unary.max(1, keepdims=True))
@@ -137,7 +167,11 @@ def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray) -> np.ndar
         np.add.at(belief, target, message)
         new = np.logaddexp.reduce((belief[source] - message[back])[:, :, None] + potential, axis=1)
         new -= new.max(1, keepdims=True)
-        message = DAMPING * message + (1 - DAMPING) * new
+        new = DAMPING * message + (1 - DAMPING) * new
+        moved = np.abs(new - message).max()
+        message = new
+        if moved < SETTLED:
+            break
     belief = unary.copy()
     np.add.at(belief, target, message)
     out = np.exp(belief - belief.max(1, keepdims=True))
@@ -145,18 +179,24 @@ def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray) -> np.ndar
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], model) -> list[tuple[int, int, int]]:
-    shapes, chain_pair, skip_pair = model
-    nodes, chain, skip = graph(text, base)
-    if not skip or not any(n[3] for n in nodes):  # nothing that a distant token could tell
+    shapes, weight = model
+    nodes, chain, told, skip = graph(text, base)
+    if not (told or skip) or not any(n[3] for n in nodes):  # nothing that a distant token could tell
         return []
-    unknown = np.log(np.array([0.9, *[0.1 / len(KINDS)] * len(KINDS)]))
-    unary = np.array([shapes.get(n[2], unknown) for n in nodes])
+    unary = np.array([shapes.get(n[2], np.log(FREE)) for n in nodes])
+    bare = np.array([not node[3] for node in nodes])
+    ends = np.array(told, int).reshape(-1, 2)
+    # the shape's rates: of the unlabelled end, or the mean of both
+    part = bare[ends] / np.maximum(bare[ends].sum(1, keepdims=True), 1)
+    own = np.exp((unary[ends] * part[:, :, None]).sum(1))
+    own /= own.sum(1, keepdims=True)
+    same = np.log((1 - weight["told"]) * np.eye(len(FREE)) / own[:, :, None] + weight["told"])
     for i, node in enumerate(nodes):
         if node[3]:
-            unary[i] = -30.0
+            unary[i] = -1e6  # more than all messages of many copies
             unary[i, node[3]] = 0.0
-    edges = np.array(chain + skip)
-    pair = np.concatenate([np.repeat(chain_pair[None], len(chain), 0), np.repeat(skip_pair[None], len(skip), 0)])
+    edges = np.array(chain + told + skip)
+    pair = np.concatenate([np.repeat(weight["chain"][None], len(chain), 0), same, np.repeat(weight["skip"][None], len(skip), 0)])
     p = marginals(unary, edges, pair)
     best = p[:, 1:].argmax(1)
     return [(int(best[i]), n[0], n[1]) for i, n in enumerate(nodes) if not n[3] and p[i, 1 + best[i]] >= THRESHOLD]
