@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trialgrid.llm import decontam, htmltext, langid, media, neardup, pii, secrets, substrings
+from trialgrid.llm import common, decontam, htmltext, langid, media, neardup, pii, secrets, substrings
 
 SF = "/root/testdata/sf0.001"
 
@@ -304,6 +304,38 @@ def test_repeated_windows(spark, docs, heavy, monkeypatch):
     same(substrings.digests(substrings.remove_repeats(docs)).collect(), without_repeats([tuple(r) for r in docs.collect()]))
 
 
+@pytest.fixture
+def shifting(spark, tmp_path):
+    """Documents in one file of many row groups, and a function that changes how later scans split it."""
+    rng = np.random.RandomState(6)
+    texts = [" ".join(f"s{rng.randint(99999)}" for _ in range(60)) for _ in range(300)]
+    rows = [(i, texts[i] if i % 10 else texts[7] + f" tail{i}") for i in range(300)]
+    path = f"file://{tmp_path}/docs"
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.coalesce(1).write.option("parquet.block.size", "4096").option("parquet.page.size", "1024").option("parquet.block.size.row.check.min", "1").parquet(path)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    yield rows, spark.read.parquet(path), lambda size: spark.conf.set(key, size)
+    spark.conf.set(key, before)
+
+
+def test_rows_keep_their_numbers(spark, shifting, monkeypatch):
+    rows, docs, split = shifting
+    stored = common.stored
+
+    def moving(df, name, *more):  # as if executors came or went after each job
+        out = stored(df, name, *more)
+        split(str(3000 + zlib.crc32(name.encode()) % 60_000))
+        return out
+
+    for module in (common, substrings, decontam, neardup):
+        monkeypatch.setattr(module, "stored", moving)
+    same(substrings.digests(substrings.remove_repeats(docs)).collect(), without_repeats(rows))
+    items = spark.createDataFrame([(1, rows[7][1])], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.clean(docs, items).collect()) == sorted(d for d, *_, bad in contamination(rows, items.collect()) if not bad)
+    assert sorted(r.doc_id for r in neardup.one_of_each(docs).collect()) == sorted(d for d, _, _, keep in near(rows) if keep)
+
+
 # --- 9 ---
 
 

@@ -36,6 +36,11 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, id_col: str, name: str) -> DataFrame:
+    """`docs` with a row id, in the order of its rows. Written once: numbers of a second scan differ where its splits do."""
+    return stored(docs.withColumn(id_col, F.monotonically_increasing_id()), name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialgrid.llm.common import stored
+from trialgrid.llm.common import numbered, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, BROADCAST_ROWS = 10, 200_000
@@ -43,9 +43,14 @@ def _shingles(w: Column) -> Column:
 
 def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored rows (rid, doc_id, w), windows (item_id, win, w) and all places (rid, win, start, n) of windows in documents."""
+    return _occurrences(docs.withColumn("__rid", F.monotonically_increasing_id()), items, size)
+
+
+def _occurrences(docs: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`occurrences` in rows with a number `__rid`."""
     spark = docs.sparkSession
     windows = stored(item_windows(items, size), "windows")
-    base = stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w")), "words")
+    base = stored(docs.select(F.col("__rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w")), "words")
     once = windows.select("win", "w").dropDuplicates(["win"])
     singles = windows.filter("size(w) = 1").limit(1).count() > 0
     keyed = once.select("win", F.size("w").alias("n"), F.posexplode(F.when(F.size("w") == 1, F.col("w")).otherwise(_shingles(F.col("w")))).alias("at", "key")).filter("key is not null")
@@ -90,9 +95,10 @@ def report(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Rows of `docs` in which no item window occurs."""
-    _, _, found = occurrences(docs, items, size)
+    rows = numbered(docs, "__rid", "rows")
+    _, _, found = _occurrences(rows, items, size)
     bad = stored(found.select("rid").distinct(), "contaminated")
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(bad, F.col("__rid") == F.col("rid"), "left_anti").drop("__rid")
+    return rows.join(bad, F.col("__rid") == F.col("rid"), "left_anti").drop("__rid")
 
 
 #: The same rows in SQL, by whole windows.

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialgrid.llm.common import gram_hash, mix64, stored, text_slices, word_table
+from trialgrid.llm.common import gram_hash, mix64, numbered, stored, text_slices, word_table
 
 WORDS, COORDINATES, ROWS, MISS = 5, 48, 2, 1e-6
 #: Differences of more items don't travel with each posting; their pairs are confirmed on full sets alone.
@@ -172,9 +172,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
-    """Per row: rid (monotonically increasing over `docs`), doc_id, n, root (null for empty sets), component_id."""
+    """Per row of `docs` (numbered by `__rid`): rid, doc_id, n, root (null for empty sets), component_id."""
     match_of(threshold)  # refuses before any work
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("__rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(rows.mapInArrow(_signed, "rid long, doc_id long, n long, h1 long, h2 long, keys array<long>"), "signed")
     light = signed.select("rid", "doc_id", "n", "h1", "h2")
     classes = stored(light.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least")), "classes")
@@ -188,15 +188,16 @@ def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    return _grouped(docs, threshold).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return _grouped(docs.withColumn("__rid", F.monotonically_increasing_id()), threshold).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """Rows of `docs`, one of each group: the one with the smallest doc_id (null last), of those the first. Empty texts all stay."""
-    found = _grouped(docs, threshold)
+    rows = numbered(docs, "__rid", "rows")
+    found = _grouped(rows, threshold)
     stays = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best")).select(F.col("best.rid").alias("stays"))
     stays = stored(stays.unionByName(found.filter("root is null").select(F.col("rid").alias("stays"))), "stays")
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(stays, F.col("__rid") == F.col("stays"), "left_semi").drop("__rid")
+    return rows.join(stays, F.col("__rid") == F.col("stays"), "left_semi").drop("__rid")
 
 
 def _class_components(docs: DataFrame, signed: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialgrid.llm.common import gram_hash, partitions, stored, text_slices, word_table
+from trialgrid.llm.common import gram_hash, numbered, partitions, stored, text_slices, word_table
 
 SPAN, GRAM, HEAVY = 20, 4, 4000
 _LEAST = -(1 << 63)
@@ -189,7 +189,7 @@ def _cleaned(batches):
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, text (the kept words joined by one space)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "rid", "rows").select("rid", "doc_id", "text")
     ranges = stored(repeated_ranges(rows), "ranges").groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     return rows.join(ranges, "rid", "left").select("doc_id", "text", "ranges").mapInArrow(_cleaned, "doc_id long, n_words long, n_removed long, text string")
 
