@@ -85,7 +85,26 @@ def node_strength(edges: DataFrame, weight: str) -> DataFrame:
 
 
 def nearest(queries: DataFrame, cloud: DataFrame, cell: float) -> DataFrame:
-    """For each query (id, x, y, z) the nearest cloud point within `cell`: points meet in grid cells of that size, no cross join."""
+    """For each query (id, x, y, z) the nearest cloud point at any distance, the smallest id on ties: points meet in grid cells, no cross join.
+
+    Points without a hit within the cell size meet again in cells of four times the size, until none is left. Queries and points
+    have unique ids and finite places; nulls and other places find and are nothing, and an empty cloud has no nearest point.
+    """
+    whole = lambda df: df.filter(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('Infinity')" for c in "xyz"))
+    left, cloud, done = whole(queries), whole(cloud), None
+    if cloud.isEmpty():
+        return _within(left, cloud, cell)
+    while True:
+        found = _within(left, cloud, cell).persist()
+        done = found if done is None else done.unionByName(found)
+        left = left.join(found, "id", "left_anti").persist()
+        if left.isEmpty():
+            return done
+        cell *= 4
+
+
+def _within(queries: DataFrame, cloud: DataFrame, cell: float) -> DataFrame:
+    """The nearest cloud point of each query that has one within `cell`: all these lie in the cells next to its own."""
     grid = lambda c: F.floor(F.col(c) / cell)
     home = cloud.select(F.col("id").alias("vid"), F.col("x").alias("vx"), F.col("y").alias("vy"), F.col("z").alias("vz"), grid("x").alias("gx"), grid("y").alias("gy"), grid("z").alias("gz"))
     around = queries

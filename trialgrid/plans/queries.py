@@ -170,7 +170,13 @@ def hemi_split(spark, d):
 @query("select id, vid, round(dist, 4) as dist from (select q.id, c.id as vid, sqrt((q.x - c.x) ** 2 + (q.y - c.y) ** 2 + (q.z - c.z) ** 2) as dist, row_number() over (partition by q.id order by sqrt((q.x - c.x) ** 2 + (q.y - c.y) ** 2 + (q.z - c.z) ** 2), c.id) as k from points q join points c on q.id < 100 and c.id >= 100 where sqrt((q.x - c.x) ** 2 + (q.y - c.y) ** 2 + (q.z - c.z) ** 2) <= 10) where k = 1")
 def nearest_vertex(spark, d):
     p = v.points(spark, d).select("id", "x", "y", "z")
-    return op.nearest(p.filter("id < 100"), p.filter("id >= 100"), 10.0).select("id", "vid", F.round("dist", 4).alias("dist"))
+    return op.nearest(p.filter("id < 100"), p.filter("id >= 100"), 10.0).filter("dist <= 10").select("id", "vid", F.round("dist", 4).alias("dist"))
+
+
+@query("select id, vid, round(dist, 4) as dist from (select q.id, c.id as vid, sqrt((q.x - c.x) ** 2 + (q.y - c.y) ** 2 + (q.z - c.z) ** 2) as dist, row_number() over (partition by q.id order by sqrt((q.x - c.x) ** 2 + (q.y - c.y) ** 2 + (q.z - c.z) ** 2), c.id) as k from points q join points c on q.id % 50 = 0 and c.id % 50 <> 0) where k = 1")
+def nearest_vertex_unbounded(spark, d):
+    p = v.points(spark, d).select("id", "x", "y", "z")
+    return op.nearest(p.filter("id % 50 = 0"), p.filter("id % 50 <> 0"), 10.0).select("id", "vid", F.round("dist", 4).alias("dist"))
 
 
 @query("select channel, sample, round(q, 6) as q from (select *, least(1, min(p * m / k) over (partition by sample order by p desc, channel desc rows unbounded preceding)) as q from (select channel, sample, p, count(*) over (partition by sample) as m, row_number() over (partition by sample order by p, channel) as k from (select channel, sample, 1 / (1 + avg(value)) as p from signal group by all)))")
