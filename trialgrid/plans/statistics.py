@@ -16,16 +16,19 @@ _TRIALS = ", trials as (select trial, label, pos, value from (select vec_id as t
 _FOLDS = f"{_TRIALS}, folds as (select trial, label, (row_number() over (partition by label order by md5(trial::varchar), trial) - 1) % 5 as fold from (select distinct trial, label from trials))"
 _Z = f"{_FOLDS}, tagged as (select t.*, fold from trials t join folds using (trial)), fitted as (select f.fold, t.pos, avg(value) as mu, stddev_pop(value) as sd from (select distinct fold from folds) f join tagged t on t.fold <> f.fold group by all), zs as (select trial, fold, pos, (value - mu) / sd as z from tagged join fitted using (fold, pos))"
 _PERMS = f"{_Z}, perms as (select unnest(range(1, 11)) as perm), labels as (select 0 as perm, trial, fold, label from folds union all select perm, trial, fold, label from (select perm, fold, trial, row_number() over (partition by perm, fold order by trial) as place from folds, perms) join (select perm, fold, label, row_number() over (partition by perm, fold order by md5(perm || ':' || trial), trial) as place from folds, perms) using (perm, fold, place))"
-_DECODED = f"{_PERMS}, held as (select perm, labels.trial, labels.fold, label, pos, z from labels join zs using (trial)), part as (select perm, fold, label, pos, sum(z) as s, count(*) as n from held group by all), centres as (select f.perm, f.fold, p.label as class, p.pos, sum(s) / sum(n) as c from (select distinct perm, fold from part) f join part p on p.perm = f.perm and p.fold <> f.fold group by all), near as (select h.perm, h.trial, h.fold, h.label, class, sum((z - c) ** 2) as d from held h join centres using (perm, fold, pos) group by all), decoded as (select perm, trial, fold, label, class as pred from (select *, row_number() over (partition by perm, trial order by round(d, 6), class) as k from near) where k = 1)"
+_PERMS_200 = _PERMS.replace("range(1, 11)", "range(1, 201)")
+_HELD = ", held as (select perm, labels.trial, labels.fold, label, pos, z from labels join zs using (trial)), part as (select perm, fold, label, pos, sum(z) as s, count(*) as n from held group by all), centres as (select f.perm, f.fold, p.label as class, p.pos, sum(s) / sum(n) as c from (select distinct perm, fold from part) f join part p on p.perm = f.perm and p.fold <> f.fold group by all), near as (select h.perm, h.trial, h.fold, h.label, class, sum((z - c) ** 2) as d from held h join centres using (perm, fold, pos) group by all), decoded as (select perm, trial, fold, label, class as pred from (select *, row_number() over (partition by perm, trial order by round(d, 6), class) as k from near) where k = 1)"
+_DECODED = _PERMS + _HELD
+_SCORED = ", scores as (select perm, round(avg((pred = label)::int), 9) as a from decoded group by perm) select round(max(o.a), 6) as observed, round((count(*) filter (s.a >= o.a) + 1) / (count(*) + 1), 6) as p from scores s join scores o on s.perm > 0 and o.perm = 0"
 
 
 def _sql(ctes: str, select: str) -> str:
     return f"{ctes} {select}"
 
 
-def _decoded(spark, d, permutations):
+def _decoded(spark, d, permutations, k=5):
     rows = v.trials(spark, d)
-    folds = st.stratified_folds(rows, 5)
+    folds = st.stratified_folds(rows, k)
     return st.decode(st.fold_standardise(rows, folds), st.shuffled_labels(folds, permutations))
 
 
@@ -60,6 +63,13 @@ def decode_permutation_p(spark, d):
     return st.empirical_p(scores, [], "a").select(r6("observed"), r6("p"))
 
 
+@query(_sql((_PERMS_200 + _HELD).replace("% 5 as fold", "% 10 as fold"), _SCORED))
+def decode_permutation_p_200(spark, d):
+    """200 permutations and 10 folds, as the survey has them: the least p is 1/201."""
+    scores = _decoded(spark, d, 200, 10).groupBy("perm").agg(F.round(F.avg((F.col("pred") == F.col("label")).cast("int")), 9).alias("a"))
+    return st.empirical_p(scores, [], "a").select(r6("observed"), r6("p"))
+
+
 @query("select channel, phase, ((sample + ('0x' || substr(md5('7:' || channel || ':' || phase), 1, 8))::bigint % 83 + 1) % 84)::bigint as sample, round(value, 6) as value from signal")
 def surrogate_shift(spark, d):
     return st.circular_shift(v.signal(spark, d), ["channel", "phase"], "sample", 84, 7).select("channel", "phase", "sample", r6("value"))
