@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,14 +98,22 @@ def nearest(queries: DataFrame, cloud: DataFrame, cell: float) -> DataFrame:
     if cloud.isEmpty():
         return _within(left, cloud, cell)
     while True:
-        found = _within(left, cloud, cell).persist()
+        found = _kept(_within(left, cloud, cell))
         done = found if done is None else done.unionByName(found)
-        left = left.join(found, "id", "left_anti").persist()
+        left = _kept(left.join(found, "id", "left_anti"))
         if left.isEmpty():
             return done
         cell *= 4
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Written once, so that later rounds have a short plan and lose nothing with an executor."""
+    folder = (df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="trialgrid-")).rstrip("/")
+    path = f"{folder}/nearest-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _within(queries: DataFrame, cloud: DataFrame, cell: float) -> DataFrame:
     """The nearest cloud point of each query that has one within `cell`: all these lie in the cells next to its own."""
     grid = lambda c: F.floor(F.col(c) / cell)
