@@ -16,9 +16,11 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset (tests) a temporary one is set and used."""
+    """The folder in spark.checkpoint.dir. Only where that is unset in local mode (tests) a temporary one is used."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="trialgrid-"))
         folder = _own_folder[0]
@@ -51,18 +53,19 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 
 def global_offsets(light: DataFrame, order: list[str], size: str, name: str) -> DataFrame:
-    """Add `offset`, the sum of `size` over all rows before this one in the total order of the columns `order`.
+    """Add `offset` and `place`, the sum of `size` and the number of all rows before this one in the total order of the columns `order`.
 
     Range partitions are cut by `order`, which has to be unique, so that equal leading keys still spread out.
     Only one total per partition is gathered, never the rows.
     """
     n = partitions(light.sparkSession)
     part = stored(light.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), f"{name}-range")
-    ahead = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = part.withColumn("local", F.coalesce(F.sum(size).over(ahead), F.lit(0)))
-    totals = part.groupBy("part").agg(F.sum(size).alias("total"))
-    base = totals.withColumn("base", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total")
-    return local.join(F.broadcast(base), "part").withColumn("offset", F.col("local") + F.col("base")).drop("local", "base")
+    ahead = Window.partitionBy("part").orderBy(*order)
+    local = part.withColumn("offset", F.coalesce(F.sum(size).over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("place", F.row_number().over(ahead) - 1)
+    totals = part.groupBy("part").agg(F.sum(size).alias("total"), F.count("*").alias("rows"))  # one row a partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base_rows"))
+    return local.join(F.broadcast(base), "part").withColumns({"offset": F.col("offset") + F.col("base"), "place": F.col("place") + F.col("base_rows")}).drop("base", "base_rows")
 
 
 # --- words of whole Arrow batches, hashed without a Python loop over words ---
@@ -99,13 +102,16 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: The first 0 to 8 bytes of a little-endian lane.
+_FRONT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_SEEDS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
-def word_table(data: np.ndarray, row_ends: np.ndarray, lower: bool):
-    """Words `[^\\x20\\x09-\\x0D]+` of concatenated rows: (hash, start byte, end byte, row of each word, first word of each row and one past the last)."""
+def word_bounds(data: np.ndarray, row_ends: np.ndarray):
+    """Words `[^\\x20\\x09-\\x0D]+` of concatenated rows: (start byte, end byte, row of each word, first word of each row and one past the last)."""
     rows = len(row_ends)
     if not len(data):
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(rows + 1, np.int64)
+        return *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(rows + 1, np.int64)
     solid = ~_SPACE[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
@@ -117,16 +123,29 @@ def word_table(data: np.ndarray, row_ends: np.ndarray, lower: bool):
     ends[at] = solid[at]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, np.concatenate([[0], row_ends]), "left")
+    return start, end, np.repeat(np.arange(rows), np.diff(first)), first
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool, seeds: int = 1) -> list[np.ndarray]:
+    """Independent 64-bit hashes of words, one for each seed. Every lane of eight bytes is mixed with its place before the sum, so that no words are tied by arithmetic."""
     if not len(start):
-        return np.zeros(0, np.uint64), start, end, start, first
+        return [np.zeros(0, np.uint64)] * seeds
+    padded = np.concatenate([_LOWER[data] if lower else data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
     size = end - start
-    chars = (_LOWER[data] if lower else data)[solid].astype(np.uint64)
-    heads = np.concatenate([[0], np.cumsum(size)[:-1]])
-    place = np.arange(len(chars)) - np.repeat(heads, size)
+    count = (size + 7) >> 3
+    heads = np.cumsum(count) - count
+    word = np.repeat(np.arange(len(start)), count)
+    place = np.arange(len(word)) - heads[word]
+    value = lanes[start[word] + 8 * place] & _FRONT[np.minimum(size[word] - 8 * place, 8)]
     with np.errstate(over="ignore"):
-        power = np.multiply.accumulate(np.full(int(size.max()), _BASE, np.uint64))
-        hashed = mix64(np.add.reduceat((chars + np.uint64(1)) * power[place], heads) + size.astype(np.uint64))
-    return hashed, start, end, np.repeat(np.arange(rows), np.diff(first)), first
+        return [mix64(np.add.reduceat(mix64((value ^ seed) + place.astype(np.uint64) * _BASE), heads) + size.astype(np.uint64)) for seed in _SEEDS[:seeds]]
+
+
+def word_table(data: np.ndarray, row_ends: np.ndarray, lower: bool):
+    """Words with one hash: (hash, start byte, end byte, row of each word, first word of each row and one past the last)."""
+    start, end, row, first = word_bounds(data, row_ends)
+    return word_hashes(data, start, end, lower)[0], start, end, row, first
 
 
 def gram_hash(words: np.ndarray, n: int) -> np.ndarray:
@@ -140,88 +159,127 @@ def gram_hash(words: np.ndarray, n: int) -> np.ndarray:
 
 # --- token ids through the tokenizers library ---
 
-_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_KNOTTY = re.compile(f" (?:[{_WHITE}]|$)")
+_SOLID_ASCII = np.zeros(256, bool)  # ASCII characters that aren't white space
+_SOLID_ASCII[33:127] = True
+_SOLID_ASCII[:9] = _SOLID_ASCII[14:28] = _SOLID_ASCII[127] = True
+_ALPHA = np.zeros(256, bool)
+_ALPHA[65:91] = _ALPHA[97:123] = True
+#: What ends a pre-token before a letter: solid ASCII but for letters and the apostrophe, which contractions keep.
+_BREAK = _SOLID_ASCII & ~_ALPHA
+_BREAK[0x27] = False
+_WHITE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
     """Ids of whole texts, equal to `Tokenizer.encode(text, add_special_tokens=False)`, faster over a corpus.
 
-    Both kinds of vocabulary end a pre-token before a space, so that a text's ids are those of its pieces (each
-    with the space before it) one after another. The library encodes each distinct piece; the ids of up to
-    `cache_size` pieces stay in the worker process. Texts with a space before other white space or the end, where
-    pieces depend on their neighbours, are encoded whole.
+    Both kinds of vocabulary end a pre-token where an ASCII letter and another solid ASCII character meet (but after an apostrophe)
+    and where a space follows a character that isn't white. A text's ids are those of the pieces between such places, one
+    after another. The library encodes each distinct piece of a slice once, all in one call with a special token
+    between them; pieces seen more than once in a slice stay in the worker process, up to `cache_size`. Texts that hold the
+    string of a special token are encoded whole.
     """
 
-    def __init__(self, path: str, space_kept: bool, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() < 1 << 16 else np.dtype("<u4")
-        self.glue, self.size = " " if space_kept else "", cache_size
-        self.cache: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        found = list(map(self.cache.get, pieces))
-        missing = [i for i, x in enumerate(found) if x is None]
-        for at in range(0, len(missing), 20_000):
-            block = missing[at : at + 20_000]
-            for i, ids in zip(block, self._whole([pieces[i] for i in block]), strict=True):
-                found[i] = ids
-                if len(self.cache) < self.size:
-                    self.cache[pieces[i]] = ids
-        return found
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.between, self.between_id = next(iter(special.items()))
+        self.special = re.compile("|".join(map(re.escape, special)))
+        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.cache_size = cache_size
+        self.keys = pa.array([], pa.large_string())
+        self.met = np.zeros(1 << 22, bool)  # hashes of pieces that came by
+        self.flat, self.size = np.zeros(0, self.kind), np.zeros(0, np.int64)
+
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after another, and the number of each."""
+        found, sizes = [self.flat[:0]], [self.size[:0]]
+        for at in range(0, len(pieces), 50_000):
+            ids = self._plain(self.between.join(pieces[at : at + 50_000]))
+            ends = np.append(np.flatnonzero(ids == self.between_id), len(ids))
+            found.append(ids[ids != self.between_id])
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+        return np.concatenate(found), np.concatenate(sizes)
+
+    def _starts(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """First bytes of the pieces of concatenated rows."""
+        before, now = data[:-1], data[1:]
+        alpha = _ALPHA[data]
+        cut = np.zeros(len(data), bool)
+        cut[1:] = (alpha[:-1] & _SOLID_ASCII[now] | (now == 32) & _SOLID_ASCII[before]) & ~alpha[1:] | _BREAK[before] & alpha[1:]
+        # a space after a character of several bytes, if that isn't white
+        for i in np.flatnonzero((now == 32) & (before > 127)).tolist():
+            cut[i + 1] = not _WHITE.search(bytes(data[max(0, i - 2) : i + 1]).decode(errors="ignore")[-1:])
+        cut[ends[:-1][ends[:-1] < len(data)]] = True
+        cut[:1] = True
+        return np.flatnonzero(cut)
 
     def encode(self, column: pa.Array, end_id: int):
-        """Yield (row, ids of that row with end_id) in order of rows; null counts as empty."""
-        tail = np.array([end_id], self.kind)
-        texts = column.fill_null("").to_pylist()
-        at = 0
-        while at < len(texts):  # some MB at a time bound the memory
-            last, size = at, 0
-            while last < len(texts) and (size < 16 << 20 or last == at):
-                size += len(texts[last])
-                last += 1
-            block = texts[at:last]
-            knotty = [bool(_KNOTTY.search(t)) for t in block]
-            whole = iter(self._whole([t for t, k in zip(block, knotty, strict=True) if k]))
-            plain = [t for t, k in zip(block, knotty, strict=True) if not k]
-            if plain:
-                split = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
-                coded = split.values.dictionary_encode()
-                pieces = split.offsets.to_numpy()
-                first = split.values.take(split.offsets.slice(0, len(plain))).to_pylist()
-                # a row's first piece has no space before it
-                ids = self._pieces([self.glue + p for p in coded.dictionary.to_pylist()] + first)
-                codes = coded.indices.to_numpy().copy()
-                codes[pieces[:-1]] = len(coded.dictionary) + np.arange(len(plain))
-                size_of = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
-                flat = np.frombuffer(b"".join(ids), self.kind)
-                begin = np.cumsum(size_of) - size_of
-            used = 0
-            for i, k in enumerate(knotty):
-                if k:
-                    yield at + i, np.concatenate([np.frombuffer(next(whole), self.kind), tail])
-                    continue
-                own = codes[pieces[used] : pieces[used + 1]]
-                used += 1
-                n = size_of[own]
-                total = int(n.sum())
-                index = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(total)
-                yield at + i, np.concatenate([flat[index], tail])
-            at = last
-
-
-def encoder(path: str, space_kept: bool) -> Encoder:
+        """Yield (first row, ids of these rows with end_id after each, ends of the rows in them), some rows at a time; null counts as empty."""
+        for row, data, ends in text_slices(column, 2 << 20):
+            begins = self._starts(data, ends) if len(data) else np.zeros(0, np.int64)
+            offsets = np.append(begins, len(data)).astype(np.int64)
+            pieces = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+            whole: dict[int, np.ndarray] = {}  # by place, rows with a special token
+            for i in self._special_rows(data, ends):
+                low = int(ends[i - 1]) if i else 0
+                whole[i] = self._plain(bytes(data[low : ends[i]]).decode())
+            found = pc.index_in(pieces, value_set=self.keys)
+            codes = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.searchsorted(begins, np.concatenate([[0], ends]))  # piece numbers at which rows begin
+            for i in whole:
+                codes[first[i] : first[i + 1]] = -2
+            lost = np.flatnonzero(codes == -1)
+            new = pieces.take(pa.array(lost)).dictionary_encode()
+            words = new.dictionary
+            names = words.to_pylist()
+            ids, sizes = self._pieces(names)
+            known = len(self.size)
+            codes[lost] = known + new.indices.to_numpy()
+            tail = np.array([end_id], self.kind)
+            extra = [*whole.values()]
+            flat = np.concatenate([self.flat, ids, tail, *extra])
+            size = np.concatenate([self.size, sizes, [1], [len(x) for x in extra]]).astype(np.int64)
+            end_code = known + len(sizes)
+            for k, i in enumerate(whole):
+                codes[first[i]] = end_code + 1 + k
+            if whole:
+                keep = codes != -2
+                kept = np.concatenate([[0], np.cumsum(keep)])
+                codes, first = codes[keep], kept[first]
+            codes = np.insert(codes, first[1:], end_code)
+            row_ends = first[1:] + np.arange(1, len(ends) + 1)
+            n = size[codes]
+            stop = np.cumsum(n)
+            index = np.repeat((np.cumsum(size) - size)[codes] - (stop - n), n) + np.arange(int(stop[-1]))
+            yield row, flat[index], stop[row_ends - 1]
+            room = self.cache_size - known
+            if room > 0 and names:
+                bits = np.fromiter(map(hash, names), np.int64, len(names)) & (len(self.met) - 1)
+                often = np.flatnonzero(self.met[bits] | (np.bincount(codes[(codes >= known) & (codes < end_code)] - known, minlength=len(names)) > 1))[:room]
+                self.met[bits] = True
+                at = np.cumsum(sizes) - sizes
+                n = sizes[often]
+                self.flat = np.concatenate([self.flat, ids[np.repeat(at[often] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]])
+                self.size = np.concatenate([self.size, n])
+                self.keys = pa.concat_arrays([self.keys, words.take(pa.array(often))])
+
+    def _special_rows(self, data: np.ndarray, ends: np.ndarray) -> list[int]:
+        rows = np.unique(np.searchsorted(ends, np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)), "right"))
+        return [int(i) for i in rows if self.special.search(bytes(data[ends[i - 1] if i else 0 : ends[i]]).decode(errors="replace"))]
+
+
+def encoder(path: str) -> Encoder:
     """One per worker process, with its cache."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path, space_kept)
+        _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -1,7 +1,7 @@
-"""Media columns over archives of 8-bit audio members (operator 2).
+"""Media columns over archives of 8-bit image members (operator 2).
 
-`write_archives` stores each text's bytes (padded with 0 to a positive multiple of 64) as a WAV file of 8-bit mono samples, many
-to an archive file. An archive ends with its directory (member id, offset, size) and the directory's place. Files get names of
+`write_archives` stores each text's bytes (padded with 0 to a positive multiple of 64) as the samples of a greyscale PNG image of 64
+columns and 8 bits, losslessly compressed, many to an archive file. An archive ends with its directory (member id, offset, size) and the directory's place. Files get names of
 their own in each task attempt; a table of the names that committed says which count, so a retried task leaves no second copy.
 
 `ArchiveSource` is a Spark data source over such a folder: it plans partitions of about `range_bytes` bytes of an archive, each reads the
@@ -28,23 +28,48 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from trialgrid.llm.common import new_path
 
-BLOCK, RATE, HEADER = 64, 8000, 44
+BLOCK = 64
+_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _ENTRY = np.dtype([("member", "<i8"), ("offset", "<u8"), ("size", "<u8"), ("n_bytes", "<u8"), ("doc_id", "<i8"), ("known", "<u1")])
 _TAIL = "<QQ4s"
 SCHEMA = "member long, doc_id long, n_bytes long, media binary"
 
 
-def wav(payload: bytes) -> bytes:
-    """8-bit unsigned mono PCM."""
-    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(payload), b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", len(payload)) + payload
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def png(payload: bytes) -> bytes:
+    """A greyscale image of BLOCK columns, 8 bits a sample, rows unfiltered."""
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, BLOCK)
+    lines = np.zeros((len(rows), BLOCK + 1), np.uint8)  # each line begins with its filter's number
+    lines[:, 1:] = rows
+    head = struct.pack(">IIBBBBB", BLOCK, len(rows), 8, 0, 0, 0, 0)
+    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def samples(media: bytes) -> bytes:
-    riff, _, kind = struct.unpack_from("<4sI4s", media)
-    size = struct.unpack_from("<I", media, 40)[0]
-    if riff != b"RIFF" or kind != b"WAVE" or len(media) != HEADER + size:
-        raise ValueError("not a whole WAV member")
-    return media[HEADER:]
+    """The samples of an image that `png` wrote; ValueError where it isn't whole."""
+    if media[:8] != _SIGNATURE:
+        raise ValueError("not a PNG member")
+    at, parts = 8, {}
+    while at < len(media):
+        size, kind = struct.unpack_from(">I4s", media, at)
+        data = media[at + 8 : at + 8 + size]
+        if media[at + 8 + size : at + 12 + size] != struct.pack(">I", zlib.crc32(kind + data)):
+            raise ValueError("a damaged PNG member")
+        parts[kind] = data
+        at += 12 + size
+    if b"IEND" not in parts:
+        raise ValueError("a cut PNG member")
+    width, height, depth, colour, *_ = struct.unpack(">IIBBBBB", parts[b"IHDR"])
+    try:
+        lines = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8)
+    except zlib.error as e:
+        raise ValueError("a damaged PNG member") from e
+    if (depth, colour) != (8, 0) or len(lines) != height * (width + 1) or lines[:: width + 1].any():
+        raise ValueError("not an unfiltered greyscale image of 8 bits")
+    return lines.reshape(height, width + 1)[:, 1:].tobytes()
 
 
 def _file_system(path: str):
@@ -67,7 +92,7 @@ def _archive_writer(folder: str, archive_bytes: int):
         for batch in batches:
             for member, doc, text in zip(*(batch.column(c).to_pylist() for c in ("member", "doc_id", "text")), strict=True):
                 raw = (text or "").encode()
-                media = wav(raw + bytes(-len(raw) % BLOCK or (0 if raw else BLOCK)))
+                media = png(raw + bytes(-len(raw) % BLOCK or (0 if raw else BLOCK)))
                 if stream is None:
                     name, at, entries = f"{uuid.uuid4().hex}.arc", 0, []
                     stream = files.open_output_stream(f"{base}/{name}")
@@ -123,10 +148,19 @@ class _Reader(DataSourceReader):
         if not partition.path:
             return
         files, base = _file_system(partition.path)
+        held_open: list = []
 
         def at(offset: int, size: int) -> bytes:
-            with files.open_input_file(base) as f:
-                return f.read_at(size, offset)
+            """The file stays open between members; after a failure it is opened anew."""
+            try:
+                if not held_open:
+                    held_open.append(files.open_input_file(base))
+                return held_open[0].read_at(size, offset)
+            except OSError:
+                for f in held_open:
+                    f.close()
+                held_open.clear()
+                raise
 
         size = files.get_file_info(base).size
         start, count, magic = self._again(lambda: struct.unpack(_TAIL, at(size - struct.calcsize(_TAIL), struct.calcsize(_TAIL))))
@@ -149,6 +183,8 @@ class _Reader(DataSourceReader):
                 rows, held = [], 0
         if rows:
             yield _members(rows)
+        for f in held_open:
+            f.close()
 
 
 def _members(rows: list[tuple]) -> pa.RecordBatch:

@@ -57,37 +57,38 @@ def curve_keys(vectors: np.ndarray, dimensions: int = DIMENSIONS, bits: int = BI
     return hilbert_key(cells, bits)
 
 
+def count_vectors(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Signed hashed counts (rows x HASHED) of the ids of each row but its last, the end id."""
+    span = int(ids.max()) + 1 if len(ids) else 1
+    mixed = mix64(np.arange(span, dtype=np.uint64) + np.uint64(11))
+    bucket, sign = (mixed % np.uint64(HASHED)).astype(np.int64), 1.0 - 2.0 * (mixed >> np.uint64(63)).astype(float)
+    weight = sign[ids]
+    weight[ends - 1] = 0.0
+    row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    return np.bincount(row * HASHED + bucket[ids], weight, len(ends) * HASHED).reshape(len(ends), HASHED)
+
+
 def _tokenised(path: str, end_id: int):
     def run(batches):
-        coder = encoder(path, space_kept=False)
-        mixed = mix64(np.arange(1 << 17, dtype=np.uint64) + np.uint64(11))
-        bucket, sign = (mixed % np.uint64(HASHED)).astype(np.int64), 1.0 - 2.0 * (mixed >> np.uint64(63)).astype(float)
+        coder = encoder(path)
         for batch in batches:
-            rids, docs = batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist()
-            out: list[tuple] = []
-            for i, ids in coder.encode(batch.column("text"), end_id):
-                out.append((rids[i], docs[i], ids, np.bincount(bucket[ids[:-1]], sign[ids[:-1]], HASHED)))
-                if len(out) == 1024:
-                    yield _rows(out)
-                    out = []
-            if out:
-                yield _rows(out)
+            for at, ids, ends in coder.encode(batch.column("text"), end_id):
+                part = batch.slice(at, len(ends))
+                keys = np.concatenate([curve_keys(count_vectors(ids[(ends[i - 1] if i else 0) : ends[min(i + 1024, len(ends)) - 1]], ends[i : i + 1024] - (ends[i - 1] if i else 0))) for i in range(0, len(ends), 1024)])
+                width = ids.dtype.itemsize
+                offsets = pa.py_buffer(np.append(0, ends * width).astype(np.int32))
+                held = pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array(keys, pa.int64()), pa.array(np.diff(ends, prepend=0), pa.int64()), held], names=["rid", "doc_id", "curve", "n", "ids"])
 
     return run
 
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    rid, doc, ids, vectors = zip(*out, strict=True)
-    columns = [pa.array(rid, pa.int64()), pa.array(doc, pa.int64()), pa.array(curve_keys(np.array(vectors)), pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "curve", "n", "ids"])
-
-
-def _pieces(length: int, width: int):
+def _pieces(length: int):
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
             for doc, n, at, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "offset", "ids")), strict=True):
-                start = 0
+                start, width = 0, len(ids) // n
                 while start < n:
                     place = (at + start) % length
                     size = min(n - start, length - place)
@@ -99,8 +100,8 @@ def _pieces(length: int, width: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 4096, width: int = 2) -> DataFrame:
-    """Pieces of documents in sequences of `length` ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 4096) -> DataFrame:
+    """Pieces of documents in sequences of `length` ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian, 2 bytes each, 4 where the vocabulary needs them).
 
     Texts are encoded once into a table in the shared folder. Only (curve, doc_id, size) is sorted by range; the ids join
     their offsets by row id, so neither a hot topic nor copies of one text load one task.
@@ -110,19 +111,16 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 40
     placed = global_offsets(encoded.select("curve", "doc_id", "rid", "n"), ["curve", "doc_id", "rid"], "n", "curve").select("rid", "offset")
     # a join on the unique row id, neither side broadcast as both grow with the input
     joined = encoded.select("rid", "doc_id", "n", "ids").join(placed.hint("merge"), "rid")
-    return joined.select("doc_id", "n", "offset", "ids").mapInArrow(_pieces(length, width), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return joined.select("doc_id", "n", "offset", "ids").mapInArrow(_pieces(length), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
-def _crc(width: int):
-    def run(batches):
-        for batch in batches:
-            crc = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in batch.column("ids").to_pylist()]
-            keep = ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(crc, pa.int64())], names=[*keep, "ids_crc32"])
-
-    return run
+def _crc(batches):
+    for batch in batches:
+        crc = [zlib.crc32(np.frombuffer(x, f"<u{len(x) // n}").astype("<u4").tobytes()) for x, n in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist(), strict=True)]
+        keep = ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(crc, pa.int64())], names=[*keep, "ids_crc32"])
 
 
-def piece_digests(pieces: DataFrame, width: int = 2) -> DataFrame:
+def piece_digests(pieces: DataFrame) -> DataFrame:
     """Replace the ids of pieces by ids_crc32."""
-    return pieces.mapInArrow(_crc(width), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
+    return pieces.mapInArrow(_crc, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")

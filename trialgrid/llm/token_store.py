@@ -1,16 +1,17 @@
 """Token-id output as a content-addressed store (operator 10).
 
 A rolling hash cuts every document's id stream into chunks at places set by the ids alone, so equal passages give equal
-chunks. Chunks are stored once under the hash of their bytes; a recipe per document lists its chunks; a manifest has
-one Merkle root per recipe file and one over all of them.
+chunks. Chunks are stored once under the hash of their bytes; a recipe per document lists its chunks; the manifest is a Merkle tree
+over the recipes' roots in ascending doc_id order. Reading back builds that tree anew and compares every node.
 
 Layout of a store (Parquet, written and read by Spark alone, so any file system that Spark reaches will do):
   objects/kind=chunk   key = blake2b-128 of the payload, payload = little-endian ids (2 bytes each, 4 for large vocabularies)
-  recipes/             one row per document in ascending doc_id order: start, n_ids, chunk keys and sizes, root
-  manifest/            one row per recipe part: first start, documents, ids, Merkle root
+  recipes/             one row per document in ascending doc_id order: place, start, n_ids, chunk keys and sizes, root of the keys
+  manifest/            one row per node of the tree: level (1 lies over documents), place, documents, ids, root; FAN children a node
 
 Null texts count as empty (only the end id). Equal rows are documents of their own, next to each other in the order; a
-null doc_id comes first. Other columns are not carried. An empty table gives an empty store.
+null doc_id comes first. Other columns are not carried. An empty table gives an empty store. A missing or changed chunk, recipe or
+node raises an error when the store is read.
 """
 
 from __future__ import annotations
@@ -25,23 +26,28 @@ from pyspark.sql import functions as F
 
 from trialgrid.llm.common import encoder, global_offsets, mix64, new_path
 
-CHUNK_MIN, CHUNK_MASK, CHUNK_MAX = 64, 255, 2048
+CHUNK_MIN, CHUNK_MASK, CHUNK_MAX, FAN = 64, 255, 2048, 1024
 _GEAR_SPAN = 8
-_OBJECT = "kind string, key binary, rid long, doc_id long, n_ids long, payload binary"
+_OBJECT = "kind string, key binary, rid long, doc_id long, n_ids long, payload binary, root binary"
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream: where the gear hash of the last 8 ids has 8 low bits of 0, within the size limits."""
-    gear = mix64(ids.astype(np.uint64) + np.uint64(1))
-    rolled = np.zeros(len(ids), np.uint64)
-    for j in range(min(_GEAR_SPAN, len(ids))):
+def cut_places(ids: np.ndarray) -> np.ndarray:
+    """Places after an id where the gear hash of the last 8 ids has 8 low bits of 0. Those of concatenated streams are right from the eighth id of each."""
+    gear = mix64(np.arange(int(ids.max()) + 1 if len(ids) else 1, dtype=np.uint64) + np.uint64(1))[ids]
+    rolled = gear.copy()
+    for j in range(1, min(_GEAR_SPAN, len(ids))):
         rolled[j:] += gear[: len(ids) - j] << np.uint64(j)
-    ends, last = [], 0
-    for cut in [*(np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(CHUNK_MASK) == 0) + 1).tolist(), len(ids)]:
+    return np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(CHUNK_MASK) == 0) + 1
+
+
+def chunk_ends(cuts: list[int], begin: int, end: int) -> list[int]:
+    """Ends of the chunks of the stream from begin to end: at its cut places, within the size limits."""
+    ends, last = [], begin
+    for cut in [*cuts, end]:
         while cut - last > CHUNK_MAX:
             last += CHUNK_MAX
             ends.append(last)
-        if cut - last >= CHUNK_MIN or cut == len(ids) and cut > last:
+        if cut - last >= CHUNK_MIN or cut == end and cut > last:
             ends.append(cut)
             last = cut
     return ends
@@ -58,62 +64,67 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return leaves[0] if leaves else chunk_key(b"")
 
 
-def _objects(path: str, space_kept: bool, end_id: int):
+def _objects(path: str, end_id: int):
     def run(batches):
-        coder, seen = encoder(path, space_kept), set()
+        coder, seen = encoder(path), set()
         for batch in batches:
-            rows: list[tuple] = []
             rids, docs = batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist()
-            for i, ids in coder.encode(batch.column("text"), end_id):
-                recipe, last = [], 0
-                for end in chunk_ends(ids):
-                    payload = ids[last:end].tobytes()
-                    key = chunk_key(payload)
-                    recipe.append(key + (end - last).to_bytes(4, "little"))
-                    if key not in seen:  # combine before the shuffle
-                        seen.add(key)
-                        rows.append(("chunk", key, None, None, end - last, payload))
-                    last = end
-                rows.append(("recipe", rids[i].to_bytes(8, "big"), rids[i], docs[i], len(ids), b"".join(recipe)))
-                if len(rows) >= 4096:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
+            for at, ids, ends in coder.encode(batch.column("text"), end_id):
+                rows: list[tuple] = []
+                width, raw, cuts = ids.dtype.itemsize, ids.tobytes(), cut_places(ids)
+                own = np.searchsorted(cuts, ends).tolist()
+                cuts, begin, used = cuts.tolist(), 0, 0
+                for i, (end, upto) in enumerate(zip(ends.tolist(), own, strict=True), at):
+                    keys, recipe, last = [], [], begin
+                    for stop in chunk_ends(cuts[used:upto], begin, end):
+                        payload = raw[last * width : stop * width]
+                        key = chunk_key(payload)
+                        keys.append(key)
+                        recipe.append(key + (stop - last).to_bytes(4, "little"))
+                        if key not in seen:  # combine before the shuffle
+                            seen.add(key)
+                            rows.append(("chunk", key, None, None, stop - last, payload, None))
+                        last = stop
+                    rows.append(("recipe", rids[i].to_bytes(8, "big"), rids[i], docs[i], end - begin, b"".join(recipe), merkle_root(keys)))
+                    begin, used = end, upto
                 yield _batch(rows)
-            if len(seen) > 2_000_000:
-                seen.clear()
+                if len(seen) > 300_000:
+                    seen.clear()
 
     return run
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["kind", "key", "rid", "doc_id", "n_ids", "payload"])
+    types = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in _OBJECT.split(", ")])
 
 
-def _roots(batches):
-    for batch in batches:
-        root = [merkle_root([r[i : i + 16] for i in range(0, len(r), 20)]) for r in batch.column("payload").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "doc_id", "n_ids", "payload")), pa.array(root, pa.binary())], names=["rid", "doc_id", "n_ids", "payload", "root"])
+def merkle_tree(recipes: DataFrame, documents: int) -> DataFrame:
+    """Nodes (level, node, documents, n_ids, root) over recipes (place, n_ids, root) up to one top node; FAN rows a group at most."""
+    nodes, level, out = recipes.select(F.col("place").alias("node"), F.lit(1).cast("long").alias("documents"), "n_ids", F.hex("root").alias("root")), 0, None
+    while not level or documents > FAN**level:
+        level += 1
+        child = F.struct("node", "root")
+        nodes = nodes.groupBy(F.floor(F.col("node") / FAN).alias("node")).agg(F.sum("documents").alias("documents"), F.sum("n_ids").alias("n_ids"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda x: x["root"]), ""), 256).alias("root"))
+        now = nodes.select(F.lit(level).alias("level"), "node", "documents", "n_ids", "root")
+        out = now if out is None else out.unionByName(now)
+    return out
 
 
-def write_store(docs: DataFrame, tokenizer_path: str, space_kept: bool = True, end_id: int = 0) -> str:
+def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> str:
     """Encode `docs` (doc_id, text), write a store into the shared folder and return its path."""
     spark = docs.sparkSession
     path = new_path(spark, "token-store")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInArrow(_objects(tokenizer_path, space_kept, end_id), _OBJECT)
+    found = rows.mapInArrow(_objects(tokenizer_path, end_id), _OBJECT)
     # one pass: chunks meet their copies by key, recipes go along under keys of their own
-    unique = found.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("rid", "doc_id", "n_ids", "payload")))
+    unique = found.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("rid", "doc_id", "n_ids", "payload", "root")))
     unique.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     recipes = spark.read.schema(_OBJECT).parquet(f"{path}/objects").filter("kind = 'recipe'")
-    light = global_offsets(recipes.select("doc_id", "rid", "n_ids", "payload"), ["doc_id", "rid"], "n_ids", "recipes")
-    light = light.withColumnRenamed("offset", "start")
-    rooted = light.select("rid", "doc_id", "n_ids", "payload").mapInArrow(_roots, "rid long, doc_id long, n_ids long, payload binary, root binary")
-    (light.drop("doc_id", "n_ids", "payload").join(rooted, "rid").repartitionByRange("doc_id", "rid").sortWithinPartitions("doc_id", "rid")
-        .write.option("compression", "zstd").parquet(f"{path}/recipes"))
-    leaves = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.min("start").alias("start"), F.count("*").alias("documents"), F.sum("n_ids").alias("n_ids"), F.sort_array(F.collect_list(F.struct("doc_id", "rid", "root"))).alias("leaves"))
-    leaves.withColumn("root", F.sha2(F.array_join(F.transform("leaves", lambda x: F.hex(x["root"])), ""), 256)).drop("leaves").write.parquet(f"{path}/manifest")
+    placed = global_offsets(recipes.select("doc_id", "rid", "n_ids", "payload", "root"), ["doc_id", "rid"], "n_ids", "recipes").withColumnRenamed("offset", "start")
+    placed.drop("part").repartitionByRange("doc_id", "rid").sortWithinPartitions("doc_id", "rid").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    kept = spark.read.parquet(f"{path}/recipes")
+    merkle_tree(kept, kept.count()).write.parquet(f"{path}/manifest")
     return path
 
 
@@ -164,19 +175,15 @@ def crc_shift(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return crc
 
 
-def _digests(width: int):
+def _digests(batches):
     """Read stored chunks: check the payload against its key, and take the CRC of its ids as 4-byte integers."""
-
-    def run(batches):
-        for batch in batches:
-            keys, crcs = batch.column("key").to_pylist(), []
-            for key, payload in zip(keys, batch.column("payload").to_pylist(), strict=True):
-                if chunk_key(payload) != key:
-                    raise ValueError(f"chunk {key.hex()} doesn't match its content")
-                crcs.append(zlib.crc32(np.frombuffer(payload, f"<u{width}").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(crcs, pa.int64()), batch.column("n_ids")], names=["key", "crc", "held"])
-
-    return run
+    for batch in batches:
+        keys, crcs = batch.column("key").to_pylist(), []
+        for key, payload, n in zip(keys, batch.column("payload").to_pylist(), batch.column("n_ids").to_pylist(), strict=True):
+            if chunk_key(payload) != key:
+                raise ValueError(f"chunk {key.hex()} doesn't match its content")
+            crcs.append(zlib.crc32(np.frombuffer(payload, f"<u{len(payload) // n}").astype("<u4").tobytes()))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(crcs, pa.int64()), batch.column("n_ids")], names=["key", "crc", "held"])
 
 
 def _recipe_entries(batches):
@@ -199,25 +206,40 @@ def _shifted(batches):
         yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(crc.astype(np.int64)), batch.column("held")], names=["rid", "part", "held"])
 
 
-def document_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def _verified(spark: SparkSession, path: str) -> DataFrame:
+    """The recipes of a store, once its Merkle tree is found to be as the manifest has it. One row, of nodes that differ, reaches the driver."""
+    recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
+    key = ["level", "node"]
+    whole = manifest.agg(F.max(F.struct("level", "documents")).alias("top")).first().top
+    now = merkle_tree(recipes, whole.documents if whole else 0)
+    same = F.col("x.documents").eqNullSafe(F.col("y.documents")) & F.col("x.n_ids").eqNullSafe(F.col("y.n_ids")) & F.col("x.root").eqNullSafe(F.col("y.root"))
+    wrong = now.alias("x").join(manifest.alias("y"), key, "full").filter(~same).select(*key).first()
+    if wrong:
+        raise ValueError(f"{path}: node {wrong.node} of level {wrong.level} doesn't match the manifest")
+    return recipes
+
+
+def document_digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files of a store: doc_id, start, n_tokens, ids_crc32.
 
-    Every chunk is read once and checked against its key, every recipe against its root; the CRC of a document is put
-    together from those of its chunks, so no payload is shuffled and a chunk of many documents is a light row.
+    Every chunk is read once and checked against its key, every recipe against its root, the roots and counts against the manifest;
+    the CRC of a document is put together from those of its chunks, so no payload is shuffled and a chunk of many documents is
+    a light row.
     """
+    recipes = _verified(spark, path)
     chunks = spark.read.schema(_OBJECT).parquet(f"{path}/objects").filter("kind = 'chunk'")
-    digests = chunks.select("key", "n_ids", "payload").mapInArrow(_digests(width), "key binary, crc long, held long")
-    recipes = spark.read.parquet(f"{path}/recipes")
+    digests = chunks.select("key", "n_ids", "payload").mapInArrow(_digests, "key binary, crc long, held long")
     entries = recipes.select("rid", "payload", "root").mapInArrow(_recipe_entries, "rid long, key binary, after long")
     parts = entries.join(digests, "key").select("rid", "crc", "after", "held").mapInArrow(_shifted, "rid long, part long, held long")
     whole = parts.groupBy("rid").agg(F.bit_xor("part").alias("ids_crc32"), F.sum("held").alias("n_tokens"))
-    return recipes.select("rid", "doc_id", "start").join(whole, "rid").select("doc_id", "start", "n_tokens", "ids_crc32")
+    read = F.when(F.col("n_tokens").eqNullSafe(F.col("n_ids")), F.col("n_tokens")).otherwise(F.raise_error(F.concat(F.lit("chunks are missing of the recipe at "), F.col("start"))).cast("long"))
+    return recipes.select("rid", "doc_id", "start", "n_ids").join(whole, "rid", "left").select("doc_id", "start", read.alias("n_tokens"), "ids_crc32")
 
 
-def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """Rebuild whole documents: doc_id, start, ids (little-endian, `width` bytes each), in no order. For full restores; it shuffles the payloads."""
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Rebuild whole documents: doc_id, start, ids (little-endian), in no order. For full restores; it shuffles the payloads."""
+    recipes = _verified(spark, path)
     chunks = spark.read.schema(_OBJECT).parquet(f"{path}/objects").filter("kind = 'chunk'").select("key", "payload")
-    recipes = spark.read.parquet(f"{path}/recipes")
     entries = recipes.select("rid", "payload", "root").mapInArrow(_recipe_entries, "rid long, key binary, after long")
     ordered = entries.join(chunks, "key").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct((-F.col("after")).alias("at"), "payload"))).alias("parts"))
     hexed = F.aggregate("parts", F.lit(""), lambda a, x: F.concat(a, F.hex(x["payload"])))
