@@ -20,7 +20,7 @@ def test_stages(spark):
         assert steps[-1].columns == names
     rows = [s.select("doc_id", "text").collect() for s in steps]
     assert Counter(rows[1]) == Counter(r for r in rows[0] if r.text and re.search(r"[^\W\d_]", r.text))
-    kept = {doc for doc, _, _, keep in near(rows[1]) if keep}
+    kept = {doc for doc, _, _, keep in near(rows[1], 80) if keep}
     assert sorted(r.doc_id for r in rows[2]) == sorted(kept)
     items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()
     assert sorted(r.doc_id for r in rows[3]) == sorted(c[0] for c in contamination(rows[2], items) if not c[-1])

@@ -294,9 +294,9 @@ def without_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("heavy", [3, 4000])
-def test_repeated_windows(spark, docs, heavy, monkeypatch):
-    monkeypatch.setattr(substrings, "HEAVY", heavy)
+@pytest.mark.parametrize("bucket", [2, 4000])
+def test_repeated_windows(spark, docs, bucket, monkeypatch):
+    monkeypatch.setattr(substrings, "BUCKET", bucket)
     rng = np.random.RandomState(5)
     passage = [f"p{i}" for i in range(60)]
     made = [(2000 + i, " ".join([f"a{rng.randint(9999)}" for _ in range(rng.randint(30))] + passage[rng.randint(20) :] + [f"b{rng.randint(9999)}" for _ in range(20)] + ["same"] * rng.randint(50))) for i in range(40)]
@@ -304,6 +304,24 @@ def test_repeated_windows(spark, docs, heavy, monkeypatch):
     same(substrings.digests(substrings.remove_repeats(docs)).collect(), without_repeats([tuple(r) for r in docs.collect()]))
 
 
+def thue_morse(n):
+    out = "a"
+    for _ in range(n):
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_words_of_one_polynomial(spark):
+    """Two words that every polynomial hash modulo 2^64 takes for one."""
+    word = thue_morse(10)
+    other = word.translate(str.maketrans("ab", "ba"))
+    words = [f"w{i}" for i in range(25)]
+    docs = spark.createDataFrame([(i, " ".join([*words[:12], w, *words[12:]])) for i, w in enumerate((word, other))], "doc_id long, text string")
+    same(substrings.digests(substrings.remove_repeats(docs)).collect(), without_repeats([tuple(r) for r in docs.collect()]))
+    few = spark.createDataFrame([(i, " ".join([w, *words[:5]])) for i, w in enumerate((word, other))], "doc_id long, text string")
+    assert [r.component_id for r in neardup.near_duplicates(few).orderBy("doc_id").collect()] == [0, 1]
+
+
 @pytest.fixture
 def shifting(spark, tmp_path):
     """Documents in one file of many row groups, and a function that changes how later scans split it."""

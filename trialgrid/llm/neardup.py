@@ -7,7 +7,9 @@ shingle). Documents with Jaccard similarity of at least `threshold` (in hundredt
 2. A signature has 48 coordinates, each the minima of two hash functions. Every class is posted under each pair of
    (coordinate, value). Two classes at the threshold agree in fewer than `match_of(threshold)` coordinates with a chance below
    one in a million (at 85: in 34.7 on average, and in fewer than 19). So a class with fewer shared postings is skipped, and only
-   the first 48 - 19 + 1 = 30 coordinates (the prefix) have to be joined: a pair that agrees in 19 meets in one of them.
+   the first 48 - 19 + 1 = 30 coordinates (the prefix) have to be joined: a pair that agrees in 19 meets in one of them. Of every
+   pair that meets in the steps below the collisions are counted over all coordinates, and it is dropped if they are too few;
+   only pairs that are left load full sets.
 3. Classes that remain get their full sets. `own` counts the shingles that no other remaining class has. As
    intersection <= size - own on either side and union >= intersection + own + other's own, a member of a posting list whose
    own shingles are too many even for the list's best partner is skipped without forming a pair.
@@ -41,6 +43,7 @@ from trialgrid.llm.common import gram_hash, mix64, numbered, stored, text_slices
 WORDS, COORDINATES, ROWS, MISS = 5, 48, 2, 1e-6
 #: Differences of more items don't travel with each posting; their pairs are confirmed on full sets alone.
 CARRIED = 512
+SALTS = 64
 _random = np.random.RandomState(20)
 _A = _random.randint(1, 1 << 62, COORDINATES * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.randint(1, 1 << 62, COORDINATES * ROWS).astype(np.uint64)
@@ -164,8 +167,16 @@ def _linked(threshold: int) -> Column:
     return 100 * shared >= threshold * (F.size("items_a") + F.size("items_b") - shared)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of classes whose full sets reach the threshold."""
+def _counted(pairs: DataFrame, keys: DataFrame, match: int) -> DataFrame:
+    """Pairs (a, b) of classes that collide in at least `match` coordinates."""
+    left, right = keys.select(F.col("cid").alias("a"), F.col("keys").alias("x")), keys.select(F.col("cid").alias("b"), F.col("keys").alias("y"))
+    equal = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, one: n + one)
+    return pairs.join(left, "a").join(right, "b").filter(equal >= match).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, keys: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of classes that collide often enough and whose full sets reach the threshold."""
+    pairs = _counted(pairs, keys, match_of(threshold))
     left, right = sets.select(F.col("cid").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("cid").alias("b"), F.col("items").alias("items_b"))
     # spread a hub's sets by hash of the other end instead of leaving them where the hub is
     return pairs.join(left, "a").join(right, "b").filter(_linked(threshold)).select("a", "b")
@@ -188,7 +199,7 @@ def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    return _grouped(docs.withColumn("__rid", F.monotonically_increasing_id()), threshold).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return _grouped(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__rid")), threshold).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, threshold: int = 85) -> DataFrame:
@@ -208,6 +219,7 @@ def _class_components(docs: DataFrame, signed: DataFrame, classes: DataFrame, th
     hits = stored(posted.join(shared, "k"), "hits")
     live = stored(hits.groupBy("cid").agg(F.count("*").alias("m")).filter(F.col("m") >= match).select("cid"), "live")
     sets = stored(_live_sets(docs, signed, classes, live), "sets")
+    keys = stored(one.join(live, "cid"), "keys")
     single = sets.select("cid", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("m"), F.min("cid").alias("cid")).filter("m = 1")
     own = single.groupBy("cid").agg(F.count("*").alias("own"))
     about = sets.select("cid", F.size("items").alias("n")).join(own, "cid", "left").withColumn("own", F.coalesce("own", F.lit(0)))
@@ -218,14 +230,14 @@ def _class_components(docs: DataFrame, signed: DataFrame, classes: DataFrame, th
     best = members.groupBy("k").agg(F.min(F.struct("own", "cid")).alias("best"), F.count("*").alias("m")).filter("m > 1")
     met = members.join(best, "k").filter(rest * (F.col("n") - F.col("own")) >= threshold * (F.col("own") + F.col("best.own")))
     alive = stored(met.select("k", "c", "cid", "n", "own", F.col("best.cid").alias("centre")), "alive")
-    links = stored(_verified(alive.filter("cid <> centre").select(F.col("cid").alias("a"), F.col("centre").alias("b")).distinct(), sets, threshold), "links")
+    links = stored(_verified(alive.filter("cid <> centre").select(F.col("cid").alias("a"), F.col("centre").alias("b")).distinct(), sets, keys, threshold), "links")
 
     # components of a list meet through their best members
     placed = _placed(alive, connected(links, "cc"), "placed")
     split = placed.groupBy("k").agg(F.min(F.struct("own", "cid", "root")).alias("best"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("k", "best")
     heads = placed.groupBy("k", "root").agg(F.min(F.struct("own", "cid")).alias("head"))
     again = heads.join(split, "k").filter("root <> best.root").select(F.col("head.cid").alias("a"), F.col("best.cid").alias("b")).distinct()
-    links = stored(links.unionByName(_verified(again.join(links, ["a", "b"], "left_anti"), sets, threshold)), "links")
+    links = stored(links.unionByName(_verified(again.join(links, ["a", "b"], "left_anti"), sets, keys, threshold)), "links")
 
     # what is left: members of a centre's lists in different components
     group = alive.select("centre", "cid").distinct().join(connected(links, "cc").withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -233,11 +245,11 @@ def _class_components(docs: DataFrame, signed: DataFrame, classes: DataFrame, th
     posted, sure = _differences(group.join(split, "centre"), sets, threshold)
     heads = posted.groupBy("centre", "item").agg(F.min_by(F.struct("cid", "n", "excess", "size", "d"), F.struct("excess", "cid")).alias("h")).select("centre", "item", "h.*")
     star = _close(posted.alias("x"), heads.alias("y"), threshold, F.col("x.cid") != F.col("y.cid"))
-    links = stored(links.unionByName(_verified(sure.unionByName(star).distinct(), sets, threshold)), "links")
+    links = stored(links.unionByName(_verified(sure.unionByName(star).distinct(), sets, keys, threshold)), "links")
     again = posted.join(connected(links, "cc").withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     again = stored(again, "apart")
     pairs = _close(again.alias("x"), again.alias("y"), threshold, (F.col("x.root") != F.col("y.root")) & (F.col("x.cid") < F.col("y.cid")))
-    found = stored(links.unionByName(_verified(pairs.distinct(), sets, threshold)), "links")
+    found = stored(links.unionByName(_verified(pairs.distinct(), sets, keys, threshold)), "links")
     return connected(found, "cc")
 
 
@@ -246,14 +258,14 @@ def _differences(group: DataFrame, sets: DataFrame, threshold: int) -> tuple[Dat
 
     A core has fewer items than two mean sets of its group, as each is in more than half of them.
     """
-    have = group.join(sets, "cid").select("centre", "cid", "items")
+    have = stored(group.join(sets, "cid").select("centre", "cid", "items"), "have")
     sizes = group.groupBy("centre").agg(F.count("*").alias("m"))
-    core = have.select("centre", F.explode("items").alias("item")).groupBy("centre", "item").agg(F.count("*").alias("f")).join(sizes, "centre").filter("2 * f > m").groupBy("centre").agg(F.collect_list("item").alias("core"))
-    both = have.join(core, "centre", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
+    core = _by_centre(have.select("centre", F.explode("items").alias("item")).groupBy("centre", "item").agg(F.count("*").alias("f")), sizes, "item").filter("2 * f > m").groupBy("centre").agg(F.collect_list("item").alias("core"))
+    both = _by_centre(have, core, "cid", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
     apart = both.select("centre", "cid", F.size("items").alias("n"), F.concat(F.array_except("items", "core"), F.array_except("core", "items")).alias("d"))
     apart = stored(apart.withColumn("size", F.size("d")).withColumn("excess", (100 + threshold) * F.col("size") - (100 - threshold) * F.col("n")), "differences")
     least = apart.groupBy("centre").agg(F.min(F.struct("excess", "cid")).alias("least"))
-    apart = apart.join(least, "centre")
+    apart = _by_centre(apart, least, "cid")
     sure = apart.filter((F.col("excess") + F.col("least.excess") <= 0) & (F.col("cid") != F.col("least.cid"))).select(F.col("cid").alias("a"), F.col("least.cid").alias("b"))
     need = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col("least.excess")) / (2 * (100 + threshold))))
     each = apart.select("centre", "cid", (F.col("size") - need + 1).alias("prefix"), F.explode("d").alias("item")).filter("prefix > 0")
@@ -264,6 +276,12 @@ def _differences(group: DataFrame, sets: DataFrame, threshold: int) -> tuple[Dat
     return stored(prefix.join(small, ["centre", "cid"]), "postings"), sure
 
 
+def _by_centre(rows: DataFrame, one: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """`rows` joined with the one row of its centre. Copies of that row spread a centre that many rows have."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    return rows.join(one.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["centre", "salt"], how).drop("salt")
+
+
 def _close(x: DataFrame, y: DataFrame, threshold: int, which: Column) -> DataFrame:
     """Pairs (a, b) of postings x and y of one item whose differences allow a link (where both are carried: that are one)."""
     shared = F.when(F.col("x.d").isNotNull() & F.col("y.d").isNotNull(), F.size(F.array_intersect("x.d", "y.d"))).otherwise(F.least("x.size", "y.size"))
