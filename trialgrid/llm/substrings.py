@@ -186,7 +186,8 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     classes = stored(shared.groupBy(*kind).agg(F.min(place).alias("first"), F.count("*").alias("m"), F.max("twice").alias("twice")), "classes")
     copies = shared.join(classes.filter("m > 1").select(*kind, "first"), kind).filter(place != F.col("first")).select("rid", "start", (F.col("start") + F.col("size") + SPAN - 1).cast("int").alias("stop"))
 
-    several = classes.groupBy("minimiser").agg(F.count("*").alias("c"), F.max("twice").alias("any")).filter("c > 1 or any")
+    # written first, so that the join has shuffles of its own and Spark can split a minimiser that many classes have
+    several = stored(classes.groupBy("minimiser").agg(F.count("*").alias("c"), F.max("twice").alias("any")).filter("c > 1 or any").select("minimiser", "c"), "several")
     parts = F.ceil(F.col("c") / BUCKET).cast("int")
     sent = classes.select("minimiser", "content", "size", "first.rid", "first.start").join(several, "minimiser").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("content", "size"), F.col("parts")).cast("int"))
     wanted = sent.groupBy("rid").agg(F.collect_list(F.struct("start", "size", "minimiser", "part", "parts")).alias("runs"))
