@@ -27,6 +27,11 @@ def r6(c: str) -> Column:
     return F.round(F.col(c), 6).alias(c)
 
 
+def tidy(c: Column | str, name: str, digits: int = 6) -> Column:
+    """Rounded a little above the half, so that sums that lie on a tie don't hang on the order of their terms (in SQL: round(x + 1e-9, digits))."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, digits).alias(name)
+
+
 @query("select region, channel, phase, round(t, 6) as onset from (select roi as region, channel, phase, min(time) as t from signal where mask group by all)")
 def onset_latency(spark, d):
     return op.earliest(v.signal(spark, d).filter("mask").select("channel", "phase", "time", F.col("roi").alias("region")), ["channel", "phase"], "time").select("region", "channel", "phase", F.round("time", 6).alias("onset"))

@@ -59,6 +59,21 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), at(0).alias("x"), at(1).alias("y"), at(2).alias("z"), F.col("label").alias("class"))
 
 
+def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Electrode contacts as labels come in practice: padded subject codes, paired names, sides in brackets, places partly in metres."""
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("s_suppkey")
+    side, scale = F.when(F.col("s_nationkey") % 2 == 0, "L").otherwise("R"), F.when(k % 4 == 0, 0.001).otherwise(1.0)
+    place = lambda step, width: ((k * step % width - width // 2).cast("double") * scale)
+    return rows.select(
+        k.alias("id"), F.col("s_name").alias("channel"), F.concat(F.lit("D"), F.lpad(F.col("s_nationkey").cast("string"), 4, "0")).alias("code"),
+        F.when(k % 10 == 0, "REF").otherwise(F.concat(F.upper(F.substring("r_name", 1, 2)), k % 9 + 1, F.lit("-"), k % 9 + 2)).alias("pair"),
+        F.when(k % 6 == 0, F.col("n_name")).otherwise(F.concat("n_name", F.lit(" ("), side, F.lit(")"))).alias("tag"),
+        F.when(k % 11 != 0, F.concat(F.lit("ctx_"), F.lower("r_name"), F.lit("_"), "n_name")).alias("label"),
+        F.col("r_name").alias("region"), F.col("n_name").alias("nation"), place(37, 200).alias("x"), place(53, 160).alias("y"), place(71, 120).alias("z"), F.col("s_acctbal").alias("power"),
+    )
+
+
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per trial and feature."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("trial"), "label", F.posexplode("embedding").alias("pos", "value"))
@@ -79,5 +94,11 @@ edges as (select sn.n_name as source, cn.n_name as target, c_mktsegment as subje
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
   join nation sn on s_nationkey = sn.n_nationkey join nation cn on c_nationkey = cn.n_nationkey where sn.n_name <> cn.n_name group by all),
 membership as (select distinct user_id as subject, event_type as dataset from events where value > 150),
+contacts as (select s_suppkey as id, s_name as channel, 'D' || lpad(s_nationkey::varchar, 4, '0') as code,
+  case when s_suppkey % 10 = 0 then 'REF' else upper(substr(r_name, 1, 2)) || (s_suppkey % 9 + 1) || '-' || (s_suppkey % 9 + 2) end as pair,
+  case when s_suppkey % 6 = 0 then n_name else n_name || ' (' || (case when s_nationkey % 2 = 0 then 'L' else 'R' end) || ')' end as tag,
+  case when s_suppkey % 11 <> 0 then 'ctx_' || lower(r_name) || '_' || n_name end as label, r_name as region, n_name as nation,
+  (s_suppkey * 37 % 200 - 100)::double * scale as x, (s_suppkey * 53 % 160 - 80)::double * scale as y, (s_suppkey * 71 % 120 - 60)::double * scale as z, s_acctbal as power
+  from (select *, case when s_suppkey % 4 = 0 then 0.001::double else 1.0::double end as scale from supplier) join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
 points as (select vec_id as id, embedding[1]::double * 100 as x, embedding[2]::double * 100 as y, embedding[3]::double * 100 as z, label as class from embeddings)
 """
