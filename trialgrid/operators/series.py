@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialgrid.sources.work import written
+
 
 def not_in_keeping_null(col: str, values: list) -> Column:
     """Negated membership that keeps missing values."""
@@ -33,9 +32,9 @@ def peak(df: DataFrame, keys: list[str], order: str, value: str = "value") -> Da
 
 
 def earliest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Row with the smallest `order` of each key."""
+    """Row with the smallest `order` of each key; on ties the one whose other columns come first. Rows without an order come last."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(F.col(order).isNull(), order, *(c for c in rest if c != order))).alias("r")).select(*keys, "r.*")
 
 
 def runs(df: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:
@@ -52,6 +51,14 @@ def moving_mean(df: DataFrame, keys: list[str], order: str, size: int, step: int
     return df.select(*keys, value, k.alias("win")).groupBy(*keys, "win").agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
 
 
+def window_grid(df: DataFrame, keys: list[str], order: str, size: int, step: int, low: int, high: int, value: str = "value") -> DataFrame:
+    """keys, stop, n, mean of windows [stop - size, stop) that end at low + size and every `step` after, as long as they lie within [low, high]."""
+    last = low + size + (high + 1 - low - size) // step * step
+    first = F.greatest(F.lit(low + size), F.ceil((F.col(order) + 1 - low - size) / step) * step + low + size)
+    stop = F.explode(F.when(first <= F.least(F.lit(last), F.col(order) + size), F.sequence(first, F.least(F.lit(last), F.col(order) + size).cast("long"), F.lit(step).cast("long")))).alias("stop")
+    return df.select(*keys, value, stop).groupBy(*keys, "stop").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
 def pearson_pairs(df: DataFrame, within: list[str], channel: str, order: str, value: str = "value") -> DataFrame:
     """Correlation of every ordered pair of channels that share the keys `within`, on samples both have."""
     a = df.select(*within, order, F.col(channel).alias("a"), F.col(value).alias("va"))
@@ -59,12 +66,34 @@ def pearson_pairs(df: DataFrame, within: list[str], channel: str, order: str, va
     return a.join(b, [*within, order]).filter("a < b").groupBy(*within, "a", "b").agg(F.corr("va", "vb").alias("r"), F.count("*").alias("n"))
 
 
-def lagged_correlation(df: DataFrame, keys: list[str], order: str, x: str, y: str, lags: range) -> DataFrame:
-    """Correlation of x with y `lag` samples later: one row a key and lag."""
+def lagged_correlation(left: DataFrame, right: DataFrame, keys: list[str], order: str, x: str, y: str, lags: range) -> DataFrame:
+    """Correlation of x with y `lag` samples later and the number of pairs: one row a key and lag."""
     lag = F.explode(F.array(*(F.lit(i) for i in lags))).alias("lag")
-    left = df.select(*keys, order, x, lag).withColumn("at", F.col(order) + F.col("lag"))
-    right = df.select(*keys, F.col(order).alias("at"), y)
-    return left.join(right, [*keys, "at"]).groupBy(*keys, "lag").agg(F.corr(x, y).alias("r"), F.count("*").alias("n"))
+    moved = left.select(*keys, order, x, lag).withColumn("at", F.col(order) + F.col("lag"))
+    return moved.join(right.select(*keys, F.col(order).alias("at"), y), [*keys, "at"]).groupBy(*keys, "lag").agg(F.corr(x, y).alias("r"), F.count("*").alias("n"))
+
+
+def correlogram(df: DataFrame, keys: list[str], order: str, x: str, y: str, at_least: int = 10) -> DataFrame:
+    """keys, lag, r: sum of x[n + lag] * y[n] / N of both series standardised over the samples that both have, for all lags; keys with fewer than `at_least` samples are left out."""
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    level = rows.groupBy(*keys).agg(F.avg(x).alias("mx"), F.stddev_pop(x).alias("sx"), F.avg(y).alias("my"), F.stddev_pop(y).alias("sy"), F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).filter(F.col("n") >= at_least)
+    z = rows.join(level, keys).select(*keys, order, "n", "lo", "hi", ((F.col(x) - F.col("mx")) / (F.col("sx") + 1e-8)).alias("x"), ((F.col(y) - F.col("my")) / (F.col("sy") + 1e-8)).alias("y"))
+    a = z.select(*keys, order, "n", "x", F.explode(F.sequence(F.col(order) - F.col("hi"), F.col(order) - F.col("lo"))).alias("lag")).withColumn("at", F.col(order) - F.col("lag"))
+    return a.join(z.select(*keys, F.col(order).alias("at"), "y"), [*keys, "at"]).groupBy(*keys, "lag").agg((F.sum(F.col("x") * F.col("y")) / F.max("n")).alias("r"))
+
+
+def edge_cells(edges: DataFrame, keys: list[str], alpha: float, least_ratio: float) -> DataFrame:
+    """keys, pdc, pdc_sig, sig_ratio over edges (pdc, pval), of cells whose significant ratio is over `least_ratio`."""
+    sig = F.round("pval", 9) < alpha
+    got = edges.groupBy(*keys).agg(F.avg("pdc").alias("pdc"), F.avg(F.when(sig, F.col("pdc"))).alias("pdc_sig"), F.avg(sig.cast("int")).alias("sig_ratio"))
+    return got.filter(F.round("sig_ratio", 9) > least_ratio)
+
+
+def top_names(df: DataFrame, key: str, falling: list[str], rising: list[str], name: Column, n: int, out: str) -> DataFrame:
+    """key, out: the names of the first n rows of each key, comma-joined."""
+    w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in falling), *rising)
+    top = df.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= n).select(key, F.struct("__k", name.alias("name")).alias("e"))
+    return top.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["name"]), ",").alias(out))
 
 
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, tie: list[str]) -> DataFrame:
@@ -98,22 +127,14 @@ def nearest(queries: DataFrame, cloud: DataFrame, cell: float) -> DataFrame:
     if cloud.isEmpty():
         return _within(left, cloud, cell)
     while True:
-        found = _kept(_within(left, cloud, cell))
+        found = written(_within(left, cloud, cell), "nearest")
         done = found if done is None else done.unionByName(found)
-        left = _kept(left.join(found, "id", "left_anti"))
+        left = written(left.join(found, "id", "left_anti"), "nearest")
         if left.isEmpty():
             return done
         cell *= 4
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Written once, so that later rounds have a short plan and lose nothing with an executor."""
-    folder = (df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="trialgrid-")).rstrip("/")
-    path = f"{folder}/nearest-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _within(queries: DataFrame, cloud: DataFrame, cell: float) -> DataFrame:
     """The nearest cloud point of each query that has one within `cell`: all these lie in the cells next to its own."""
     grid = lambda c: F.floor(F.col(c) / cell)

@@ -5,9 +5,14 @@ Randomness is the md5 of the row's key, so that a lost task recomputes the same
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialgrid.operators.summaries import global_place, ranked
+
 
 def md5_of(*parts) -> Column:
     return F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)))
@@ -25,33 +30,112 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def stratified_folds(trials: DataFrame, k: int) -> DataFrame:
     """(trial, label, fold): each label's trials are dealt to k folds in md5 order."""
-    w = Window.partitionBy("label").orderBy(md5_of(F.col("trial")), "trial")
-    return trials.select("trial", "label").distinct().withColumn("fold", (F.row_number().over(w) - 1) % k)
+    one = trials.select("trial", "label").distinct()
+    return ranked(one, ["label"], [md5_of(F.col("trial")), F.col("trial")]).select("trial", "label", ((F.col("place") - 1) % k).alias("fold"))
+
+
+def shuffled_folds(trials: DataFrame, k: int, seed: int) -> DataFrame:
+    """(trial, fold): all trials dealt to k folds in md5 order."""
+    placed = global_place(trials.select("trial"), [md5_of(F.lit(seed), F.col("trial")), F.col("trial")])
+    return placed.select("trial", ((F.col("place") - 1) % k).alias("fold"))
+
+
+def folds_spreading_gaps(rows: DataFrame, k: int, seed: int) -> DataFrame:
+    """(trial, label, gap, fold): each label's complete trials are dealt to the folds first, then on those with a missing value."""
+    one = rows.groupBy("trial", "label").agg(F.bool_or(F.col("value").isNull()).alias("gap"))
+    placed = ranked(one, ["label"], [F.col("gap"), md5_of(F.lit(seed), F.col("trial")), F.col("trial")])
+    return placed.select("trial", "label", "gap", ((F.col("place") - 1) % k).alias("fold"))
+
+
+def mixup(rows: DataFrame, folds: DataFrame, seed: int) -> DataFrame:
+    """(fold, trial, pos, value) of the missing values of each fold's training trials: a convex mix of two complete training trials of the same label.
+
+    A label without a complete training trial gives none. With only one, both parts are that one.
+    """
+    every = folds.select("fold").distinct().withColumnRenamed("fold", "own")
+    train = folds.withColumnRenamed("fold", "own").join(F.broadcast(every.withColumnRenamed("own", "fold")), F.col("own") != F.col("fold")).drop("own")  # folds are few
+    w = Window.partitionBy("fold", "label")
+    donor = train.filter("not gap").select("fold", "label", F.col("trial").alias("donor"), (F.row_number().over(w.orderBy(md5_of(F.lit(seed), F.col("fold"), F.col("trial")), "trial")) - 1).cast("long").alias("k"))
+    count = donor.groupBy("fold", "label").agg(F.count("*").alias("m"))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("mix"), "fold", "trial")), 1, 8), 16, 10).cast("long")
+    need = train.filter("gap").withColumn("h", h).join(count, ["fold", "label"])
+    part = lambda step, name: need.withColumn("k", (F.col("h") + step) % F.col("m")).join(donor, ["fold", "label", "k"]).select("fold", "trial", "h", F.col("donor").alias(name))
+    both = part(0, "a").join(part(1, "b").drop("h"), ["fold", "trial"])
+    of = lambda name: rows.select(F.col("trial").alias(name), "pos", F.col("value").alias(f"v{name}"))
+    missing = rows.filter("value is null").select("trial", "pos")
+    mixed = missing.join(both, "trial").join(of("a"), ["a", "pos"]).join(of("b"), ["b", "pos"])
+    share = F.col("h") / F.lit(4294967296.0)
+    return mixed.select("fold", "trial", "pos", (share * F.col("va") + (1 - share) * F.col("vb")).alias("value"))
 
 
 def shuffled_labels(folds: DataFrame, permutations: int) -> DataFrame:
-    """(perm, trial, fold, label): labels shuffled within each fold for every perm from 1; perm 0 is as observed."""
+    """(perm, trial, fold, label, truth): labels shuffled within each fold for every perm from 1; perm 0 is as observed.
+
+    A fold's centroids come from the shuffled labels of the other folds, and its trials are scored by their truth, so that only training labels are shuffled.
+    """
     each = folds.select("*", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
     w = Window.partitionBy("perm", "fold")
-    left = each.select("perm", "fold", "trial", F.row_number().over(w.orderBy("trial")).alias("place"))
+    left = each.select("perm", "fold", "trial", F.col("label").alias("truth"), F.row_number().over(w.orderBy("trial")).alias("place"))
     right = each.select("perm", "fold", "label", F.row_number().over(w.orderBy(md5_of(F.col("perm"), F.col("trial")), "trial")).alias("place"))
-    moved = left.join(right, ["perm", "fold", "place"]).select("perm", "trial", "fold", "label")
-    return folds.select(F.lit(0).alias("perm"), "trial", "fold", "label").unionByName(moved)
+    moved = left.join(right, ["perm", "fold", "place"]).select("perm", "trial", "fold", "label", "truth")
+    return folds.select(F.lit(0).alias("perm"), "trial", "fold", "label", F.col("label").alias("truth")).unionByName(moved)
+
+
+def shuffled_targets(rows: DataFrame, target: Column, permutations: int, seed: int, purpose: str) -> DataFrame:
+    """`rows` (trial, fold, ...) with y: an array of the target and its shuffles within each fold."""
+    one = rows.select("trial", "fold", target.alias("t")).distinct()
+    if not permutations:
+        return rows.withColumn("y", F.array(target))
+    each = one.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    w = Window.partitionBy("perm", "fold")
+    left = each.select("perm", "fold", "trial", F.row_number().over(w.orderBy("trial")).alias("place"))
+    right = each.select("perm", "fold", "t", F.row_number().over(w.orderBy(md5_of(F.lit(seed), F.lit(purpose), F.col("perm"), F.col("trial")), "trial")).alias("place"))
+    moved = left.join(right, ["perm", "fold", "place"]).groupBy("trial").agg(F.transform(F.array_sort(F.collect_list(F.struct("perm", "t"))), lambda s: s["t"]).alias("moved"))
+    return rows.join(moved, "trial").withColumn("y", F.concat(F.array(target), "moved")).drop("moved")
+
+
+def class_targets(rows: DataFrame, label: str, classes, permutations: int, seed: int) -> DataFrame:
+    """`rows` with y: for the label and each of its shuffles one indicator a class."""
+    known = F.array(*(F.lit(c) for c in classes))
+    return shuffled_targets(rows, F.col(label), permutations, seed, "class").withColumn("y", F.flatten(F.transform("y", lambda y: F.transform(known, lambda c: (y == c).cast("double")))))
+
+
+def accuracy(pred: DataFrame, label: str, classes, permutations: int, keys: list[str] = ()) -> DataFrame:
+    """keys, perm, accuracy of the class with the largest prediction, the first on ties; scored by the true label."""
+    n = len(classes)
+    best = F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda p: F.array_position(F.slice("pred", p * n + 1, F.lit(n)), F.array_max(F.slice("pred", p * n + 1, F.lit(n)))))
+    each = pred.select(*keys, label, F.posexplode(best).alias("perm", "at"))
+    known = F.array(*(F.lit(c) for c in classes))
+    return each.groupBy(*keys, "perm").agg(F.round(F.avg((F.get(known, (F.col("at") - 1).cast("int")) == F.col(label)).cast("int")), 9).alias("accuracy"))
+
+
+def regression_scores(each: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, r2 (mean over folds), mse, from rows (keys, fold, truth, pred)."""
+    part = each.groupBy(*keys, "fold").agg(F.avg((F.col("truth") - F.col("pred")) ** 2).alias("e"), F.var_pop("truth").alias("v"))
+    return part.groupBy(*keys).agg(F.avg(F.when(F.col("v") > 0, 1 - F.col("e") / F.col("v"))).alias("r2"), F.avg("e").alias("mse"))
 
 
 def fold_standardise(rows: DataFrame, folds: DataFrame) -> DataFrame:
-    """(trial, fold, pos, z): values scaled by mean and deviation of the other folds, from sums of each fold (one pass)."""
-    tagged = rows.join(folds.select("trial", "fold"), "trial")
+    """(trial, fold, pos, z): values scaled by mean and deviation of the other folds. A feature that is constant there has z 0; a null value stays null.
+
+    Sums are of differences from the feature's overall mean, so that large values lose no digits.
+    """
+    middle = rows.groupBy("pos").agg(F.avg("value").alias("mid"))
+    tagged = rows.join(folds.select("trial", "fold"), "trial").join(middle, "pos").withColumn("value", F.col("value") - F.col("mid"))
     part = tagged.groupBy("fold", "pos").agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     whole = part.groupBy("pos").agg(F.sum("n").alias("n0"), F.sum("s").alias("s0"), F.sum("q").alias("q0"))
-    n = F.col("n0") - F.col("n")
-    mean = (F.col("s0") - F.col("s")) / n
-    fitted = part.join(whole, "pos").select("fold", "pos", mean.alias("mu"), F.sqrt((F.col("q0") - F.col("q")) / n - mean * mean).alias("sd"))
-    return tagged.join(fitted, ["fold", "pos"]).select("trial", "fold", "pos", ((F.col("value") - F.col("mu")) / F.col("sd")).alias("z"))
+    n = F.nullif(F.col("n0") - F.col("n"), F.lit(0))
+    mean = (F.col("s0") - F.coalesce("s", F.lit(0.0))) / n
+    variance = (F.col("q0") - F.coalesce("q", F.lit(0.0))) / n - mean * mean
+    fitted = part.join(whole, "pos").select("fold", "pos", mean.alias("mu"), variance.alias("var"), ((F.col("q0") / F.col("n0")) * 1e-12).alias("least"))
+    z = F.when(F.col("var") > F.col("least"), (F.col("value") - F.col("mu")) / F.sqrt("var")).when(F.col("value").isNotNull(), 0.0)
+    return tagged.join(fitted, ["fold", "pos"]).select("trial", "fold", "pos", z.alias("z"))
 
 
 def decode(z: DataFrame, labels: DataFrame) -> DataFrame:
-    """(perm, trial, fold, label, pred): nearest centroid of the labels of the other folds; sums only, no rows are gathered."""
+    """(perm, trial, fold, label, pred): nearest centroid of the labels of the other folds; label is the truth where `labels` has it. Sums only, no rows are gathered."""
+    if "truth" not in labels.columns:
+        labels = labels.withColumn("truth", F.col("label"))
     rows = labels.join(z.drop("fold"), "trial")
     part = rows.groupBy("perm", "fold", "label", "pos").agg(F.sum("z").alias("s"), F.count("z").alias("n"))
     whole = part.groupBy("perm", "label", "pos").agg(F.sum("s").alias("s0"), F.sum("n").alias("n0"))
@@ -59,14 +143,14 @@ def decode(z: DataFrame, labels: DataFrame) -> DataFrame:
     centre = folds.join(whole, "perm").join(part, ["perm", "fold", "label", "pos"], "left")
     n = F.col("n0") - F.coalesce("n", F.lit(0))
     centre = centre.filter(n > 0).select("perm", "fold", F.col("label").alias("class"), "pos", ((F.col("s0") - F.coalesce("s", F.lit(0.0))) / n).alias("c"))
-    near = rows.join(centre, ["perm", "fold", "pos"]).groupBy("perm", "trial", "fold", "label", "class").agg(F.sum((F.col("z") - F.col("c")) ** 2).alias("d"))
-    return near.groupBy("perm", "trial", "fold", "label").agg(F.min_by("class", F.struct(F.round("d", 6), "class")).alias("pred"))
+    near = rows.join(centre, ["perm", "fold", "pos"]).groupBy("perm", "trial", "fold", "truth", "class").agg(F.sum((F.col("z") - F.col("c")) ** 2).alias("d"))
+    return near.groupBy("perm", "trial", "fold", F.col("truth").alias("label")).agg(F.min_by("class", F.struct(F.round("d", 6), "class")).alias("pred"))
 
 
 def empirical_p(scores: DataFrame, keys: list[str], score: str) -> DataFrame:
     """keys, observed (perm 0), p: one-sided with one added to count and total."""
     best = scores.filter("perm = 0").select(*keys, F.col(score).alias("observed"))
-    both = scores.filter("perm > 0").join(best, keys) if keys else scores.filter("perm > 0").withColumn("j", F.lit(1)).join(best.withColumn("j", F.lit(1)), "j")
+    both = scores.filter("perm > 0").join(best, keys) if keys else scores.filter("perm > 0").join(F.broadcast(best), F.lit(True))  # best is one row
     return both.groupBy(*keys, "observed").agg(((F.count_if(F.col(score) >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p"))
 
 
@@ -82,6 +166,47 @@ def one_sample_t(means: DataFrame, keys: list[str], value: str, at_least: int =
     return got.withColumn("t", F.when((F.col("n") >= at_least) & (F.col("sd") > 0), F.col("mean") / (F.col("sd") / F.sqrt("n"))))
 
 
+def group_tests(means: DataFrame, keys: list[str], value: str, at_least: int = 3) -> DataFrame:
+    """n, mean, sd, t and the signed-rank sum of the positive values (ties share their ranks); keys with fewer than `at_least` values have no test."""
+    size = F.round(F.abs(value), 9)
+    rank = F.rank().over(Window.partitionBy(*keys).orderBy("__size")) + (F.count("*").over(Window.partitionBy(*keys, "__size")) - 1) / 2
+    placed = means.withColumn("__size", size).withColumn("__rank", rank)
+    got = placed.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.sum(F.when(F.col(value) > 0, F.col("__rank")).otherwise(0.0)).alias("w"))
+    enough = F.col("n") >= at_least
+    return got.withColumn("t", F.when(enough & (F.col("sd") > 0), F.col("mean") / (F.col("sd") / F.sqrt("n")))).withColumn("wilcoxon", F.when(enough, F.col("w"))).drop("w")
+
+
+def student_tail(t: float, df: float) -> float:
+    """P(T > t) of Student's distribution, by Simpson's rule over the angle whose tangent is t / sqrt(df)."""
+    steps, top = 400, math.pi / 2
+    low = math.atan(t / math.sqrt(df))
+    f = lambda a: max(math.cos(a), 0.0) ** (df - 1)
+    area = lambda a, b: (b - a) / (3 * steps) * sum((1 if i in (0, steps) else 4 if i % 2 else 2) * f(a + (b - a) * i / steps) for i in range(steps + 1))
+    return area(low, top) / area(-top, top)
+
+
+def signed_rank_tail(w: float, n: int) -> float:
+    """P(W >= w) of the signed-rank sum of n values, exact."""
+    ways = [1] + [0] * (n * (n + 1) // 2)
+    for r in range(1, n + 1):
+        for s in range(len(ways) - 1, r - 1, -1):
+            ways[s] += ways[s - r]
+    return sum(ways[max(0, math.ceil(w)) :]) / 2**n
+
+
+def with_p_values(tests: DataFrame) -> DataFrame:
+    """The rows of `group_tests` with one-sided p_t and p_wilcoxon (over 60 values by the normal approximation)."""
+
+    def p_t(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([student_tail(x, m - 1) if x == x and x is not None else None for x, m in zip(t, n, strict=True)], dtype="float64")
+
+    def p_w(w: pd.Series, n: pd.Series) -> pd.Series:
+        normal = lambda x, m: 0.5 * math.erfc((x - 0.5 - m * (m + 1) / 4) / math.sqrt(m * (m + 1) * (2 * m + 1) / 12))
+        return pd.Series([None if x != x or x is None else signed_rank_tail(x, int(m)) if m <= 60 else normal(x, m) for x, m in zip(w, n, strict=True)], dtype="float64")
+
+    return tests.withColumn("p_t", F.pandas_udf(p_t, "double")("t", "n")).withColumn("p_wilcoxon", F.pandas_udf(p_w, "double")("wilcoxon", "n"))
+
+
 def autoregression(df: DataFrame, keys: list[str], order: str, value: str = "value") -> DataFrame:
     """Order-1 coefficients of each series: slope, intercept and r2 of a sample on the one before it (gaps form no pair)."""
     w = Window.partitionBy(*keys).orderBy(order)

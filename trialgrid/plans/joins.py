@@ -17,9 +17,9 @@ def mask_join(spark, d):
     return jn.with_default(s.filter("phase = 'O'").select("channel", "phase", "sample"), mask, ["channel", "sample"], "mask", False)
 
 
-@query("select channel, phase, sample, label, round(x, 6) as x from signal left join (select channel, label, x from contacts where id % 3 <> 0) using (channel)")
+@query("select channel, phase, sample, label, round(x + 1e-9, 6) as x from signal left join (select channel, label, x from contacts where id % 3 <> 0) using (channel)")
 def dimension_left(spark, d):
-    dim = v.contacts(spark, d).filter("id % 3 <> 0").select("channel", "label", F.round("x", 6).alias("x"))
+    dim = v.contacts(spark, d).filter("id % 3 <> 0").select("channel", "label", tidy("x", "x"))
     return v.signal(spark, d).select("channel", "phase", "sample").join(dim, "channel", "left")
 
 
@@ -47,28 +47,28 @@ def contact_lookup(spark, d):
     return jn.double_lookup(v.edges(spark, d).groupBy("source", "target").agg(F.count("*").alias("n")), lookup, "n_name", "r", ("source", "target"), "Unknown")
 
 
-@query("select a.subject, a.channel as a, b.channel as b, round(corr(a.value, b.value), 6) as r from signal a join signal b on a.subject = b.subject and a.phase = b.phase and a.sample = b.sample where a.phase = 'F' and right(a.channel, 1) in ('1', '3', '5', '7', '9') and right(b.channel, 1) in ('0', '2', '4', '6', '8') group by all")
+@query("select a.subject, a.channel as a, b.channel as b, round(corr(a.value, b.value) + 1e-9, 6) as r from signal a join signal b on a.subject = b.subject and a.phase = b.phase and a.sample = b.sample where a.phase = 'F' and right(a.channel, 1) in ('1', '3', '5', '7', '9') and right(b.channel, 1) in ('0', '2', '4', '6', '8') group by all")
 def label_group_pairs(spark, d):
     """Pairs of a channel of one label group with one of the other in the same subject; they meet by sample, so pairs without one in common don't exist."""
     s = v.signal(spark, d).filter("phase = 'F'")
     odd = F.right("channel", F.lit(1)).isin("1", "3", "5", "7", "9")
     a, b = s.filter(odd).select("subject", "sample", F.col("channel").alias("a"), F.col("value").alias("x")), s.filter(~odd).select("subject", "sample", F.col("channel").alias("b"), F.col("value").alias("y"))
-    return a.join(b, ["subject", "sample"]).groupBy("subject", "a", "b").agg(F.round(F.corr("x", "y"), 6).alias("r"))
+    return a.join(b, ["subject", "sample"]).groupBy("subject", "a", "b").agg(tidy(F.corr("x", "y"), "r"))
 
 
-@query("select channel, phase, sample, round(p, 6) as p, round(base, 6) as base from (select channel, phase, sample from signal) join (select sample, 1 / (1 + avg(value)) as p from signal group by sample) using (sample) join (select phase, sample, min(value) as base from signal group by all) using (phase, sample)")
+@query("select channel, phase, sample, round(p + 1e-9, 6) as p, round(base + 1e-9, 6) as base from (select channel, phase, sample from signal) join (select sample, 1 / (1 + avg(value)) as p from signal group by sample) using (sample) join (select phase, sample, min(value) as base from signal group by all) using (phase, sample)")
 def broadcast_missing_key(spark, d):
     """A value that hangs on the sample alone and one by (phase, sample) join the rows of all channels."""
     s = v.signal(spark, d)
-    p = s.groupBy("sample").agg(F.round(1 / (1 + F.avg("value")), 6).alias("p"))
-    base = s.groupBy("phase", "sample").agg(F.round(F.min("value"), 6).alias("base"))
+    p = s.groupBy("sample").agg(tidy(1 / (1 + F.avg("value")), "p"))
+    base = s.groupBy("phase", "sample").agg(tidy(F.min("value"), "base"))
     return s.select("channel", "phase", "sample").join(p, "sample").join(base, ["phase", "sample"])
 
 
-@query("select channel, sample, round(max(case when phase = 'F' then value end), 6) as F, round(max(case when phase = 'O' then value end), 6) as O from signal group by all having count(*) = 2")
+@query("select channel, sample, round(max(case when phase = 'F' then value end) + 1e-9, 6) as F, round(max(case when phase = 'O' then value end) + 1e-9, 6) as O from signal group by all having count(*) = 2")
 def aligned_complete(spark, d):
     got = jn.complete_pairs(v.signal(spark, d), ["channel", "sample"], "phase", "F", "O", "value")
-    return got.select("channel", "sample", F.round("F", 6).alias("F"), F.round("O", 6).alias("O"))
+    return got.select("channel", "sample", tidy("F", "F"), tidy("O", "O"))
 
 
 _DIST = "sqrt((q.x - c.x) ** 2 + (q.y - c.y) ** 2 + (q.z - c.z) ** 2)"
@@ -163,7 +163,7 @@ def quality_rules(spark, d):
     return both.join(dist, "id", "left").select("id", "channel", status.alias("status"), reason.alias("reason"))
 
 
-@query("select 'KEEP' as status, count(*) filter (power > 2000) as n union all select 'EXCLUDE', count(*) filter (power <= 2000) from contacts".replace("as n union all", "as n from contacts union all"))
+@query("select 'KEEP' as status, count(*) filter (power > 2000) as n from contacts union all select 'EXCLUDE', count(*) filter (power <= 2000) from contacts")
 def status_counts(spark, d):
     got = v.contacts(spark, d).agg(F.count_if(F.col("power") > 2000).alias("KEEP"), F.count_if(F.col("power") <= 2000).alias("EXCLUDE"))
     return got.unpivot([], ["KEEP", "EXCLUDE"], "status", "n")

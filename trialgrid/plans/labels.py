@@ -36,10 +36,10 @@ def drop_missing(spark, d):
     return v.contacts(spark, d).withColumn("pair", F.nullif("pair", F.lit(""))).na.drop(subset=["label", "pair"]).select("id", "channel", "label")
 
 
-@query("select channel as name, phase, 'hg' as band, value as power, sample * 2 as tick from signal")
+@query("select channel as name, phase, 'hg' as band, round(value + 1e-9, 6) as power, sample * 2 as tick from signal")
 def shape_columns(spark, d):
     s = v.signal(spark, d).withColumnsRenamed({"channel": "name", "value": "power"}).withColumns({"band": F.lit("hg"), "tick": F.col("sample") * 2})
-    return s.drop("mask", "roi", "hemi", "subject", "time", "sample").select("name", "phase", "band", "power", "tick")
+    return s.drop("mask", "roi", "hemi", "subject", "time", "sample").select("name", "phase", "band", tidy("power", "power"), "tick")
 
 
 @query("select description, phase, trial, case when description = 'R' then 'Response' when phase = 'O' then 'Go' else 'Stimulus' end as harmonised, count(*) as n from signal_rows group by all")
@@ -101,9 +101,9 @@ def _mm(spark, d):
     return v.contacts(spark, d).withColumns({"x": x, "y": y, "z": z})
 
 
-@query(f"{_MM} select id, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from mm")
+@query(f"{_MM} select id, round(x + 1e-9, 6) as x, round(y + 1e-9, 6) as y, round(z + 1e-9, 6) as z from mm")
 def unit_detect(spark, d):
-    return _mm(spark, d).select("id", *(F.round(c, 6).alias(c) for c in "xyz"))
+    return _mm(spark, d).select("id", *(tidy(c, c) for c in "xyz"))
 
 
 @query(f"{_MM} select id, round_even(128.5 - round(x, 3), 0)::int as i, greatest(0, least(round_even(128.5 - round(x, 3), 0)::int, 199)) as ci, round_even(round(y, 3) + 90.5, 0)::int as j, greatest(0, least(round_even(round(y, 3) + 90.5, 0)::int, 149)) as cj from mm")
@@ -113,24 +113,24 @@ def voxel_index(spark, d):
     return _mm(spark, d).select("id", i.alias("i"), ci.alias("ci"), j.alias("j"), cj.alias("cj"))
 
 
-@query(f"{_MM} select id, round(n_regionkey + 1 + x * 0.5 + y * n_regionkey, 6) as x, round(case when n_name is not null then z * 2 - 3 end, 6) as y, round(case when n_name is not null then x - y end, 6) as z from mm left join nation on n_name = nation and n_nationkey % 5 <> 0")
+@query(f"{_MM} select id, round(n_regionkey + 1 + x * 0.5 + y * n_regionkey + 1e-9, 6) as x, round(case when n_name is not null then z * 2 - 3 end + 1e-9, 6) as y, round(case when n_name is not null then x - y end + 1e-9, 6) as z from mm left join nation on n_name = nation and n_nationkey % 5 <> 0")
 def affine_points(spark, d):
     """One matrix a nation; nations without one leave null places."""
     r, none = F.col("n_regionkey").cast("double"), F.lit(0.0)
     rows = (F.lit(0.5), r, none, r + 1, none, none, F.lit(2.0), F.lit(-3.0), F.lit(1.0), F.lit(-1.0), none, none)
     matrices = v.table(spark, d, "nation").filter("n_nationkey % 5 <> 0").select(F.col("n_name").alias("nation"), *(c.alias(f"m{i // 4}{i % 4}") for i, c in enumerate(rows)))
-    return lb.transformed(_mm(spark, d).select("id", "nation", "x", "y", "z"), matrices, "nation").select("id", *(F.round(c, 6).alias(c) for c in "xyz"))
+    return lb.transformed(_mm(spark, d).select("id", "nation", "x", "y", "z"), matrices, "nation").select("id", *(tidy(c, c) for c in "xyz"))
 
 
-@query("select channel, phase, sample, case when mask then value end as value from signal")
+@query("select channel, phase, sample, round(case when mask then value end + 1e-9, 6) as value from signal")
 def mask_to_missing(spark, d):
-    return v.signal(spark, d).select("channel", "phase", "sample", F.when(F.col("mask"), F.col("value")).alias("value"))
+    return v.signal(spark, d).select("channel", "phase", "sample", tidy(F.when(F.col("mask"), F.col("value")), "value"))
 
 
-@query("select source, target, subject, phase, win, case when round(pval, 9) < 0.05 and round(pdc, 9) > 0.5 then pdc end as power from edges")
+@query("select source, target, subject, phase, win, case when round(pval, 9) < 0.05 and round(pdc, 9) > 0.5 then round(pdc + 1e-9, 6) end as power from edges")
 def two_threshold_mask(spark, d):
     keep = (F.round("pval", 9) < 0.05) & (F.round("pdc", 9) > 0.5)
-    return v.edges(spark, d).select("source", "target", "subject", "phase", "win", F.when(keep, F.col("pdc")).alias("power"))
+    return v.edges(spark, d).select("source", "target", "subject", "phase", "win", tidy(F.when(keep, F.col("pdc")), "power"))
 
 
 @query("select event_id, try_cast(case when event_id % 7 = 0 then 'n/a' else value::varchar end as double) as number, value + 0.08 as later from events")
@@ -153,12 +153,12 @@ def fill_and_diagonal(spark, d):
 _U = "(('0x' || substr(md5(h), {}, 8))::bigint + 1)::double / 4294967297.0"
 
 
-@query(f"select trial, pos, round(case when (trial * 64 + pos) % 97 = 0 then sqrt(-2 * ln({_U.format(1)})) * cos(2 * pi() * {_U.format(9)}) else value end, 6) as value from (select *, '5|noise|' || trial || '|' || pos as h from (select vec_id as trial, unnest(embedding)::double as value, unnest(range(64)) as pos from embeddings))")
+@query(f"select trial, pos, round(case when (trial * 64 + pos) % 97 = 0 then sqrt(-2 * ln({_U.format(1)})) * cos(2 * pi() * {_U.format(9)}) else value end + 1e-9, 6) as value from (select *, '5|noise|' || trial || '|' || pos as h from (select vec_id as trial, unnest(embedding)::double as value, unnest(range(64)) as pos from embeddings))")
 def noise_fill(spark, d):
     """Missing values become standard normal noise that hangs on seed, trial and feature alone."""
     missing = (F.col("trial") * 64 + F.col("pos")) % 97 == 0
     value = F.when(missing, lb.noise(F.lit(5), F.lit("noise"), F.col("trial"), F.col("pos"))).otherwise(F.col("value"))
-    return v.trials(spark, d).select("trial", "pos", F.round(value, 6).alias("value"))
+    return v.trials(spark, d).select("trial", "pos", tidy(value, "value"))
 
 
 @query("select channel, printf('dist=%.2f of %s', round(power, 1), region) as reason, round_even(round(power / 100, 3), 0)::int as pct from contacts")

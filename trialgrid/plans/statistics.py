@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from trialgrid.operators import stats as st
-from trialgrid.plans.queries import query, r6
+from trialgrid.plans.queries import query, r6, tidy
 from trialgrid.sources import views as v
+from trialgrid.sources.work import work_path
 from trialgrid.streaming import windows
 
 _TRIALS = ", trials as (select trial, label, pos, value from (select vec_id as trial, label, unnest(embedding)::double as value, unnest(range(64)) as pos from embeddings))"
 _FOLDS = f"{_TRIALS}, folds as (select trial, label, (row_number() over (partition by label order by md5(trial::varchar), trial) - 1) % 5 as fold from (select distinct trial, label from trials))"
 _Z = f"{_FOLDS}, tagged as (select t.*, fold from trials t join folds using (trial)), fitted as (select f.fold, t.pos, avg(value) as mu, stddev_pop(value) as sd from (select distinct fold from folds) f join tagged t on t.fold <> f.fold group by all), zs as (select trial, fold, pos, (value - mu) / sd as z from tagged join fitted using (fold, pos))"
-_PERMS = f"{_Z}, perms as (select unnest(range(1, 11)) as perm), labels as (select 0 as perm, trial, fold, label from folds union all select perm, trial, fold, label from (select perm, fold, trial, row_number() over (partition by perm, fold order by trial) as place from folds, perms) join (select perm, fold, label, row_number() over (partition by perm, fold order by md5(perm || ':' || trial), trial) as place from folds, perms) using (perm, fold, place))"
+_PERMS = f"{_Z}, perms as (select unnest(range(1, 11)) as perm), labels as (select 0 as perm, trial, fold, label, label as truth from folds union all select perm, trial, fold, label, truth from (select perm, fold, trial, label as truth, row_number() over (partition by perm, fold order by trial) as place from folds, perms) join (select perm, fold, label, row_number() over (partition by perm, fold order by md5(perm || ':' || trial), trial) as place from folds, perms) using (perm, fold, place))"
 _PERMS_200 = _PERMS.replace("range(1, 11)", "range(1, 201)")
-_HELD = ", held as (select perm, labels.trial, labels.fold, label, pos, z from labels join zs using (trial)), part as (select perm, fold, label, pos, sum(z) as s, count(*) as n from held group by all), centres as (select f.perm, f.fold, p.label as class, p.pos, sum(s) / sum(n) as c from (select distinct perm, fold from part) f join part p on p.perm = f.perm and p.fold <> f.fold group by all), near as (select h.perm, h.trial, h.fold, h.label, class, sum((z - c) ** 2) as d from held h join centres using (perm, fold, pos) group by all), decoded as (select perm, trial, fold, label, class as pred from (select *, row_number() over (partition by perm, trial order by round(d, 6), class) as k from near) where k = 1)"
+_HELD = ", held as (select perm, labels.trial, labels.fold, label, truth, pos, z from labels join zs using (trial)), part as (select perm, fold, label, pos, sum(z) as s, count(*) as n from held group by all), centres as (select f.perm, f.fold, p.label as class, p.pos, sum(s) / sum(n) as c from (select distinct perm, fold from part) f join part p on p.perm = f.perm and p.fold <> f.fold group by all), near as (select h.perm, h.trial, h.fold, h.truth, class, sum((z - c) ** 2) as d from held h join centres using (perm, fold, pos) group by all), decoded as (select perm, trial, fold, truth as label, class as pred from (select *, row_number() over (partition by perm, trial order by round(d, 6), class) as k from near) where k = 1)"
 _DECODED = _PERMS + _HELD
-_SCORED = ", scores as (select perm, round(avg((pred = label)::int), 9) as a from decoded group by perm) select round(max(o.a), 6) as observed, round((count(*) filter (s.a >= o.a) + 1) / (count(*) + 1), 6) as p from scores s join scores o on s.perm > 0 and o.perm = 0"
+_SCORED = ", scores as (select perm, round(avg((pred = label)::int), 9) as a from decoded group by perm) select round(max(o.a) + 1e-9, 6) as observed, round((count(*) filter (s.a >= o.a) + 1) / (count(*) + 1) + 1e-9, 6) as p from scores s join scores o on s.perm > 0 and o.perm = 0"
 
 
 def _sql(ctes: str, select: str) -> str:
@@ -32,7 +30,7 @@ def _decoded(spark, d, permutations, k=5):
     return st.decode(st.fold_standardise(rows, folds), st.shuffled_labels(folds, permutations))
 
 
-@query(_sql(_TRIALS, "select pos, round(corr(rx, ry), 6) as rho, count(*) as n from (select pos, rank() over (partition by pos order by value) + (count(*) over (partition by pos, value) - 1) / 2 as rx, rank() over (partition by pos order by label) + (count(*) over (partition by pos, label) - 1) / 2 as ry from trials) group by pos"))
+@query(_sql(_TRIALS, "select pos, round(corr(rx, ry) + 1e-9, 6) as rho, count(*) as n from (select pos, rank() over (partition by pos order by value) + (count(*) over (partition by pos, value) - 1) / 2 as rx, rank() over (partition by pos order by label) + (count(*) over (partition by pos, label) - 1) / 2 as ry from trials) group by pos"))
 def spearman_label(spark, d):
     return st.spearman(v.trials(spark, d), ["pos"], "value", "label").select("pos", r6("rho"), "n")
 
@@ -48,16 +46,16 @@ def fold_standardise(spark, d):
     return st.fold_standardise(rows, st.stratified_folds(rows, 5)).select("trial", "pos", F.round("z", 5).alias("z"))
 
 
-@query(_sql(_DECODED, "select fold, count(*) as n, count(*) filter (pred = label) as hits, round(avg((pred = label)::int), 6) as accuracy from decoded where perm = 0 group by fold"))
+@query(_sql(_DECODED, "select fold, count(*) as n, count(*) filter (pred = label) as hits, round(avg((pred = label)::int) + 1e-9, 6) as accuracy from decoded where perm = 0 group by fold"))
 def decode_folds(spark, d):
     rows = v.trials(spark, d)
     folds = st.stratified_folds(rows, 5)
     right = F.col("pred") == F.col("label")
     got = st.decode(st.fold_standardise(rows, folds), folds.withColumn("perm", F.lit(0)))
-    return got.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"), F.count_if(right).alias("hits"), F.round(F.avg(right.cast("int")), 6).alias("accuracy"))
+    return got.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"), F.count_if(right).alias("hits"), tidy(F.avg(right.cast("int")), "accuracy"))
 
 
-@query(_sql(_DECODED, ", scores as (select perm, round(avg((pred = label)::int), 9) as a from decoded group by perm) select round(max(o.a), 6) as observed, round((count(*) filter (s.a >= o.a) + 1) / (count(*) + 1), 6) as p from scores s join scores o on s.perm > 0 and o.perm = 0"))
+@query(_sql(_DECODED, ", scores as (select perm, round(avg((pred = label)::int), 9) as a from decoded group by perm) select round(max(o.a) + 1e-9, 6) as observed, round((count(*) filter (s.a >= o.a) + 1) / (count(*) + 1) + 1e-9, 6) as p from scores s join scores o on s.perm > 0 and o.perm = 0"))
 def decode_permutation_p(spark, d):
     scores = _decoded(spark, d, 10).groupBy("perm").agg(F.round(F.avg((F.col("pred") == F.col("label")).cast("int")), 9).alias("a"))
     return st.empirical_p(scores, [], "a").select(r6("observed"), r6("p"))
@@ -70,18 +68,18 @@ def decode_permutation_p_200(spark, d):
     return st.empirical_p(scores, [], "a").select(r6("observed"), r6("p"))
 
 
-@query("select channel, phase, ((sample + ('0x' || substr(md5('7:' || channel || ':' || phase), 1, 8))::bigint % 83 + 1) % 84)::bigint as sample, round(value, 6) as value from signal")
+@query("select channel, phase, ((sample + ('0x' || substr(md5('7:' || channel || ':' || phase), 1, 8))::bigint % 83 + 1) % 84)::bigint as sample, round(value + 1e-9, 6) as value from signal")
 def surrogate_shift(spark, d):
     return st.circular_shift(v.signal(spark, d), ["channel", "phase"], "sample", 84, 7).select("channel", "phase", "sample", r6("value"))
 
 
-@query("select source, target, n, round(mean, 6) as mean, round(n / total, 6) as coverage, round(case when n >= 3 and sd > 0 then mean / (sd / sqrt(n)) end, 5) as t from (select source, target, count(*) as n, avg(m) as mean, stddev_samp(m) as sd from (select source, target, subject, avg(pdc) as m from edges where round(pval, 9) < 0.05 group by all) group by all), (select count(distinct subject) as total from edges)")
+@query("select source, target, n, round(mean + 1e-9, 6) as mean, round(n / total + 1e-9, 6) as coverage, round(case when n >= 3 and sd > 0 then mean / (sd / sqrt(n)) end, 5) as t from (select source, target, count(*) as n, avg(m) as mean, stddev_samp(m) as sd from (select source, target, subject, avg(pdc) as m from edges where round(pval, 9) < 0.05 group by all) group by all), (select count(distinct subject) as total from edges)")
 def group_validation(spark, d):
     e = v.edges(spark, d)
     means = e.filter(F.round("pval", 9) < 0.05).groupBy("source", "target", "subject").agg(F.avg("pdc").alias("m"))
-    total = e.agg(F.countDistinct("subject").alias("total")).withColumn("j", F.lit(1))  # one row
-    got = st.one_sample_t(means, ["source", "target"], "m").withColumn("j", F.lit(1)).join(total, "j")
-    return got.select("source", "target", "n", r6("mean"), F.round(F.col("n") / F.col("total"), 6).alias("coverage"), F.round("t", 5).alias("t"))
+    total = e.agg(F.countDistinct("subject").alias("total"))  # one row
+    got = st.one_sample_t(means, ["source", "target"], "m").join(F.broadcast(total), F.lit(True))
+    return got.select("source", "target", "n", tidy("mean", "mean"), tidy(F.col("n") / F.col("total"), "coverage"), F.round("t", 5).alias("t"))
 
 
 @query("select channel, phase, round(regr_slope(value, before), 5) as slope, round(regr_intercept(value, before), 5) as intercept, count(*) as n from (select *, lag(value) over w as before, lag(sample) over w as prior from signal window w as (partition by channel, phase order by sample)) where sample - prior = 1 group by all")
@@ -92,8 +90,8 @@ def autoregression(spark, d):
 
 @query("select event_type, start, count(value) as n, round(sum(value), 4) as total from (select event_type, value, unnest([epoch(ts)::bigint // 21600 * 21600 - 21600 * k for k in range(2)]) as start from events) group by all")
 def stream_hopping_windows(spark, d):
-    """Windows of twelve hours every six, over the events as a stream. No row is too late: the watermark lies 60 days behind."""
-    got = windows.hopping(windows.read_table(spark, d, "events"), ["event_type"], "ts", "value", "12 hours", "6 hours", "60 days")
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="trialgrid-")).rstrip("/")
-    last = windows.run_available(got, f"{folder}/stream-{uuid.uuid4().hex}", ["event_type", "start"])
+    """Windows of twelve hours every six, over the events as a stream. In a replay no row is too late: the watermark lies behind by the table's whole span."""
+    span = v.table(spark, d, "events").agg(F.datediff(F.max("ts"), F.min("ts")).alias("days")).first().days or 0
+    got = windows.hopping(windows.read_table(spark, d, "events"), ["event_type"], "ts", "value", "12 hours", "6 hours", f"{span + 2} days")
+    last = windows.run_available(got, work_path(spark, "stream"), ["event_type", "start"])
     return last.select("event_type", F.unix_timestamp("start").alias("start"), "n", F.round("total", 4).alias("total"))
