@@ -16,8 +16,8 @@ from trialgrid.llm.registry import tokenizer_path
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (`und`: null or no letters); an unknown lang becomes the predicted one."""
-    found = langid.identify(docs).filter("lang_pred <> 'und'")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.identify(docs, ("__lang", "__score")).filter("__lang <> 'und'")
+    return found.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

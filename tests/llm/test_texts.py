@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -91,6 +92,29 @@ def test_language(spark, odd_documents, no_documents):
     assert langid.identify(no_documents).count() == 0
 
 
+def test_language_against_plain_bayes(spark):
+    docs = documents(spark).withColumn("text", F.when(F.col("doc_id") % 41 == 0, "\u00bd 12 \u2461").otherwise(F.col("text")))
+    rows = docs.collect()
+
+    def keys(text):
+        return [b for part in langid.grams(text) for b in part.tolist()]
+
+    counts = defaultdict(Counter)
+    for r in rows:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            counts[r.lang].update(keys(r.text))
+    total = {k: sum(c.values()) + 0.5 * (1 << langid.BITS) for k, c in counts.items()}
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for r in rows:
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        logs = {k: sum(math.log((c[b] + 0.5) / total[k]) for b in keys(r.text)) for k, c in counts.items()}
+        best = max(logs.values())
+        assert logs[got[r.doc_id].lang_pred] >= best - 1e-3 * max(1, len(r.text) / 100)
+        assert abs(got[r.doc_id].score - 1 / sum(math.exp(v - best) for v in logs.values())) < 1e-3
+
+
 def test_gram_slices_are_whole(monkeypatch):
     text = "the quick brown fox jumps over the lazy dog " * 9
     whole = Counter(np.concatenate(list(langid.grams(text))).tolist())
@@ -131,6 +155,43 @@ def test_repeated_token_takes_the_label(spark):
     assert pii.redact(spark.createDataFrame([(1, "mail a@b.cd now")], "doc_id long, text string")).first().text == "mail <email> now"
 
 
+def test_similar_number_takes_the_label(spark):
+    text = "office +49-30-5550188 and, for those who call from the same town, 5550188 as well; part 7770188 is no number"
+    rows = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [text[s.start : s.end] for s in rows[0].spans if s not in rows[0].base] == ["5550188"]
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "中" * 1_000_000, "a@" * 300_000, "x9" * 500_000, "9 " * 400_000, "+1" + " 1" * 400_000])
+def test_long_runs_are_read_once(text):
+    began = time.process_time()
+    pii.graph(text, pii.base_spans(text))
+    assert time.process_time() - began < 6
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<b>x" * 200_000, "<p>x<div>" * 100_000, "<! " * 300_000, "<a \"" * 200_000, "<script " * 100_000, "</b>x" * 200_000, "<a '\"" * 150_000])
+def test_long_pages_are_read_once(page):
+    began = time.process_time()
+    htmltext.main_text(page, {})
+    assert time.process_time() - began < 12
+
+
+def test_class_names_are_whole():
+    page = '<body><div class="comment-free"><p>one two three</p></div><div class="social-science"><p>four five six</p></div><div class="site-nav"><p>home</p></div><div class="cookie-notice">we use</div></body>'
+    assert htmltext.main_text(page, {}) == "one two three\nfour five six"
+
+
+def test_loopy_marginals_are_near_enumeration():
+    rng = np.random.RandomState(2)
+    unary, pair = rng.normal(size=(4, 3)), 0.4 * rng.normal(size=(4, 3, 3))
+    edges = np.array([[0, 1], [1, 2], [2, 3], [0, 3]])  # one loop
+    p = np.zeros((4, 3))
+    for y in np.ndindex(3, 3, 3, 3):
+        w = np.exp(sum(unary[i, y[i]] for i in range(4)) + sum(pair[k, y[a], y[b]] for k, (a, b) in enumerate(edges)))
+        for i in range(4):
+            p[i, y[i]] += w
+    assert np.abs(pii.marginals(unary, edges, pair) - p / p.sum(1, keepdims=True)).max() < 0.03
+
+
 def test_label_of_a_copy_does_not_fade():
     text = "call +1-555-010-8888 today, that is 1-555-010-8888 again"
     many = "+1-555-010-8888 " + "and later on there is nothing new to say but 1-555-010-8888 " * 50

@@ -43,7 +43,7 @@ def _shingles(w: Column) -> Column:
 
 def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored rows (rid, doc_id, w), windows (item_id, win, w) and all places (rid, win, start, n) of windows in documents."""
-    return _occurrences(docs.withColumn("__rid", F.monotonically_increasing_id()), items, size)
+    return _occurrences(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__rid")), items, size)
 
 
 def _occurrences(docs: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -96,9 +96,9 @@ def report(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Rows of `docs` in which no item window occurs."""
     rows = numbered(docs, "__rid", "rows")
-    _, _, found = _occurrences(rows, items, size)
-    bad = stored(found.select("rid").distinct(), "contaminated")
-    return rows.join(bad, F.col("__rid") == F.col("rid"), "left_anti").drop("__rid")
+    _, _, found = _occurrences(rows.select("__rid", "doc_id", "text"), items, size)
+    bad = stored(found.select(F.col("rid").alias("__rid")).distinct(), "contaminated")
+    return rows.join(bad, "__rid", "left_anti").select(*docs.columns)
 
 
 #: The same rows in SQL, by whole windows.

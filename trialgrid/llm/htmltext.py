@@ -3,7 +3,7 @@ r"""Main text of web pages by the maximum-scoring subsequence (operator 9).
 A page is a sequence of tokens: words, and tags as start or end. Words score positive and tags negative, and the weight of each
 kind of token is a log-odds learned from labelled pages: a page that marks its content with exactly one `article` element labels
 its own tokens as inside or outside. A word's kind is the container it stands in (innermost of CONTAINERS, with class tokens that
-name one of MARKS), so a page without the mark is judged by the same weights. A linear scan finds the contiguous region of the
+are marks by MARKS and PLACES), so a page without the mark is judged by the same weights. A linear scan finds the contiguous region of the
 largest sum. Inside it, blocks whose container is boilerplate are left out; the rest becomes text: character references are
 decoded, white space inside a block becomes one space, blocks are joined by one newline.
 
@@ -22,7 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
+# every alternative ends at the next "<" or consumes what it has read, so that a page is read in one pass
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|svg)\b[^<>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|\"[^\"]{0,2000}+\"|'[^']{0,2000}+')*+)>|<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>|<[!?][^<>]*>|([^<]+|<)",
+    re.S | re.I,
+)
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+")
@@ -32,44 +37,56 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 CONTAINERS = frozenset("html body main article section div nav header footer aside form head title menu dialog button select figure table ul ol dl p h1 h2 h3 h4 h5 h6 li td th blockquote pre".split())
 BOILERPLATE = frozenset("nav footer aside form head title menu dialog button select header".split())
 MARKS = frozenset("ad ads advert advertisement banner cookie consent notice sidebar comment comments footer header menu nav navigation newsletter promo related share social sponsor sponsored subscribe widget breadcrumb popup modal".split())
+#: Parts of class names that say where a box lies, not what it holds: a class is a mark if its parts are marks and such words alone.
+PLACES = frozenset("area bar block body bottom box btn button buttons container content float footer global group header inner item items left line link links list main outer page panel post posts primary right section secondary site slot sticky text top unit widget wrap wrapper zone".split())
 _ENDS_P = frozenset("p h1 h2 h3 h4 h5 h6 div ul ol dl table section article nav header footer aside form blockquote pre figure main".split())
 
 
 def tokens(page: str):
     """(kind, text or None, container, bad, block number, inside the article) of each text run and tag in page order."""
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, str]] = []  # name, bad, innermost container
+    opened: Counter = Counter()
     block, bad, inside = 0, 0, 0
+
+    def close() -> str:
+        nonlocal bad, inside
+        n, b, _ = stack.pop()
+        opened[n] -= 1
+        bad -= b
+        inside -= n == "article"
+        return n
+
     for m in _TOKEN.finditer(page):
-        if m[5] is not None:
-            where = next((n for n, _ in reversed(stack) if n in CONTAINERS), "body")
-            yield "word", m[5], ("bad:" if bad else "") + where, bad > 0, block, inside > 0
-        elif m[3]:
-            name, closing = m[3].lower(), bool(m[2])
+        if m[8] is not None:
+            yield "word", m[8], ("bad:" if bad else "") + (stack[-1][2] if stack else "body"), bad > 0, block, inside > 0
+        elif m[3] or m[6]:
+            name, closing, attributes = (m[3] or m[6]).lower(), bool(m[2] or m[5]), m[4] if m[3] else m[7]
             if name not in INLINE:
                 block += 1
             if closing:
-                if any(n == name for n, _ in stack):
-                    while stack:
-                        n, b = stack.pop()
-                        bad -= b
-                        inside -= n == "article"
-                        if n == name:
-                            break
+                if opened[name]:
+                    while close() != name:
+                        pass
             else:
-                if name in _ENDS_P and any(n == "p" for n, _ in stack[-4:]):  # a block start ends an open paragraph
-                    while stack and any(n == "p" for n, _ in stack[-4:]):
-                        n, b = stack.pop()
-                        bad -= b
-                if name not in VOID and not m[4].endswith("/"):
-                    marks = {p for x in _MARK.findall(m[4]) for p in _PART.findall("".join(x).lower())}
+                if name in _ENDS_P and stack and stack[-1][2] == "p":  # a block start ends an open paragraph
+                    while close() != "p":
+                        pass
+                if name not in VOID and not attributes.endswith("/"):
                     # a heading group inside the article belongs to it
-                    b = (name in BOILERPLATE and not (name == "header" and inside)) or (bool(marks & MARKS) and name not in ("body", "html", "article", "main"))
-                    stack.append((name, b))
+                    b = (name in BOILERPLATE and not (name == "header" and inside)) or (name not in ("body", "html", "article", "main") and any(marked(x) for y in _MARK.findall(attributes) for x in "".join(y).lower().split()))
+                    stack.append((name, b, name if name in CONTAINERS else stack[-1][2] if stack else "body"))
+                    opened[name] += 1
                     bad += b
                     inside += name == "article"
             yield "tag", None, ("/" if closing else "") + name, bad > 0, block, inside > 0
 
 
+def marked(token: str) -> bool:
+    """Whether a class token names something that isn't the article: `ad`, `site-nav`, `cookie-notice`, not `comment-free`."""
+    parts = _PART.findall(token)
+    return any(p in MARKS for p in parts) and all(p in MARKS or p in PLACES for p in parts)
+
+
 def _count(batches):
     seen: Counter = Counter()
     for batch in batches:
@@ -83,8 +100,8 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["kind", "place", "inside", "n"])
 
 
-def train(pages: DataFrame, kinds: int = 10_000) -> dict[tuple[str, str], float]:
-    """Weights by (kind, place) from all pages that label themselves; at most `kinds` kinds (tag names) are learned, the most frequent."""
+def train(pages: DataFrame, kinds: int = 100_000) -> dict[tuple[str, str], float]:
+    """Weights by (kind, place) from all pages that label themselves; at most `kinds` kinds (tag names) are learned, the most frequent; the others keep fixed weights."""
     counts = pages.select("html").mapInArrow(_count, "kind string, place string, inside boolean, n long").groupBy("kind", "place").agg(F.sum(F.expr("if(inside, n, 0)")).alias("a"), F.sum(F.expr("if(inside, 0, n)")).alias("b"))
     weights = {}
     for r in counts.orderBy(F.desc(F.col("a") + F.col("b")), "kind", "place").limit(kinds).collect():

@@ -2,7 +2,8 @@
 
 Counts of n-grams (1 to 3 lower-cased characters) come from all labelled rows outside the held-out fold, in one pass with a
 partial sum per task. The matrix of log-probabilities (buckets x languages, at most MAX_LANGUAGES) is broadcast; documents are
-scored in numpy, one gather and one segmented sum per batch.
+scored in numpy, some MB of text at a time as a sparse matrix: distinct (document, bucket) pairs with their counts, one gather of
+the matrix' rows and one segmented sum.
 
 Null, empty and letterless texts get `und` and score 0. A null doc_id counts as the empty text in the fold rule, repeated rows
 get equal answers, ties go to the first language in alphabetical order. Other columns are not read. Without training rows all
@@ -25,6 +26,11 @@ _LETTER = re.compile(r"[^\W\d_]")
 _SLICE = 1 << 18
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (signs such as ½ and ② are none)."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
@@ -80,34 +86,47 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r.lang for r in packed], np.log(smooth / smooth.sum(0, keepdims=True)).astype(np.float32)
 
 
-def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray) -> DataFrame:
-    """All columns of `docs` but for clashing ones, with lang_pred and score."""
+def scores(texts: list[str], logs: np.ndarray) -> np.ndarray:
+    """Summed log-probabilities (texts x languages) of a block of texts."""
+    keys, total = [], np.zeros((len(texts), logs.shape[1]))
+    for i, text in enumerate(texts):
+        keys += [part + (i << BITS) for part in grams(text)]
+    if keys:
+        key, count = np.unique(np.concatenate(keys), return_counts=True)
+        row = key >> BITS
+        heads = np.flatnonzero(np.diff(row, prepend=-1))
+        total[row[heads]] = np.add.reduceat(logs[key & (1 << BITS) - 1] * count[:, None].astype(np.float64), heads)
+    return total
+
+
+def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of `docs` but for clashing ones, with lang_pred and score (or other `names`)."""
     shared = docs.sparkSession.sparkContext.broadcast((languages, matrix))
-    keep = docs.drop("lang_pred", "score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + ", lang_pred string, score double"
+    keep = docs.drop(*names)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + f", {names[0]} string, {names[1]} double"
 
     def run(batches):
-        names, logs = shared.value
+        known, logs = shared.value
         for batch in batches:
-            found, scores = [], []
-            for text in batch.column("text").to_pylist():
-                if text is None or not names or not _LETTER.search(text):
-                    found.append("und"), scores.append(0.0)
-                    continue
-                total = np.zeros(len(names))
-                for part in grams(text):
-                    if len(part) > 1 << BITS:  # many repeats: count first
-                        total += np.bincount(part, minlength=1 << BITS) @ logs
-                    else:
-                        total += logs[part].sum(0, dtype=np.float64)
-                odds = np.exp(total - total.max())
-                best = int(total.argmax())
-                found.append(names[best]), scores.append(float(odds[best] / odds.sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            texts = batch.column("text").to_pylist()
+            found, odds = ["und"] * len(texts), [0.0] * len(texts)
+            at = [i for i, t in enumerate(texts) if t is not None and known and has_letter(t)]
+            while at:
+                block, size = [], 0
+                while len(block) < len(at) and (not block or size + len(texts[at[len(block)]]) <= _SLICE):
+                    size += len(texts[at[len(block)]])
+                    block.append(at[len(block)])
+                at = at[len(block) :]
+                total = scores([texts[i] for i in block], logs)
+                best = total.argmax(1)
+                share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+                for i, k, p in zip(block, best.tolist(), share.tolist(), strict=True):
+                    found[i], odds[i] = known[k], p
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(odds, pa.float64())], names=[*batch.schema.names, *names])
 
     return keep.mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Train on the rows outside the held-out fold, predict all rows."""
-    return predict(docs, *train(docs.filter(~held_out(F.col("doc_id")))))
+    return predict(docs, *train(docs.filter(~held_out(F.col("doc_id")))), names)

@@ -206,9 +206,9 @@ def one_of_each(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """Rows of `docs`, one of each group: the one with the smallest doc_id (null last), of those the first. Empty texts all stay."""
     rows = numbered(docs, "__rid", "rows")
     found = _grouped(rows, threshold)
-    stays = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best")).select(F.col("best.rid").alias("stays"))
-    stays = stored(stays.unionByName(found.filter("root is null").select(F.col("rid").alias("stays"))), "stays")
-    return rows.join(stays, F.col("__rid") == F.col("stays"), "left_semi").drop("__rid")
+    stays = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best")).select(F.col("best.rid").alias("__rid"))
+    stays = stored(stays.unionByName(found.filter("root is null").select(F.col("rid").alias("__rid"))), "stays")
+    return rows.join(stays, "__rid", "left_semi").select(*docs.columns)
 
 
 def _class_components(docs: DataFrame, signed: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:

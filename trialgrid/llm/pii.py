@@ -1,8 +1,8 @@
 r"""Personal data by rules and a skip-chain conditional random field (operator 5).
 
 Rules find emails, addresses, cards and phones (`base_spans`). The field's nodes are the tokens that carry a digit or `@`.
-Neighbouring nodes share a chain potential; tokens that repeat (equal after case folding, or equal digits, seven at least) share
-a skip potential, each with the last like token in a base span, or where there is none before it the first one, or in texts
+Neighbouring nodes share a chain potential; tokens that repeat or are similar (equal after case folding; of seven digits and more: equal
+digits, of up to fifteen the same last seven, as a number with and without its prefix) share a skip potential, each with the last like token in a base span, or where there is none before it the first one, or in texts
 without one the previous like token. So a labelled copy is one step from all others, and a document has fewer than two edges a
 node. Loopy sum-product with damping, until the messages stay, gives marginals; a node outside base spans whose entity marginal reaches THRESHOLD is a span of the same kind, so that a
 number written with `+` once is also found where it stands without.
@@ -15,7 +15,8 @@ rate at which labelled copies differ, at least DIFFER, and from the shape's own
 and not with every copy. With these, one labelled copy outweighs the chain and a shape that base spans never have, while the
 chain alone can't.
 
-Null, empty and long texts are ordinary (null: no spans). Repeated rows get equal answers. Other columns are not read.
+Null, empty and long texts are ordinary (null: no spans). Repeated rows get equal answers. Spans that overlap (ties of place) all stay in `find`
+and become one in `redact`. Other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-THRESHOLD, SWEEPS, SETTLED, DAMPING, NEAR = 0.9, 500, 1e-4, 0.3, 40
+THRESHOLD, SWEEPS, SETTLED, DAMPING, NEAR, SIMILAR = 0.9, 500, 1e-4, 0.3, 40, 7
 #: Label shares of an unlabelled token; smoothing of pair rates; least rate at which copies of one number or address differ.
 FREE, SMOOTH, DIFFER = np.array([0.99, *[0.01 / len(KINDS)] * len(KINDS)]), 0.01, 0.0005
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -37,7 +38,9 @@ _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_NODE = re.compile(r"[^\s\"'<>,;]*[0-9@][^\s\"'<>,;]*")
+_TELLING = re.compile("[0-9@]")
+_TOKEN_END = re.compile(r"[^\s\"'<>,;]*")
+_APART = frozenset("\"'<>,;")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -71,26 +74,42 @@ def _shape(token: str) -> str:
     return f"{min(digits, 20)}|{min(token.count('.'), 4)}|{int('@' in token)}|{int(token[0] == '+')}|{int(any(c.isalpha() for c in token))}|{min(token.count('-'), 3)}"
 
 
+def telling_tokens(text: str):
+    """(start, end) of the runs without white space, quotes, angle brackets, commas and semicolons that hold a digit or `@`. Linear: no character is passed twice to the left."""
+    last = 0
+    m = _TELLING.search(text)
+    while m:
+        start = m.start()
+        while start > last and not text[start - 1].isspace() and text[start - 1] not in _APART:
+            start -= 1
+        last = _TOKEN_END.match(text, m.start()).end()
+        yield start, last
+        m = _TELLING.search(text, last)
+
+
 def graph(text: str, base: list[tuple[int, int, int]]):
     """Nodes (start, end, shape, label or 0), chain pairs, skip pairs told by content and other skip pairs of one document."""
     nodes, groups, chain, told, skip = [], {}, [], [], []
     spans = sorted((s, e, k) for k, s, e in base)
     at = 0
-    for m in _NODE.finditer(text):
-        start, end = m.span()
-        token = m[0].rstrip(".:!?)")
+    for start, end in telling_tokens(text):
+        token = text[start:end].rstrip(".:!?)")
         end = start + len(token)
         if not token:
             continue
         while at < len(spans) and spans[at][1] <= start:
             at += 1
-        label = next((k + 1 for s, e, k in spans[at : at + 4] if s < end and e > start), 0)
+        near = at
+        while near < len(spans) and spans[near][0] < end and spans[near][1] <= start:
+            near += 1
+        label = spans[near][2] + 1 if near < len(spans) and spans[near][0] < end else 0
         i = len(nodes)
         nodes.append((start, end, _shape(token), label))
         if i and start - nodes[i - 1][1] < NEAR:
             chain.append((i - 1, i))
         digits = _NOT_DIGIT.sub("", token)
-        like = digits if len(digits) >= 7 and "@" not in token else token.lower()
+        # similar numbers: with and without the prefix of a country or an exchange
+        like = digits[-SIMILAR:] if 7 <= len(digits) <= 15 and "@" not in token else digits if len(digits) > 15 and "@" not in token else token.lower()
         groups.setdefault((like, "@" in token or len(digits) >= 7), []).append(i)
     for (_, content), group in groups.items():
         best = next((i for i in group if nodes[i][3]), None)
@@ -205,12 +224,12 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model) -> list[tupl
 _SPAN = "array<struct<kind:string,start:long,end:long>>"
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """Columns of `docs` (but for clashing ones) with base and spans, arrays of (kind, start, end) by kind, then start."""
+def find(docs: DataFrame, names: tuple[str, str] = ("base", "spans")) -> DataFrame:
+    """Columns of `docs` (but for clashing ones) with base and spans (or other `names`), arrays of (kind, start, end) by kind, then start."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
-    keep = docs.drop("base", "spans")
+    keep = docs.drop(*names)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + f", base {_SPAN}, spans {_SPAN}"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + "".join(f", {n} {_SPAN}" for n in names)
 
     def run(batches):
         for batch in batches:
@@ -220,7 +239,7 @@ def find(docs: DataFrame) -> DataFrame:
                 more = added_spans(text, own, model.value) if own else []
                 for out, found in ((base, own), (spans, sorted([*own, *more]))):
                     out.append([{"kind": KINDS[k], "start": s, "end": e} for k, s, e in found])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, kind), pa.array(spans, kind)], names=[*batch.schema.names, "base", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, kind), pa.array(spans, kind)], names=[*batch.schema.names, *names])
 
     return keep.mapInArrow(run, schema)
 
@@ -228,12 +247,12 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with each found span replaced by its kind in angle brackets; overlapping spans become one."""
     keep = docs.schema
-    found = find(docs)
+    found = find(docs, ("__base", "__spans"))
 
     def run(batches):
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
                 if spans:
                     parts, at = [], 0
                     for s in sorted(spans, key=lambda x: (x["start"], -x["end"])):
