@@ -33,7 +33,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.piece_digests(packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, length=4096))
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, length=4096, digest=True)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("personal_data", personal_data), ("packing", packed)]

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialgrid.llm.common import lean
+
 # every alternative ends at the next "<" or consumes what it has read, so that a page is read in one pass
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|svg)\b[^<>]*>.*?(?:</\1\s*>|\Z)"
@@ -102,7 +104,7 @@ def _count(batches):
 
 def train(pages: DataFrame, kinds: int = 100_000) -> dict[tuple[str, str], float]:
     """Weights by (kind, place) from all pages that label themselves; at most `kinds` kinds (tag names) are learned, the most frequent; the others keep fixed weights."""
-    counts = pages.select("html").mapInArrow(_count, "kind string, place string, inside boolean, n long").groupBy("kind", "place").agg(F.sum(F.expr("if(inside, n, 0)")).alias("a"), F.sum(F.expr("if(inside, 0, n)")).alias("b"))
+    counts = pages.select("html").mapInArrow(lean(_count), "kind string, place string, inside boolean, n long").groupBy("kind", "place").agg(F.sum(F.expr("if(inside, n, 0)")).alias("a"), F.sum(F.expr("if(inside, 0, n)")).alias("b"))
     weights = {}
     for r in counts.orderBy(F.desc(F.col("a") + F.col("b")), "kind", "place").limit(kinds).collect():
         odds = log((r.a + 0.5) / (r.b + 0.5))
@@ -143,4 +145,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(p or "", weights.value) for p in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

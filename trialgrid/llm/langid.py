@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialgrid.llm.common import mix64
+from trialgrid.llm.common import lean, mix64
 
 BITS, ORDERS, FOLDS, MAX_LANGUAGES = 15, 3, 5, 512
 _LETTER = re.compile(r"[^\W\d_]")
@@ -72,7 +72,7 @@ def _count(batches):
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities (buckets x languages) from rows (text, lang)."""
     rows = labelled.select("text", "lang").filter("text is not null and lang is not null")
-    summed = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    summed = rows.mapInArrow(lean(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # at most 2^15 numbers a language reach the driver
     packed = summed.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).limit(MAX_LANGUAGES + 1).collect()
     if len(packed) > MAX_LANGUAGES:
@@ -124,7 +124,7 @@ def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray, names: tu
                     found[i], odds[i] = known[k], p
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(odds, pa.float64())], names=[*batch.schema.names, *names])
 
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(lean(run), schema)
 
 
 def identify(docs: DataFrame, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from trialgrid.llm.common import new_path
+from trialgrid.llm.common import lean, new_path
 
 BLOCK = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -116,7 +116,7 @@ def write_archives(docs: DataFrame, archive_bytes: int = 128 << 20) -> str:
     files, base = _file_system(path)
     files.create_dir(base, recursive=True)
     rows = docs.select(F.monotonically_increasing_id().alias("member"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows.mapInArrow(_archive_writer(path, archive_bytes), "archive string, bytes long, members long").write.parquet(f"{path}/committed")
+    rows.mapInArrow(lean(_archive_writer(path, archive_bytes)), "archive string, bytes long, members long").write.parquet(f"{path}/committed")
     return path
 
 
@@ -229,4 +229,4 @@ def _featured(batches):
 
 
 def media_features(members: DataFrame) -> DataFrame:
-    return members.mapInArrow(_featured, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return members.mapInArrow(lean(_featured), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

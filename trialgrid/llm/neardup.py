@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialgrid.llm.common import gram_hash, mix64, numbered, stored, text_slices, word_table
+from trialgrid.llm.common import gram_hash, lean, mix64, numbered, stored, text_slices, word_table
 
 WORDS, COORDINATES, ROWS, MISS = 5, 48, 2, 1e-6
 #: Differences of more items don't travel with each posting; their pairs are confirmed on full sets alone.
@@ -186,7 +186,7 @@ def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
     """Per row of `docs` (numbered by `__rid`): rid, doc_id, n, root (null for empty sets), component_id."""
     match_of(threshold)  # refuses before any work
     rows = docs.select(F.col("__rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(rows.mapInArrow(_signed, "rid long, doc_id long, n long, h1 long, h2 long, keys array<long>"), "signed")
+    signed = stored(rows.mapInArrow(lean(_signed), "rid long, doc_id long, n long, h1 long, h2 long, keys array<long>"), "signed")
     light = signed.select("rid", "doc_id", "n", "h1", "h2")
     classes = stored(light.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least")), "classes")
     roots = _class_components(docs, signed, classes, threshold)
@@ -301,5 +301,5 @@ def _live_sets(docs: DataFrame, signed: DataFrame, classes: DataFrame, live: Dat
     wanted = classes.join(live, "cid").select("cid", "h1", "h2")
     ids = signed.join(live, signed.rid == live.cid, "left_semi").select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("t").join(ids.alias("i"), F.col("t.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
-    items = texts.mapInArrow(_sets, "doc_id long, h1 long, h2 long, items array<long>").drop("doc_id")
+    items = texts.mapInArrow(lean(_sets), "doc_id long, h1 long, h2 long, items array<long>").drop("doc_id")
     return items.join(wanted, ["h1", "h2"]).select("cid", "items").dropDuplicates(["cid"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialgrid.llm.common import encoder, global_offsets, mix64, stored
+from trialgrid.llm.common import encoder, global_offsets, lean, mix64, stored
 
 HASHED, DIMENSIONS, BITS = 256, 4, 12
 #: Spread of a projected unit vector that the cells of the curve cover on either side.
@@ -83,7 +83,12 @@ def _tokenised(path: str, end_id: int):
     return run
 
 
-def _pieces(length: int):
+def _crc_of(ids: bytes, n: int) -> int:
+    """CRC-32 of ids as little-endian unsigned 32-bit numbers."""
+    return zlib.crc32(np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes())
+
+
+def _pieces(length: int, digest: bool):
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
@@ -92,35 +97,25 @@ def _pieces(length: int):
                 while start < n:
                     place = (at + start) % length
                     size = min(n - start, length - place)
-                    out.append((doc, start, size, n, (at + start) // length, place, ids[start * width : (start + size) * width]))
+                    own = ids[start * width : (start + size) * width]
+                    out.append((doc, start, size, n, (at + start) // length, place, _crc_of(own, size) if digest else own))
                     start += size
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 6 + [pa.binary()], strict=True)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 6 + [pa.int64() if digest else pa.binary()], strict=True)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32" if digest else "ids"])
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 4096) -> DataFrame:
-    """Pieces of documents in sequences of `length` ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian, 2 bytes each, 4 where the vocabulary needs them).
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 4096, digest: bool = False) -> DataFrame:
+    """Pieces of documents in sequences of `length` ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian, 2 bytes each, 4 where the vocabulary needs them), or with `digest` ids_crc32 in
+    their place.
 
     Texts are encoded once into a table in the shared folder. Only (curve, doc_id, size) is sorted by range; the ids join
     their offsets by row id, so neither a hot topic nor copies of one text load one task.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    encoded = stored(rows.mapInArrow(_tokenised(tokenizer_path, end_id), "rid long, doc_id long, curve long, n long, ids binary"), "encoded")
+    encoded = stored(rows.mapInArrow(lean(_tokenised(tokenizer_path, end_id)), "rid long, doc_id long, curve long, n long, ids binary"), "encoded")
     placed = global_offsets(encoded.select("curve", "doc_id", "rid", "n"), ["curve", "doc_id", "rid"], "n", "curve").select("rid", "offset")
     # a join on the unique row id, neither side broadcast as both grow with the input
     joined = encoded.select("rid", "doc_id", "n", "ids").join(placed.hint("merge"), "rid")
-    return joined.select("doc_id", "n", "offset", "ids").mapInArrow(_pieces(length), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
-
-
-def _crc(batches):
-    for batch in batches:
-        crc = [zlib.crc32(np.frombuffer(x, f"<u{len(x) // n}").astype("<u4").tobytes()) for x, n in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist(), strict=True)]
-        keep = ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(crc, pa.int64())], names=[*keep, "ids_crc32"])
-
-
-def piece_digests(pieces: DataFrame) -> DataFrame:
-    """Replace the ids of pieces by ids_crc32."""
-    return pieces.mapInArrow(_crc, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
+    return joined.select("doc_id", "n", "offset", "ids").mapInArrow(lean(_pieces(length, digest)), f"doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, {'ids_crc32 long' if digest else 'ids binary'}")

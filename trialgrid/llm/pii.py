@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialgrid.llm.common import lean
+
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD, SWEEPS, SETTLED, DAMPING, NEAR, SIMILAR = 0.9, 500, 1e-4, 0.3, 40, 7
 #: Label shares of an unlabelled token; smoothing of pair rates; least rate at which copies of one number or address differ.
@@ -139,7 +141,7 @@ def _tally(batches):
 
 def train(docs: DataFrame) -> tuple[dict[str, np.ndarray], dict]:
     """Log rates by shape, log potentials of chain and skip edges, and (told) the rate at which labelled copies differ."""
-    counts = docs.select("text").mapInArrow(_tally, "what string, shape string, a int, b int, n long").groupBy("what", "shape", "a", "b").agg(F.sum("n").alias("n")).collect()
+    counts = docs.select("text").mapInArrow(lean(_tally), "what string, shape string, a int, b int, n long").groupBy("what", "shape", "a", "b").agg(F.sum("n").alias("n")).collect()
     return weights([tuple(r) for r in counts])
 
 
@@ -224,9 +226,10 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model) -> list[tupl
 _SPAN = "array<struct<kind:string,start:long,end:long>>"
 
 
-def find(docs: DataFrame, names: tuple[str, str] = ("base", "spans")) -> DataFrame:
-    """Columns of `docs` (but for clashing ones) with base and spans (or other `names`), arrays of (kind, start, end) by kind, then start."""
+def find(docs: DataFrame) -> DataFrame:
+    """Columns of `docs` (but for clashing ones) with base and spans, arrays of (kind, start, end) by kind, then start."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
+    names = ("base", "spans")
     keep = docs.drop(*names)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + "".join(f", {n} {_SPAN}" for n in names)
@@ -241,30 +244,33 @@ def find(docs: DataFrame, names: tuple[str, str] = ("base", "spans")) -> DataFra
                     out.append([{"kind": KINDS[k], "start": s, "end": e} for k, s, e in found])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, kind), pa.array(spans, kind)], names=[*batch.schema.names, *names])
 
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(lean(run), schema)
+
+
+def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """`text` with each span replaced by its kind in angle brackets; overlapping spans become one."""
+    parts, at = [], 0
+    for kind, start, end in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if start >= at:
+            parts += [text[at:start], f"<{KINDS[kind]}>"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """`docs` with each found span replaced by its kind in angle brackets; overlapping spans become one."""
-    keep = docs.schema
-    found = find(docs, ("__base", "__spans"))
+    """`docs` with each found span replaced by its kind in angle brackets."""
+    model, keep = docs.sparkSession.sparkContext.broadcast(train(docs)), docs.schema
 
     def run(batches):
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-                if spans:
-                    parts, at = [], 0
-                    for s in sorted(spans, key=lambda x: (x["start"], -x["end"])):
-                        if s["start"] >= at:
-                            parts += [text[at : s["start"]], f"<{s['kind']}>"]
-                        at = max(at, s["end"])
-                    text = "".join([*parts, text[at:]])
-                texts.append(text)
+            for text in batch.column("text").to_pylist():
+                own = base_spans(text or "")
+                texts.append(redacted(text, [*own, *added_spans(text, own, model.value)]) if own else text)
             columns = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in keep]
             yield pa.RecordBatch.from_arrays(columns, names=keep.names)
 
-    return found.mapInArrow(run, keep)
+    return docs.mapInArrow(lean(run), keep)
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.piece_digests(packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, length=4096))
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, length=4096, digest=True)
 
 
 def op2_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialgrid.llm.common import gram_hash, mix64, numbered, partitions, stored, text_slices, word_bounds, word_hashes
+from trialgrid.llm.common import gram_hash, lean, mix64, numbered, partitions, stored, text_slices, word_bounds, word_hashes
 
 SPAN, GRAM, BUCKET = 20, 4, 4000
 #: Windows of a super-k-mer at most; longer ones are cut.
@@ -179,7 +179,7 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 def repeated_ranges(rows: DataFrame) -> DataFrame:
     """Ranges (rid, start, stop) of words to remove, from rows (rid, doc_id, text)."""
     spark = rows.sparkSession
-    listed = stored(rows.mapInArrow(_listed, _LISTED), "super-kmers")
+    listed = stored(rows.mapInArrow(lean(_listed), _LISTED), "super-kmers")
     counts = stored(listed.groupBy("minimiser").agg(F.count("*").alias("m"), F.max("twice").alias("any")).filter("m > 1 or any").select("minimiser"), "minimisers")
     shared = stored(listed.join(counts, "minimiser"), "shared")
     kind, place = ["minimiser", "content", "size"], F.struct("doc_id", "rid", "start")
@@ -191,8 +191,8 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     parts = F.ceil(F.col("c") / BUCKET).cast("int")
     sent = classes.select("minimiser", "content", "size", "first.rid", "first.start").join(several, "minimiser").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("content", "size"), F.col("parts")).cast("int"))
     wanted = sent.groupBy("rid").agg(F.collect_list(F.struct("start", "size", "minimiser", "part", "parts")).alias("runs"))
-    packed = stored(rows.join(wanted, "rid").mapInArrow(_packed, _PACKED), "packed")
-    marked = stored(packed.repartition(partitions(spark), "minimiser", "part").sortWithinPartitions("minimiser", "part").mapInArrow(_bucketed, _MARKED), "marked")
+    packed = stored(rows.join(wanted, "rid").mapInArrow(lean(_packed), _PACKED), "packed")
+    marked = stored(packed.repartition(partitions(spark), "minimiser", "part").sortWithinPartitions("minimiser", "part").mapInArrow(lean(_bucketed), _MARKED), "marked")
     firsts = marked.filter("h1 is not null")
     first = stored(firsts.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("m")).filter("m > 1").select("h1", "h2", "first"), "firsts")
     later = firsts.join(first, ["h1", "h2"]).filter(place != F.col("first"))
@@ -219,7 +219,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, text (the kept words joined by one space)."""
     rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "rid", "rows").select("rid", "doc_id", "text")
     ranges = stored(repeated_ranges(rows), "ranges").groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    return rows.join(ranges, "rid", "left").select("doc_id", "text", "ranges").mapInArrow(_cleaned, "doc_id long, n_words long, n_removed long, text string")
+    return rows.join(ranges, "rid", "left").select("doc_id", "text", "ranges").mapInArrow(lean(_cleaned), "doc_id long, n_words long, n_removed long, text string")
 
 
 def digests(cleaned: DataFrame) -> DataFrame:

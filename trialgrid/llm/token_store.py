@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialgrid.llm.common import encoder, global_offsets, mix64, new_path
+from trialgrid.llm.common import encoder, global_offsets, lean, mix64, new_path
 
 CHUNK_MIN, CHUNK_MASK, CHUNK_MAX, FAN = 64, 255, 2048, 1024
 _GEAR_SPAN = 8
@@ -116,7 +116,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> str:
     spark = docs.sparkSession
     path = new_path(spark, "token-store")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInArrow(_objects(tokenizer_path, end_id), _OBJECT)
+    found = rows.mapInArrow(lean(_objects(tokenizer_path, end_id)), _OBJECT)
     # one pass: chunks meet their copies by key, recipes go along under keys of their own
     unique = found.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("rid", "doc_id", "n_ids", "payload", "root")))
     unique.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
@@ -228,9 +228,9 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
     """
     recipes = _verified(spark, path)
     chunks = spark.read.schema(_OBJECT).parquet(f"{path}/objects").filter("kind = 'chunk'")
-    digests = chunks.select("key", "n_ids", "payload").mapInArrow(_digests, "key binary, crc long, held long")
-    entries = recipes.select("rid", "payload", "root").mapInArrow(_recipe_entries, "rid long, key binary, after long")
-    parts = entries.join(digests, "key").select("rid", "crc", "after", "held").mapInArrow(_shifted, "rid long, part long, held long")
+    digests = chunks.select("key", "n_ids", "payload").mapInArrow(lean(_digests), "key binary, crc long, held long")
+    entries = recipes.select("rid", "payload", "root").mapInArrow(lean(_recipe_entries), "rid long, key binary, after long")
+    parts = entries.join(digests, "key").select("rid", "crc", "after", "held").mapInArrow(lean(_shifted), "rid long, part long, held long")
     whole = parts.groupBy("rid").agg(F.bit_xor("part").alias("ids_crc32"), F.sum("held").alias("n_tokens"))
     read = F.when(F.col("n_tokens").eqNullSafe(F.col("n_ids")), F.col("n_tokens")).otherwise(F.raise_error(F.concat(F.lit("chunks are missing of the recipe at "), F.col("start"))).cast("long"))
     return recipes.select("rid", "doc_id", "start", "n_ids").join(whole, "rid", "left").select("doc_id", "start", read.alias("n_tokens"), "ids_crc32")
@@ -240,7 +240,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Rebuild whole documents: doc_id, start, ids (little-endian), in no order. For full restores; it shuffles the payloads."""
     recipes = _verified(spark, path)
     chunks = spark.read.schema(_OBJECT).parquet(f"{path}/objects").filter("kind = 'chunk'").select("key", "payload")
-    entries = recipes.select("rid", "payload", "root").mapInArrow(_recipe_entries, "rid long, key binary, after long")
+    entries = recipes.select("rid", "payload", "root").mapInArrow(lean(_recipe_entries), "rid long, key binary, after long")
     ordered = entries.join(chunks, "key").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct((-F.col("after")).alias("at"), "payload"))).alias("parts"))
     hexed = F.aggregate("parts", F.lit(""), lambda a, x: F.concat(a, F.hex(x["payload"])))
     return recipes.select("rid", "doc_id", "start").join(ordered, "rid").select("doc_id", "start", F.unhex(hexed).alias("ids"))
