@@ -69,16 +69,17 @@ def mixup(rows: DataFrame, folds: DataFrame, seed: int) -> DataFrame:
 
 
 def shuffled_labels(folds: DataFrame, permutations: int) -> DataFrame:
-    """(perm, trial, fold, label, truth): labels shuffled within each fold for every perm from 1; perm 0 is as observed.
+    """(perm, trial, fold, label): labels shuffled within each fold for every perm from 1; perm 0 is as observed.
 
-    A fold's centroids come from the shuffled labels of the other folds, and its trials are scored by their truth, so that only training labels are shuffled.
+    The shuffled labels stand for the truth in training and scoring. Scored by the true labels, a shuffle that the folds share
+    would turn two well separated classes as a whole, right or wrong in all folds at once.
     """
     each = folds.select("*", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
     w = Window.partitionBy("perm", "fold")
-    left = each.select("perm", "fold", "trial", F.col("label").alias("truth"), F.row_number().over(w.orderBy("trial")).alias("place"))
+    left = each.select("perm", "fold", "trial", F.row_number().over(w.orderBy("trial")).alias("place"))
     right = each.select("perm", "fold", "label", F.row_number().over(w.orderBy(md5_of(F.col("perm"), F.col("trial")), "trial")).alias("place"))
-    moved = left.join(right, ["perm", "fold", "place"]).select("perm", "trial", "fold", "label", "truth")
-    return folds.select(F.lit(0).alias("perm"), "trial", "fold", "label", F.col("label").alias("truth")).unionByName(moved)
+    moved = left.join(right, ["perm", "fold", "place"]).select("perm", "trial", "fold", "label")
+    return folds.select(F.lit(0).alias("perm"), "trial", "fold", "label").unionByName(moved)
 
 
 def shuffled_targets(rows: DataFrame, target: Column, permutations: int, seed: int, purpose: str) -> DataFrame:
@@ -133,9 +134,7 @@ def fold_standardise(rows: DataFrame, folds: DataFrame) -> DataFrame:
 
 
 def decode(z: DataFrame, labels: DataFrame) -> DataFrame:
-    """(perm, trial, fold, label, pred): nearest centroid of the labels of the other folds; label is the truth where `labels` has it. Sums only, no rows are gathered."""
-    if "truth" not in labels.columns:
-        labels = labels.withColumn("truth", F.col("label"))
+    """(perm, trial, fold, label, pred): nearest centroid of the labels of the other folds. Sums only, no rows are gathered."""
     rows = labels.join(z.drop("fold"), "trial")
     part = rows.groupBy("perm", "fold", "label", "pos").agg(F.sum("z").alias("s"), F.count("z").alias("n"))
     whole = part.groupBy("perm", "label", "pos").agg(F.sum("s").alias("s0"), F.sum("n").alias("n0"))
@@ -143,8 +142,8 @@ def decode(z: DataFrame, labels: DataFrame) -> DataFrame:
     centre = folds.join(whole, "perm").join(part, ["perm", "fold", "label", "pos"], "left")
     n = F.col("n0") - F.coalesce("n", F.lit(0))
     centre = centre.filter(n > 0).select("perm", "fold", F.col("label").alias("class"), "pos", ((F.col("s0") - F.coalesce("s", F.lit(0.0))) / n).alias("c"))
-    near = rows.join(centre, ["perm", "fold", "pos"]).groupBy("perm", "trial", "fold", "truth", "class").agg(F.sum((F.col("z") - F.col("c")) ** 2).alias("d"))
-    return near.groupBy("perm", "trial", "fold", F.col("truth").alias("label")).agg(F.min_by("class", F.struct(F.round("d", 6), "class")).alias("pred"))
+    near = rows.join(centre, ["perm", "fold", "pos"]).groupBy("perm", "trial", "fold", "label", "class").agg(F.sum((F.col("z") - F.col("c")) ** 2).alias("d"))
+    return near.groupBy("perm", "trial", "fold", "label").agg(F.min_by("class", F.struct(F.round("d", 6), "class")).alias("pred"))
 
 
 def empirical_p(scores: DataFrame, keys: list[str], score: str) -> DataFrame:
