@@ -39,6 +39,75 @@ def test_components_and_classes(spark):
     assert got.observed > 0.9 and got.p == pytest.approx(1 / 21)
 
 
+def test_shuffles_of_training_trials(spark):
+    n, folds, perms = 100, 5, 20
+    rng = np.random.RandomState(8)
+    label = np.arange(n) % 2
+    x = rng.normal(size=(n, 3)) + 6 * label[:, None]  # two classes far apart
+    rows = spark.createDataFrame([(i, int(label[i]), i // 2 % folds, x[i].tolist()) for i in range(n)], "trial int, label int, fold int, x array<double>")
+    mixed = st.training_shuffles(rows, folds, F.col("label").cast("double"), perms, 7, "t")
+    y = {r.trial: np.array(r.y).reshape(folds, perms + 1) for r in mixed.collect()}
+    fold = np.arange(n) // 2 % folds
+    whole = np.stack([y[i] for i in range(n)])
+    assert (whole[:, :, 0] == label[:, None]).all()
+    for f in range(folds):
+        others = whole[fold != f, f]
+        assert (np.sort(others, 0) == np.sort(label[fold != f])[:, None]).all()  # all trials of the training part, each once
+        assert (others[:, 1:] != others[:, :1]).any(0).all() and len(np.unique(others, axis=1).T) == perms + 1
+    both = (fold != 0) & (fold != 1)
+    assert (whole[both, 0, 1:] != whole[both, 1, 1:]).any(0).all()  # two folds share no shuffle
+    rows = st.class_targets(rows, "label", range(2), perms, 7, folds=folds)
+    pred = md.predict(rows, md.cross_fit(rows, [], 3, 2 * (perms + 1), blocks=folds), [], 3, 2 * (perms + 1))
+    scores = st.accuracy(pred, "label", range(2), perms + 1).toPandas().set_index("perm").accuracy
+    assert scores[0] > 0.95 and abs(scores[1:].mean() - 0.5) < 0.15 and scores[1:].max() < scores[0]
+
+
+def flooded(cells):
+    """Components of cells that share sides, one set each."""
+    left, out = set(cells), []
+    while left:
+        part, todo = set(), [left.pop()]
+        while todo:
+            r, c = todo.pop()
+            part.add((r, c))
+            for near in ((r, c + 1), (r, c - 1), (r + 1, c), (r - 1, c)):
+                if near in left:
+                    left.remove(near)
+                    todo.append(near)
+        out.append(part)
+    return out
+
+
+def test_clusters_of_a_map(spark):
+    rng = np.random.RandomState(9)
+    snake = [(r, c) for r in range(0, 12, 2) for c in range(12)] + [(r, 11 if r % 4 == 1 else 0) for r in range(1, 11, 2)]
+    spots = [(int(r), int(c)) for r, c in rng.randint(0, 12, (60, 2))]
+    rows = [("s", r, c) for r, c in snake] + [("d", r, c) for r, c in spots + spots[:5]]
+    got = md.grid_components(spark.createDataFrame(rows, "k string, row int, col int"), ["k"]).collect()
+    for k, cells in (("s", snake), ("d", spots)):
+        want = {cell: min(part) for part in flooded(cells) for cell in part}
+        assert {(r.row, r.col): tuple(r.label) for r in got if r.k == k} == want
+    assert len(set(tuple(r.label) for r in got if r.k == "s")) == 1
+
+    perms, size = 40, 9
+    scores = rng.normal(size=(perms + 1, size, size)).round(1)  # ties
+    scores[0, 2:6, 3:7] += 5
+    scores[0, 8, 0] += 5
+    frame = spark.createDataFrame([(p, r, c, float(scores[p, r, c])) for p in range(perms + 1) for r in range(size) for c in range(size)], "perm int, row int, col int, score double")
+    mask, null = md.grid_clusters(frame, [], "score", perms)
+    on = (scores[1:] >= scores[0]).sum(0) + 1 < 0.05 * (perms + 1)
+    share = (scores[None, 1:] < scores[1:, None]).sum(1) / (perms - 1)
+    most = np.array([max(map(len, flooded(zip(*np.nonzero(m > 0.95)))), default=0) for m in share])
+    part = {cell: len(p) for p in flooded(zip(*np.nonzero(on))) for cell in p}
+    got = {(r.row, r.col): r for r in mask.collect()}
+    assert len(got) == size * size and {k for k, r in got.items() if r["size"]} == set(part)
+    for cell, n in part.items():
+        assert got[cell]["size"] == n and got[cell].p_size == pytest.approx(((most >= n).sum() + 1) / (perms + 1))
+    assert all(got[r, c].mask for r in range(2, 6) for c in range(3, 7)) and not got[8, 0].mask
+    assert {(r.perm, r.row, r.col): r.percentile for r in null.collect()} == pytest.approx({(p + 1, r, c): share[p, r, c] for p in range(perms) for r in range(size) for c in range(size)})
+    assert md.grid_clusters(frame.limit(0), [], "score", perms)[0].count() == 0
+
+
 def test_coherence_finds_the_planted_lag(spark):
     rng = np.random.RandomState(3)
     trials = []

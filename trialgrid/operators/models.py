@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialgrid.operators.series import runs
-from trialgrid.operators.stats import md5_of
+from trialgrid.operators.stats import empirical_p, md5_of
 from trialgrid.sources.work import written
 
 
@@ -47,6 +47,49 @@ def two_sided_p(scores: DataFrame, keys: list[str], score: str) -> DataFrame:
     return both.groupBy(*keys, "observed").agg(((F.count_if(F.abs(score) >= F.abs("observed")) + 1) / (F.count("*") + 1)).alias("p"))
 
 
+# --- clusters on a map ---
+
+
+def grid_components(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells (keys, row, col) with `label`, the smallest (row, col) of their component; cells that share a side are joined. Keys are not null.
+
+    In each round a cell takes the smallest label around it and then that label's own, so that long components need few rounds.
+    """
+    state = written(cells.select(*keys, "row", "col").distinct().withColumn("label", F.struct("row", "col")), "components")
+    around = F.array(*(F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col"), F.lit(not r and not c).alias("own")) for r, c in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))))
+    while True:
+        sent = state.select(*keys, "label", F.explode(around).alias("to")).select(*keys, "label", "to.*")
+        near = sent.groupBy(*keys, "row", "col").agg(F.min("label").alias("label"), F.max(F.when(F.col("own"), F.col("label"))).alias("old")).filter("old is not null")
+        hop = state.select(*keys, F.struct("row", "col").alias("label"), F.col("label").alias("far"))
+        moved = written(near.join(hop, [*keys, "label"]).select(*keys, "row", "col", "old", F.col("far").alias("label")), "components")
+        state = moved.drop("old")
+        if moved.filter("label <> old").isEmpty():
+            return state
+
+
+def grid_clusters(scores: DataFrame, keys: list[str], score: str, permutations: int, p_threshold: float = 0.05, p_cluster: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """The mask of a map of scores against permuted ones, and the place of each permuted score among the others.
+
+    scores: keys, perm (0 as observed), row, col and `score`, no nulls. Mask: keys, row, col, observed, p, size (of the cell's cluster, 0 outside), p_size, mask.
+    A cell is on where its p (one added to count and total) is under `p_threshold`, a permuted cell where more than 1 - p_threshold of
+    the other permutations score less. The size of a cluster of cells that share sides is held against the largest cluster of each
+    permutation, 0 where it has none. An empty table gives no rows.
+    """
+    at = [*keys, "row", "col"]
+    observed = empirical_p(scores, at, score)
+    lower = (F.rank().over(Window.partitionBy(*at).orderBy(score)) - 1) / max(permutations - 1, 1)  # as many rows as permutations
+    null = written(scores.filter("perm > 0").select(*at, "perm", lower.alias("percentile")), "percentiles")
+    on = observed.filter(F.round("p", 9) < p_threshold).select(*keys, F.lit(0).alias("perm"), "row", "col").unionByName(null.filter(F.round("percentile", 9) > 1 - p_threshold).select(*keys, "perm", "row", "col"))
+    cells = grid_components(on, [*keys, "perm"])
+    sizes = written(cells.groupBy(*keys, "perm", "label").agg(F.count("*").alias("size")), "sizes")
+    most = null.select(*keys, "perm").distinct().join(sizes.groupBy(*keys, "perm").agg(F.max("size").alias("most")), [*keys, "perm"], "left").select(*keys, F.coalesce("most", F.lit(0)).alias("most"))
+    found = sizes.filter("perm = 0").drop("perm")
+    rated = found.join(most, keys or F.lit(True)).groupBy(*keys, "label", "size").agg(((F.count_if(F.col("most") >= F.col("size")) + 1) / (F.count("*") + 1)).alias("p_size"))
+    inside = cells.filter("perm = 0").drop("perm").join(rated, [*keys, "label"]).drop("label")
+    mask = observed.join(inside, at, "left").withColumns({"size": F.coalesce("size", F.lit(0)), "mask": F.coalesce(F.round("p_size", 9) < p_cluster, F.lit(False))})
+    return mask, null
+
+
 # --- ridge ---
 
 
@@ -87,19 +130,21 @@ def solve_ridge(s: np.ndarray, features: int, alpha: float, variance: float | No
     return np.vstack([mean[features + 1 :] - mean[1 : features + 1] @ w, w])
 
 
-def cross_fit(rows: DataFrame, keys: list[str], features: int, targets: int, alpha: float = 1.0, variance: float | None = None) -> DataFrame:
+def cross_fit(rows: DataFrame, keys: list[str], features: int, targets: int, alpha: float = 1.0, variance: float | None = None, blocks: int = 1) -> DataFrame:
     """Weights (keys, fold, w: (1 + features) x targets, row by row) of a ridge fit on all folds but the named one.
 
-    rows: keys, fold, x (array), y (array of `targets` numbers).
+    rows: keys, fold, x (array), y (array of `targets` numbers; with `blocks` as many for each fold, of which a fold's fit takes its own).
     """
     sums = gram_sums(rows, [*keys, "fold"], features)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema), "fold int, w array<double>"])
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         folds = sorted(part.fold.unique())
-        s = np.zeros((len(folds), features + 1, features + 1 + targets))
+        s = np.zeros((len(folds), features + 1, features + 1 + blocks * targets))
         s[np.searchsorted(folds, part.fold), part.i, part.j] = part.v
-        out = [solve_ridge(s.sum(0) - s[i], features, alpha, variance).ravel().tolist() if len(folds) > 1 else None for i in range(len(folds))]
+        first = [features + 1 + (f * targets if blocks > 1 else 0) for f in folds]
+        own = [np.r_[0 : features + 1, at : at + targets] for at in first]
+        out = [solve_ridge((s.sum(0) - s[i])[:, own[i]], features, alpha, variance).ravel().tolist() if len(folds) > 1 else None for i in range(len(folds))]
         return pd.DataFrame({**{k: [v] * len(folds) for k, v in zip(keys, key, strict=True)}, "fold": folds, "w": out})
 
     return sums.groupBy(*keys).applyInPandas(fit, schema)  # folds x features x targets rows a key

@@ -95,10 +95,34 @@ def shuffled_targets(rows: DataFrame, target: Column, permutations: int, seed: i
     return rows.join(moved, "trial").withColumn("y", F.concat(F.array(target), "moved")).drop("moved")
 
 
-def class_targets(rows: DataFrame, label: str, classes, permutations: int, seed: int) -> DataFrame:
-    """`rows` with y: for the label and each of its shuffles one indicator a class."""
+def training_shuffles(rows: DataFrame, folds: int, target: Column, permutations: int, seed: int, purpose: str) -> DataFrame:
+    """`rows` (trial, fold from 0 to folds - 1, ...) with y: for each fold held out, one block after another, the target and its shuffles.
+
+    A fold's block holds shuffles of its own, among the trials of all other folds, so that no two folds share one. In the block of
+    a trial's own fold the target stands unshuffled, as a fit for that fold (`cross_fit` with blocks) leaves the trial out.
+    """
+    one = rows.select("trial", "fold", target.alias("t")).distinct()
+    if not permutations:
+        return rows.withColumn("y", F.array_repeat(target, folds))
+    each = one.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter("held <> fold").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    left = ranked(each.select("held", "perm", "trial"), ["held", "perm"], [F.col("trial")])
+    mixed = md5_of(F.lit(seed), F.lit(purpose), F.col("held"), F.col("perm"), F.col("trial"))
+    right = ranked(each.select("held", "perm", "trial", "t"), ["held", "perm"], [mixed, F.col("trial")]).select("held", "perm", "place", "t")
+    moved = left.join(right, ["held", "perm", "place"]).groupBy("trial").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "perm", "t"))), lambda s: s["t"]).alias("moved"))
+
+    def block(held):
+        before = F.when(held > F.col("fold"), held - 1).otherwise(held)
+        own = F.array_repeat(target, permutations + 1)
+        return F.when(held == F.col("fold"), own).otherwise(F.concat(F.array(target), F.slice("moved", before * permutations + 1, F.lit(permutations))))
+
+    return rows.join(moved, "trial").withColumn("y", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(folds - 1)), block))).drop("moved")
+
+
+def class_targets(rows: DataFrame, label: str, classes, permutations: int, seed: int, folds: int = 0) -> DataFrame:
+    """`rows` with y: for the label and each of its shuffles one indicator a class; with `folds` in blocks, as `training_shuffles` gives them."""
     known = F.array(*(F.lit(c) for c in classes))
-    return shuffled_targets(rows, F.col(label), permutations, seed, "class").withColumn("y", F.flatten(F.transform("y", lambda y: F.transform(known, lambda c: (y == c).cast("double")))))
+    with_y = training_shuffles(rows, folds, F.col(label), permutations, seed, "class") if folds else shuffled_targets(rows, F.col(label), permutations, seed, "class")
+    return with_y.withColumn("y", F.flatten(F.transform("y", lambda y: F.transform(known, lambda c: (y == c).cast("double")))))
 
 
 def accuracy(pred: DataFrame, label: str, classes, permutations: int, keys: list[str] = ()) -> DataFrame:

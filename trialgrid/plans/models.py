@@ -9,6 +9,7 @@ from trialgrid.operators import series as op
 from trialgrid.operators import stats as st
 from trialgrid.plans.queries import QUERIES, query, tidy
 from trialgrid.sources import views as v
+from trialgrid.sources.work import written
 
 _TRIALS = ", trials as (select trial, label, pos, value from (select vec_id as trial, label, unnest(embedding)::double as value, unnest(range(64)) as pos from embeddings))"
 
@@ -159,8 +160,8 @@ def ridge_encode(spark, d):
 @plain
 def ridge_predict_r2(spark, d):
     """Principal components of 85 % of the variance, then ridge on all features: mean R2 of the folds, and its one-sided p over shuffled training targets."""
-    rows = _with_targets(_folded(spark, d), F.col("label").cast("double"), 20, 2, "predict")
-    pred = md.predict(rows, md.cross_fit(rows, [], 64, 21, variance=0.85), [], 64, 21)
+    rows = st.training_shuffles(_folded(spark, d), 5, F.col("label").cast("double"), 20, 2, "predict")
+    pred = md.predict(rows, md.cross_fit(rows, [], 64, 21, variance=0.85, blocks=5), [], 64, 21)
     each = pred.select("fold", F.col("label").cast("double").alias("truth"), F.posexplode("pred").alias("perm", "pred"))
     return st.empirical_p(st.regression_scores(each, ["perm"]), [], "r2")
 
@@ -168,8 +169,8 @@ def ridge_predict_r2(spark, d):
 @plain
 def ridge_decode(spark, d):
     """One-against-rest ridge classifier on principal components: accuracy out of fold and its p over shuffled training labels."""
-    rows = st.class_targets(_folded(spark, d), "label", range(10), 20, 3)
-    pred = md.predict(rows, md.cross_fit(rows, [], 64, 210, variance=0.85), [], 64, 210)
+    rows = st.class_targets(_folded(spark, d), "label", range(10), 20, 3, folds=5)
+    pred = md.predict(rows, md.cross_fit(rows, [], 64, 210, variance=0.85, blocks=5), [], 64, 210)
     return st.empirical_p(st.accuracy(pred, "label", range(10), 21), [], "accuracy")
 
 
@@ -184,6 +185,18 @@ def temporal_generalisation(spark, d):
     return st.accuracy(pred, "label", range(10), 1, ["t_train", "t_test"]).drop("perm")
 
 
+@plain
+def generalisation_clusters(spark, d):
+    """Train at one sample, test at another, even against odd labels: clusters of the map of accuracies against 20 shuffles of the training labels."""
+    rows = st.training_shuffles(_folded(spark, d), 5, F.when(F.col("label") % 2 == 0, 1.0).otherwise(-1.0), 20, 6, "map")
+    rows = rows.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.get("x", (c * 8 + F.col("row")).cast("int"))))
+    fitted = md.cross_fit(rows, ["row"], 8, 21, blocks=5)
+    each = rows.drop("y").withColumnRenamed("row", "col").withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    pred = md.predict(each, fitted, ["row"], 8, 21).select("row", "col", "label", F.posexplode("pred").alias("perm", "pred"))
+    scores = pred.groupBy("row", "col", "perm").agg(F.round(F.avg(((F.col("pred") > 0) == (F.col("label") % 2 == 0)).cast("int")), 9).alias("accuracy"))
+    return md.grid_clusters(written(scores, "map"), [], "accuracy", 20)[0]
+
+
 # --- connectivity ---
 
 
