@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialgrid.llm import decontam, htmltext, langid, media, neardup, packing, pii, secrets, substrings, token_store
+from trialgrid.llm import decontam, htmltext, infill, langid, lines, media, neardup, packing, pii, ranked, secrets, substrings, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,13 +62,32 @@ def op10_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.document_digests(spark, path)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def op13_reversible_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lines.digests(lines.LineIndex.build(docs).clean(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_hilbert_packing, op2_media_archives, op3_linked_secrets, op4_language_naive_bayes, op5_pii_skip_chain,
         op6_prefix_decontamination, op7_minhash_inverted_join, op8_super_kmers, op9_html_subsequence, op10_content_addressed_store,
+        op11_ranked_search, op12_fill_in_middle, op13_reversible_line_dedup,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_prefix_decontamination": decontam.ORACLE}
+    return {
+        "op6_prefix_decontamination": decontam.ORACLE,
+        "op11_ranked_search": ranked.ORACLE,
+        "op12_fill_in_middle": infill.ORACLE,
+        "op13_reversible_line_dedup": lines.ORACLE,
+    }
