@@ -180,7 +180,7 @@ def test_inserts_and_deletions_are_reversible(spark, with_lines, tmp_path):
     assert counts(whole) == counts(both)
     back = both.delete(two)
     assert counts(back) == counts(first)
-    assert sorted(np.sort(back.cells(), axis=None)) == sorted(np.sort(first.cells(), axis=None)) or back.shards != first.shards
+    assert (back.cells() > 0).sum() == back.common().count() == first.common().count()  # nothing of the deleted documents stays in the filters
     same(back.clean(one).collect(), brute_lines(texts(one), 2))
     same(back.clean(rows).collect(), brute_lines(texts(rows), 2, counted=texts(one)))  # also documents that aren't in the index
     both.save(str(tmp_path / "index"))
@@ -191,41 +191,36 @@ def test_inserts_and_deletions_are_reversible(spark, with_lines, tmp_path):
         gone.delete(spark.createDataFrame([(1, "never seen")], "doc_id long, text string"))
 
 
-def test_false_positives_are_confirmed(spark, monkeypatch):
-    """With 1-bit fingerprints nearly every key passes the filters; results stay exact."""
-    monkeypatch.setattr(lines, "_homes", lambda a, b: (np.ones(len(a), np.uint16), b % np.uint64(2)))
+def test_false_positives_are_confirmed(spark):
+    """With fingerprints of one bit and few buckets most keys pass the filters; results stay exact."""
     rows = spark.createDataFrame([(i, f"line {i}\nshared {i % 20}\nonly {i * 7}") for i in range(60)], "doc_id long, text string")
-    index = lines.LineIndex.build(rows.filter("doc_id < 6"), 2)  # few common keys: two buckets hold them
-    cells = lines.LineIndex.build(rows.filter("doc_id % 20 < 4"), 2)
-    for x, part in ((index, rows.filter("doc_id < 6")), (cells, rows.filter("doc_id % 20 < 4"))):
-        held = texts(part)
-        same(x.clean(rows).collect(), brute_lines(texts(rows), 2, counted=held))
+    for part in (rows.filter("doc_id % 20 < 4"), rows):
+        index = lines.LineIndex.build(part, 2, buckets=8, bits=1)
+        same(index.clean(rows).collect(), brute_lines(texts(rows), 2, counted=texts(part)))
 
 
 def test_cuckoo_filter():
     rng = np.random.default_rng(5)
-    a, b = rng.integers(0, 1 << 63, (2, 48_000)).astype(np.uint64)
+    b = rng.integers(0, 1 << 63, 48_000).astype(np.uint64)
     cells = np.zeros((lines.BUCKETS, lines.SLOTS), "<u2")
-    assert lines.cuckoo_insert(cells, a[:40_000], b[:40_000]) and lines.cuckoo_insert(cells, a[40_000:], b[40_000:])
+    assert lines.cuckoo_insert(cells, b[:40_000]) and lines.cuckoo_insert(cells, b[40_000:])
     assert (cells > 0).sum() == 48_000
-    has = lambda i, j: lines.cuckoo_has(cells[None], np.zeros(j - i, int), a[i:j], b[i:j])
+    has = lambda i, j: lines.cuckoo_has(cells[None], np.zeros(j - i, int), b[i:j])
     assert has(0, 48_000).all()
-    lines.cuckoo_delete(cells, a[:20_000], b[:20_000])
+    lines.cuckoo_delete(cells, b[:20_000])
     assert has(20_000, 48_000).all() and has(0, 20_000).mean() < 0.01
-    lines.cuckoo_delete(cells, a[20_000:], b[20_000:])
+    lines.cuckoo_delete(cells, b[20_000:])
     assert not cells.any()
-    assert not lines.cuckoo_insert(cells, *rng.integers(0, 1 << 63, (2, 70_000)).astype(np.uint64), rounds=200)  # more than there are cells
+    assert not lines.cuckoo_insert(cells, rng.integers(0, 1 << 63, 70_000).astype(np.uint64), rounds=200)  # more than there are cells
 
 
-def test_more_shards_where_one_is_full(spark, monkeypatch):
-    monkeypatch.setattr(lines, "BUCKETS", 64)
-    monkeypatch.setattr(lines, "SHARD_KEYS", 128)
+def test_more_shards_where_one_is_full(spark):
     rows = spark.createDataFrame([(i, "\n".join(f"line {j}" for j in range(i % 2, 900, 2))) for i in range(6)], "doc_id long, text string")
-    index = lines.LineIndex.build(rows.filter("doc_id < 4"), 2)
+    index = lines.LineIndex.build(rows.filter("doc_id < 4"), 2, buckets=64)
     assert index.shards > 4
-    more = index.insert(rows.withColumn("text", F.upper("text"))).insert(rows.withColumn("text", F.concat("text", F.lit("\nnew"))))
+    more = index.insert(rows.withColumn("text", F.concat("text", F.lit("\nnew"))))
     same(more.clean(rows).collect(), brute_lines(texts(rows), 2))
-    small = lines.LineIndex.build(rows.filter("doc_id = 0"), 2).insert(rows)  # one shard to begin with
+    small = lines.LineIndex.build(rows.filter("doc_id = 0"), 2, buckets=64).insert(rows)  # one shard to begin with
     assert small.shards > 4
     same(small.clean(rows).collect(), brute_lines(texts(rows), 2))
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from trialgrid.llm.common import _SPACE, lean, mix64, new_path, numbered, stored, text_slices, word_hashes
 
 FILTER_BYTES = 1 << 26
-SHARD_KEYS, BUCKETS, SLOTS = 1 << 15, 1 << 14, 4  # a shard is filled to half when it is built
+BUCKETS, BITS, SLOTS = 1 << 14, 16, 4  # by shard; a shard is filled to half when it is built
 SALTS = 64
 
 
@@ -80,18 +80,18 @@ def key_counts(docs: DataFrame, chars: int = 1) -> DataFrame:
 # --- cuckoo filters ---
 
 
-def _homes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint (never 0) and first bucket of keys."""
-    return np.maximum(b & np.uint64(0xFFFF), np.uint64(1)).astype(np.uint16), (b >> np.uint64(16)) % np.uint64(BUCKETS)
+def _homes(b: np.ndarray, buckets: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint (never 0) and first bucket of keys, from their second hash; the first gives the shard."""
+    return np.maximum(b & np.uint64((1 << bits) - 1), np.uint64(1)).astype(np.uint16), (b >> np.uint64(16)) % np.uint64(buckets)
 
 
-def _other(bucket: np.ndarray, print_: np.ndarray) -> np.ndarray:
-    return bucket ^ (mix64(print_.astype(np.uint64)) % np.uint64(BUCKETS))  # BUCKETS is a power of two
+def _other(bucket: np.ndarray, print_: np.ndarray, buckets: int) -> np.ndarray:
+    return bucket ^ (mix64(print_.astype(np.uint64)) % np.uint64(buckets))  # a power of two
 
 
-def cuckoo_insert(cells: np.ndarray, a: np.ndarray, b: np.ndarray, rounds: int = 2_000) -> bool:
-    """Put the keys' fingerprints into cells (BUCKETS x SLOTS), all pending ones a round; False if some found no place."""
-    print_, bucket = _homes(a, b)
+def cuckoo_insert(cells: np.ndarray, b: np.ndarray, bits: int = BITS, rounds: int = 2_000) -> bool:
+    """Put the keys' fingerprints into cells (buckets x SLOTS), all pending ones a round; False if some found no place."""
+    print_, bucket = _homes(b, len(cells), bits)
     for step in range(rounds):
         if not len(print_):
             return True
@@ -110,32 +110,33 @@ def cuckoo_insert(cells: np.ndarray, a: np.ndarray, b: np.ndarray, rounds: int =
             print_, bucket = np.concatenate([print_[~fits & ~out], thrown]), np.concatenate([bucket[~fits & ~out], bucket[out]]).astype(np.uint64)
         else:
             print_, bucket = print_[~fits], bucket[~fits].astype(np.uint64)
-        bucket = _other(bucket, print_)
+        bucket = _other(bucket, print_, len(cells))
     return not len(print_)
 
 
-def cuckoo_delete(cells: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+def cuckoo_delete(cells: np.ndarray, b: np.ndarray, bits: int = BITS) -> None:
     """Take one copy of each key's fingerprint out; all keys have been inserted."""
-    for print_, bucket in zip(*_homes(a, b), strict=True):
-        for at in (int(bucket), int(_other(np.array([bucket]), np.array([print_]))[0])):
+    print_, bucket = _homes(b, len(cells), bits)
+    for print_, *both in zip(print_, bucket.astype(int), _other(bucket, print_, len(cells)).astype(int), strict=True):
+        for at in both:
             slot = np.flatnonzero(cells[at] == print_)
             if len(slot):
                 cells[at, slot[0]] = 0
                 break
 
 
-def cuckoo_has(cells: np.ndarray, shard: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which keys pass the filters `cells` (shards x BUCKETS x SLOTS)."""
-    print_, bucket = _homes(a, b)
-    return ((cells[shard, bucket] == print_[:, None]) | (cells[shard, _other(bucket, print_)] == print_[:, None])).any(1)
+def cuckoo_has(cells: np.ndarray, shard: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Which keys pass the filters `cells` (shards x buckets x SLOTS)."""
+    print_, bucket = _homes(b, cells.shape[1], bits)
+    return ((cells[shard, bucket] == print_[:, None]) | (cells[shard, _other(bucket, print_, cells.shape[1])] == print_[:, None])).any(1)
 
 
 def _sharded(refs: DataFrame, shards: int) -> DataFrame:
     return refs.withColumn("shard", F.pmod("a", F.lit(shards)).cast("int"))
 
 
-def _pair(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return part.a.to_numpy(np.int64).view(np.uint64), part.b.to_numpy(np.int64).view(np.uint64)
+def _second(part: pd.DataFrame) -> np.ndarray:
+    return np.sort(part.b.to_numpy(np.int64).view(np.uint64))
 
 
 @dataclass
@@ -147,25 +148,27 @@ class LineIndex:
     shards: int
     least: int = 10
     chars: int = 1
+    buckets: int = BUCKETS
+    bits: int = BITS
 
     @staticmethod
-    def empty(spark: SparkSession, least: int = 10, chars: int = 1) -> LineIndex:
-        return LineIndex(spark.createDataFrame([], "a bigint, b bigint, docs bigint"), spark.createDataFrame([], "shard int, cells binary"), 1, least, chars)
+    def empty(spark: SparkSession, least: int = 10, chars: int = 1, buckets: int = BUCKETS, bits: int = BITS) -> LineIndex:
+        return LineIndex(spark.createDataFrame([], "a bigint, b bigint, docs bigint"), spark.createDataFrame([], "shard int, cells binary"), 1, least, chars, buckets, bits)
 
     @staticmethod
-    def build(docs: DataFrame, least: int = 10, chars: int = 1) -> LineIndex:
-        return LineIndex.empty(docs.sparkSession, least, chars)._rebuilt(stored(key_counts(docs, chars), "line-refs"))
+    def build(docs: DataFrame, least: int = 10, chars: int = 1, buckets: int = BUCKETS, bits: int = BITS) -> LineIndex:
+        return LineIndex.empty(docs.sparkSession, least, chars, buckets, bits)._rebuilt(stored(key_counts(docs, chars), "line-refs"))
 
     def save(self, path: str) -> None:
         """A folder with both tables and one row of settings."""
         self.refs.write.parquet(f"{path}/refs")
         self.filters.write.parquet(f"{path}/filters")
-        self.refs.sparkSession.createDataFrame([(self.shards, self.least, self.chars)], "shards int, least int, chars int").write.parquet(f"{path}/settings")
+        self.refs.sparkSession.createDataFrame([(self.shards, self.least, self.chars, self.buckets, self.bits)], "shards int, least int, chars int, buckets int, bits int").write.parquet(f"{path}/settings")
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> LineIndex:
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return LineIndex(read("refs"), read("filters"), *read("settings").select("shards", "least", "chars").first())
+        return LineIndex(read("refs"), read("filters"), *read("settings").select("shards", "least", "chars", "buckets", "bits").first())
 
     def common(self) -> DataFrame:
         return self.refs.filter(F.col("docs") >= self.least).select("a", "b")
@@ -187,54 +190,56 @@ class LineIndex:
         turned = sums.filter((F.col("before") >= self.least) != (F.col("docs") >= self.least)).select("a", "b", (F.col("docs") >= self.least).alias("up"))
         turned = stored(_sharded(turned, self.shards), "line-turns")
         most = refs.filter(F.col("docs") >= self.least).groupBy(F.pmod("a", F.lit(self.shards))).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if most > BUCKETS * SLOTS * 3 // 4:
+        buckets, bits = self.buckets, self.bits
+        if most > buckets * SLOTS * 3 // 4:
             return self._rebuilt(refs)
 
         def update(key: tuple, old: pd.DataFrame, turns: pd.DataFrame) -> pd.DataFrame:
-            cells = np.frombuffer(old.cells[0], "<u2").reshape(BUCKETS, SLOTS).copy() if len(old) else np.zeros((BUCKETS, SLOTS), "<u2")
+            cells = np.frombuffer(old.cells[0], "<u2").reshape(buckets, SLOTS).copy() if len(old) else np.zeros((buckets, SLOTS), "<u2")
             up = turns.up.to_numpy(bool)
-            cuckoo_delete(cells, *_pair(turns[~up]))
-            fits = cuckoo_insert(cells, *_pair(turns[up]))
+            cuckoo_delete(cells, _second(turns[~up]), bits)
+            fits = cuckoo_insert(cells, _second(turns[up]), bits)
             return pd.DataFrame({"shard": [key[0]], "cells": [cells.tobytes() if fits else b""]})
 
-        filters = stored(self.filters.groupBy("shard").cogroup(turned.groupBy("shard")).applyInPandas(update, "shard int, cells binary"), "line-filters")  # at most SHARD_KEYS times two keys a shard
+        filters = stored(self.filters.groupBy("shard").cogroup(turned.groupBy("shard")).applyInPandas(update, "shard int, cells binary"), "line-filters")  # a shard's cells bound its keys
         if not filters.filter("length(cells) = 0").isEmpty():
             return self._rebuilt(refs)
-        return LineIndex(refs, filters, self.shards, self.least, self.chars)
+        return LineIndex(refs, filters, self.shards, self.least, self.chars, buckets, bits)
 
     def _rebuilt(self, refs: DataFrame, shards: int = 0) -> LineIndex:
         """With filters from the exact counts alone, and as many shards as these need."""
         common = refs.filter(F.col("docs") >= self.least)
-        shards = shards or max(1, -(-common.count() // SHARD_KEYS))
+        buckets, bits = self.buckets, self.bits
+        shards = shards or max(1, -(-common.count() // (2 * buckets)))
 
         def fill(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            cells = np.zeros((BUCKETS, SLOTS), "<u2")
-            fits = len(part) <= BUCKETS * SLOTS * 3 // 4 and cuckoo_insert(cells, *_pair(part.sort_values(["a", "b"])))
+            cells = np.zeros((buckets, SLOTS), "<u2")
+            fits = len(part) <= buckets * SLOTS * 3 // 4 and cuckoo_insert(cells, _second(part), bits)
             return pd.DataFrame({"shard": [key[0]], "cells": [cells.tobytes() if fits else b""]})
 
         filters = stored(_sharded(common, shards).groupBy("shard").applyInPandas(fill, "shard int, cells binary"), "line-filters")
         if not filters.filter("length(cells) = 0").isEmpty():
             return self._rebuilt(refs, 2 * shards)
-        return LineIndex(refs, filters, shards, self.least, self.chars)
+        return LineIndex(refs, filters, shards, self.least, self.chars, buckets, bits)
 
     def cells(self) -> np.ndarray:
-        """All filters: shards x BUCKETS x SLOTS, at most FILTER_BYTES where it is called."""
-        out = np.zeros((self.shards, BUCKETS, SLOTS), "<u2")
+        """All filters: shards x buckets x SLOTS; `clean` gathers them only up to its bound."""
+        out = np.zeros((self.shards, self.buckets, SLOTS), "<u2")
         for row in self.filters.toLocalIterator():
-            out[row.shard] = np.frombuffer(row.cells, "<u2").reshape(BUCKETS, SLOTS)
+            out[row.shard] = np.frombuffer(row.cells, "<u2").reshape(self.buckets, SLOTS)
         return out
 
     def clean(self, docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
         """doc_id, n_lines, n_dropped, kept (the text that remains, '' where nothing does) of each document."""
         rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        if self.shards * BUCKETS * SLOTS * 2 > filter_bytes:
+        if self.shards * self.buckets * SLOTS * 2 > filter_bytes:
             return self._clean_by_join(rows)
-        cells, shards, chars = self.cells(), self.shards, self.chars
+        cells, shards, chars, bits = self.cells(), self.shards, self.chars, self.bits
 
         def passed(data, ends):
             start, end, row, a, b, able = line_keys(data, ends, chars)
             at = np.flatnonzero(able)
-            at = at[cuckoo_has(cells, (a[at].view(np.int64) % shards), a[at], b[at])]
+            at = at[cuckoo_has(cells, a[at].view(np.int64) % shards, b[at], bits)]
             return start, end, row, a, b, at
 
         def candidates(batches):
