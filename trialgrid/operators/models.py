@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialgrid.operators.series import runs
-from trialgrid.operators.stats import empirical_p, md5_of
+from trialgrid.operators.stats import empirical_p, group_bits, md5_of
 from trialgrid.sources.work import written
 
 
@@ -32,12 +32,64 @@ def permutation_clusters(df: DataFrame, keys: list[str], unit: str, order: str,
     a cluster is a maximal run of samples with p under the threshold, and its p is the share of permutations with a run as long.
     """
     stat = sign_flips(df, unit, permutations, seed).groupBy(*keys, "perm", order).agg(F.round(F.avg(F.col("sign") * F.col(diff)), 9).alias("stat"))
+    return rated_clusters(stat.drop("n"), keys, order, permutations, p_threshold)[1]
+
+
+def rated_clusters(stat: DataFrame, keys: list[str], order: str, permutations: int, p_threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(keys, perm, order, stat, p, on) of rows (keys, perm, order, stat), and the observed clusters (keys, start, stop, n, p) against each permutation's longest."""
     w = Window.partitionBy(*keys, order).orderBy(F.desc("stat"))  # as many rows as permutations
-    on = stat.withColumn("on", F.round(F.count("*").over(w) / (permutations + 1), 9) < p_threshold)
+    on = stat.withColumn("p", F.round(F.count("*").over(w) / (permutations + 1), 9)).withColumn("on", F.col("p") < p_threshold)
     found = written(runs(on, [*keys, "perm"], order, "on"), "clusters")
     longest = on.select(*keys, "perm").distinct().join(found.groupBy(*keys, "perm").agg(F.max("n").alias("most")), [*keys, "perm"], "left").filter("perm > 0").select(*keys, F.coalesce("most", F.lit(0)).alias("most"))
     both = found.filter("perm = 0").join(longest, keys or F.lit(True))
-    return both.groupBy(*keys, "start", "stop", "n").agg(((F.count_if(F.col("most") >= F.col("n")) + 1) / (F.count("*") + 1)).alias("p"))
+    return on, both.groupBy(*keys, "start", "stop", "n").agg(((F.count_if(F.col("most") >= F.col("n")) + 1) / (F.count("*") + 1)).alias("p"))
+
+
+def shuffled_differences(df: DataFrame, keys: list[str], unit: str, group: str, order: str, value: str, permutations: int, seed: int) -> DataFrame:
+    """keys, perm, order, stat: mean of `value` over the units in the group less that over the others, for the units as they are (perm 0) and shuffled.
+
+    df: a row a unit and sample; `group` is a boolean of the unit, the groups may differ in size. A row carries its unit's place in all
+    shuffles, and each task adds its rows up by sample for all shuffles at once. Nulls are left out; a sample at which one side has no value has no row.
+    """
+    bits = group_bits(df, keys, unit, group, permutations, seed)
+    rows = df.select(*keys, unit, F.col(order).alias("__o"), F.col(value).cast("double").alias("__v")).filter("__v is not null and not isnan(__v)").join(bits, [*keys, unit])
+    kinds = rows.select(*keys, "__o").schema
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "s array<double>, n array<bigint>, total double, rows bigint"])
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            at, first = frame.groupby([*keys, "__o"], dropna=False, sort=False).ngroup().to_numpy(), ~frame.duplicated([*keys, "__o"]).to_numpy()
+            order_ = np.argsort(at, kind="stable")
+            heads = np.flatnonzero(np.r_[True, np.diff(at[order_]) > 0])
+            on, v = np.stack(frame.bits.to_numpy())[order_].astype(float), frame["__v"].to_numpy()[order_]
+            out = frame.loc[first, [*keys, "__o"]].reset_index(drop=True)  # groups are numbered as they come
+            out["s"], out["n"] = list(np.add.reduceat(on * v[:, None], heads)), list(np.add.reduceat(on, heads).astype(np.int64))
+            out["total"], out["rows"] = np.add.reduceat(v, heads), np.diff(np.r_[heads, len(v)])
+            yield out
+
+    part = rows.select(*keys, "__o", "__v", "bits").mapInPandas(partial, schema)
+    each = part.select(*keys, "__o", "total", "rows", F.posexplode(F.arrays_zip("s", "n")).alias("perm", "e"))
+    sums = each.groupBy(*keys, "perm", "__o").agg(F.sum("e.s").alias("s"), F.sum("e.n").alias("n"), F.sum("total").alias("total"), F.sum("rows").alias("rows"))
+    stat = F.round(F.col("s") / F.col("n") - (F.col("total") - F.col("s")) / (F.col("rows") - F.col("n")), 9)
+    return sums.filter("n > 0 and n < rows").select(*keys, "perm", F.col("__o").alias(order), stat.alias("stat"))
+
+
+def two_sample_clusters(df: DataFrame, keys: list[str], unit: str, group: str, order: str, value: str, permutations: int, seed: int, p_threshold: float = 0.1, p_mask: float = 0.05) -> DataFrame:
+    """(keys, order, stat, pval, cluster_p, mask): where one group of units lies above the other, of samples that both groups have.
+
+    The null shuffles which units are in the group. pval: a sample's place among all shuffles, one-sided. A run of samples with pval under `p_threshold` is
+    held against the longest run of each shuffle (cluster_p, null outside runs); mask is on where both the run's p and the sample's own
+    are under `p_mask`.
+    """
+    stat = written(shuffled_differences(df, keys, unit, group, order, value, permutations, seed), "differences")
+    on, clusters = rated_clusters(stat, keys, order, permutations, p_threshold)
+    found = clusters.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "start", "stop", F.col("p").alias("cluster_p"))
+    inside = [*(F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)), F.col("on"), F.col(order).between(F.col("start"), F.col("stop"))]
+    # a run a key and sample at most; clusters are fewer than samples
+    got = on.filter("perm = 0").join(found, inside, "left")
+    return got.select(*keys, order, "stat", F.col("p").alias("pval"), "cluster_p", F.coalesce((F.round("cluster_p", 9) < p_mask) & (F.col("p") < p_mask), F.lit(False)).alias("mask"))
 
 
 def two_sided_p(scores: DataFrame, keys: list[str], score: str) -> DataFrame:
@@ -203,6 +255,121 @@ def directed_coherence(trials: DataFrame, keys: list[str], channels: int, order:
     return sums.groupBy(*keys).applyInPandas(fit, schema)  # (channels x order) squared rows a key
 
 
+def _mixed(*parts) -> np.ndarray:
+    """64-bit hashes of the broadcast parts, each mixed in on top of those before it."""
+    out = np.uint64(0)
+    with np.errstate(over="ignore"):
+        for x in parts:
+            out = (out ^ np.asarray(x).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)
+            out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            out = out ^ (out >> np.uint64(31))
+    return out
+
+
+def window_starts(samples: int, size: int, step: int) -> np.ndarray:
+    """First samples of all whole windows of a trial: window k is [k * step, k * step + size)."""
+    return np.arange(0, samples - size + 1, step)
+
+
+def shifts(unit: np.ndarray, window: int, perm: int, channels: int, size: int, seed: int) -> np.ndarray:
+    """By how many samples, from 1 to size - 1, each channel of each unit moves along a window's ring."""
+    return (_mixed(seed, window, perm, unit[:, None], np.arange(channels)) % np.uint64(size - 1)).astype(np.int64) + 1
+
+
+def window_sums(trials: DataFrame, keys: list[str], unit: str, channels: int, order: int, size: int, step: int, permutations: int = 0, seed: int = 0) -> DataFrame:
+    """Sums (keys, win, perm, i, j, v) for regressing a sample of all channels on the `order` samples before it, pooled over trials, in sliding windows.
+
+    trials: keys, unit (any type), m (channels x samples, row by row; trials may differ in length). The cuts at which some window begins or
+    ends part a trial into segments no longer than a step; the products of a segment's samples are added up once, and a window (perm 0) is the sum
+    of its segments. In the other perms every channel of every trial moves along the window's own ring, which crosses no segment, so these
+    are added up window by window. A task holds one window's sums at a time and gives them for each batch of its trials.
+    """
+    width = channels * order
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in trials.select(*keys).schema), "win int, perm int, n bigint, i int, j int, v double"])
+    i, j = np.triu_indices(width + channels)
+
+    def stacked(x: np.ndarray) -> np.ndarray:
+        """[past, present] by sample: (channels * (order + 1)) x trials x (samples - order)."""
+        past = [x[:, :, order - k - 1 : x.shape[2] - k - 1] for k in range(order)]
+        return np.concatenate([*past, x[:, :, order:]], 1).transpose(1, 0, 2)
+
+    def product(z: np.ndarray) -> np.ndarray:
+        flat = z.reshape(len(z), -1)
+        return flat @ flat.T
+
+    def of(key: tuple, win: int, perm: int, n: int, s: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({**{k: [x] * len(i) for k, x in zip(keys, key, strict=True)}, "win": win, "perm": perm, "n": n, "i": i, "j": j, "v": s[i, j]})
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame["__samples"] = [len(m) // channels for m in frame.m]
+            frame["__unit"] = pd.util.hash_array(frame[unit].astype(str).to_numpy(dtype=object))
+            for key, part in frame.groupby([*keys, "__samples"], dropna=False):
+                *key, samples = key
+                starts = window_starts(samples, size, step)
+                if not len(starts):
+                    continue
+                x = np.nan_to_num(np.stack(part.m.to_numpy()).astype(float)).reshape(len(part), channels, samples)
+                z = stacked(x)  # its place t is the regression of sample t + order
+                cuts = np.unique(np.r_[starts, starts + size - order])
+                segment = [product(z[:, :, a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                each = len(part) * (size - order)
+                for win, start in enumerate(starts):
+                    a, b = np.searchsorted(cuts, [start, start + size - order])
+                    yield of(key, win, 0, each, sum(segment[a:b]))
+                    for perm in range(1, permutations + 1):
+                        by = shifts(part["__unit"].to_numpy(), win, perm, channels, size, seed)
+                        ring = np.take_along_axis(x[:, :, start : start + size], (np.arange(size) - by[:, :, None]) % size, 2)
+                        yield of(key, win, perm, each, product(stacked(ring)))
+
+    sums = trials.select(*keys, unit, "m").mapInPandas(partial, schema)
+    return sums.groupBy(*keys, "win", "perm", "i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+
+
+def windowed_autoregression(trials: DataFrame, keys: list[str], unit: str, channels: int, order: int, size: int, step: int, permutations: int = 0, seed: int = 0) -> DataFrame:
+    """keys, win, perm, start, stop, n, coef (channels x channels * order) and rescov (channels x channels), row by row, by least squares.
+
+    n: regressions pooled, trials times (size - order). rescov: the mean over them of the products of residuals.
+    """
+    width = channels * order
+    sums = window_sums(trials, keys, unit, channels, order, size, step, permutations, seed)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in trials.select(*keys).schema), "win int, perm int, start int, stop int, n bigint, coef array<double>, rescov array<double>"])
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        *own, win, perm = key
+        s = np.zeros((width + channels,) * 2)
+        s[part.i, part.j] = part.v
+        s = np.triu(s) + np.triu(s, 1).T
+        past, cross, now = s[:width, :width], s[:width, width:], s[width:, width:]
+        coef = np.linalg.solve(past + 1e-9 * max(np.trace(past) / width, 1e-30) * np.eye(width), cross).T
+        n = int(part.n.iloc[0])
+        left = (now - coef @ cross - (coef @ cross).T + coef @ past @ coef.T) / n
+        return pd.DataFrame({**{k: [x] for k, x in zip(keys, own, strict=True)}, "win": [win], "perm": [perm], "start": [win * step], "stop": [win * step + size], "n": [n], "coef": [coef.ravel()], "rescov": [left.ravel()]})
+
+    return sums.groupBy(*keys, "win", "perm").applyInPandas(fit, schema)  # (channels x order) squared rows a window
+
+
+def windowed_coherence(trials: DataFrame, keys: list[str], unit: str, channels: int, order: int, size: int, step: int, permutations: int, seed: int, bins: int = 64) -> DataFrame:
+    """Edges (keys, win, start, stop, source, target, pdc, p) of each window; p one-sided against circular shifts within the window, with one added to count and total."""
+    fitted = written(windowed_autoregression(trials, keys, unit, channels, order, size, step, permutations, seed).drop("rescov", "n"), "autoregressions")
+    at = [*keys, "win", "start", "stop"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fitted.select(*at, "perm").schema), "source int, target int, pdc double"])
+    target, source = np.nonzero(~np.eye(channels, dtype=bool))
+
+    def edges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                pdc = coherence(np.asarray(row.coef).reshape(channels, -1), channels, order, bins)
+                own = {c: [getattr(row, c)] * len(target) for c in (*at, "perm")}
+                yield pd.DataFrame({**own, "source": source, "target": target, "pdc": pdc[target, source]})
+
+    got = fitted.select(*at, "perm", "coef").mapInPandas(edges, schema).withColumn("pdc", F.round("pdc", 12))
+    if not permutations:
+        return got.drop("perm").withColumn("p", F.lit(None).cast("double"))
+    return empirical_p(got, [*at, "source", "target"], "pdc").withColumnRenamed("observed", "pdc")
+
+
 def shifted_trials(trials: DataFrame, unit: str, channels: int, samples: int, permutations: int, seed: int) -> DataFrame:
     """`trials` for each perm from 0 (as observed); in the others every channel of every trial moves along its ring by 1 to samples - 1, by md5."""
     each = trials.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
@@ -217,6 +384,21 @@ def shifted_trials(trials: DataFrame, unit: str, channels: int, samples: int, pe
     return each.withColumn("m", F.when(F.col("perm") == 0, F.col("m")).otherwise(rolled))
 
 
+def dense(df: DataFrame, keys: list[str], at: str, value: str, length: int, out: str) -> DataFrame:
+    """keys and `out`: an array of `length` numbers with `value` at place `at` (0 to length - 1, one row a place), 0 elsewhere and for nulls."""
+    cells = df.groupBy(*keys).agg(F.collect_list(F.struct(F.col(at).cast("int").alias("i"), F.col(value).cast("double").alias("v"))).alias("e"))  # at most `length`
+
+    def filled(place: pd.Series, value: pd.Series) -> pd.Series:
+        rows = []
+        for i, x in zip(place, value, strict=True):
+            row = np.zeros(length)
+            row[np.asarray(i)] = np.nan_to_num(np.asarray(x, float))
+            rows.append(row)
+        return pd.Series(rows)
+
+    return cells.select(*keys, F.pandas_udf(filled, "array<double>")("e.i", "e.v").alias(out))
+
+
 # --- factorisation ---
 
 

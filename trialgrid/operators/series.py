@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialgrid.operators.summaries import least_from_here, ranked
 from trialgrid.sources.work import written
 
 
@@ -46,8 +51,8 @@ def runs(df: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:
 
 
 def moving_mean(df: DataFrame, keys: list[str], order: str, size: int, step: int, value: str = "value") -> DataFrame:
-    """Means over windows [k * step, k * step + size) of an integer order column; each row is posted to the windows that hold it."""
-    k = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(order) - size) / step) + 1), F.floor(F.col(order) / step)))
+    """Means over windows [k * step, k * step + size) of an integer order column, for every k, also below 0, whose window holds a row; each row is posted to the windows that hold it."""
+    k = F.explode(F.sequence(F.floor((F.col(order) - size) / step) + 1, F.floor(F.col(order) / step)))
     return df.select(*keys, value, k.alias("win")).groupBy(*keys, "win").agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
 
 
@@ -73,13 +78,40 @@ def lagged_correlation(left: DataFrame, right: DataFrame, keys: list[str], order
     return moved.join(right.select(*keys, F.col(order).alias("at"), y), [*keys, "at"]).groupBy(*keys, "lag").agg(F.corr(x, y).alias("r"), F.count("*").alias("n"))
 
 
-def correlogram(df: DataFrame, keys: list[str], order: str, x: str, y: str, at_least: int = 10) -> DataFrame:
-    """keys, lag, r: sum of x[n + lag] * y[n] / N of both series standardised over the samples that both have, for all lags; keys with fewer than `at_least` samples are left out."""
+def correlogram(df: DataFrame, keys: list[str], order: str, x: str, y: str, at_least: int = 10, block: int = 1 << 14) -> DataFrame:
+    """keys, lag, r: sum of x[n + lag] * y[n] / N of both series standardised over the samples that both have, for all lags with some pair; keys with fewer than `at_least` samples are left out.
+
+    A series is cut into blocks of `block` places; Fourier transforms give all lags of a pair of blocks at once, and the lags of all pairs of a
+    key are added up. A key of up to `block` places is one pair; for longer ones no task holds more than a pair.
+    """
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    level = rows.groupBy(*keys).agg(F.avg(x).alias("mx"), F.stddev_pop(x).alias("sx"), F.avg(y).alias("my"), F.stddev_pop(y).alias("sy"), F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).filter(F.col("n") >= at_least)
-    z = rows.join(level, keys).select(*keys, order, "n", "lo", "hi", ((F.col(x) - F.col("mx")) / (F.col("sx") + 1e-8)).alias("x"), ((F.col(y) - F.col("my")) / (F.col("sy") + 1e-8)).alias("y"))
-    a = z.select(*keys, order, "n", "x", F.explode(F.sequence(F.col(order) - F.col("hi"), F.col(order) - F.col("lo"))).alias("lag")).withColumn("at", F.col(order) - F.col("lag"))
-    return a.join(z.select(*keys, F.col(order).alias("at"), "y"), [*keys, "at"]).groupBy(*keys, "lag").agg((F.sum(F.col("x") * F.col("y")) / F.max("n")).alias("r"))
+    level = rows.groupBy(*keys).agg(F.avg(x).alias("mx"), F.stddev_pop(x).alias("sx"), F.avg(y).alias("my"), F.stddev_pop(y).alias("sy"), F.count("*").alias("n"), F.min(order).alias("lo")).filter(F.col("n") >= at_least)
+    at = (F.col(order) - F.col("lo")).cast("long")
+    z = rows.join(level, keys) if keys else rows.join(F.broadcast(level), F.lit(True))  # one row
+    z = z.select(*keys, "n", F.floor(at / block).alias("b"), F.struct((at % block).cast("int").alias("at"), ((F.col(x) - F.col("mx")) / (F.col("sx") + 1e-8)).alias("x"), ((F.col(y) - F.col("my")) / (F.col("sy") + 1e-8)).alias("y")).alias("e"))
+    blocks = written(z.groupBy(*keys, "n", "b").agg(F.collect_list("e").alias("e")), "blocks")  # at most `block` entries
+    left = blocks.select(*keys, "n", F.col("b").alias("bx"), F.col("e.at").alias("ix"), F.col("e.x").alias("x"))
+    right = blocks.select(*keys, F.col("b").alias("by"), F.col("e.at").alias("iy"), F.col("e.y").alias("y"))
+    pairs = left.join(right, keys) if keys else left.withColumn("__one", F.lit(1)).join(right.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema), "lag bigint, s double"])
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                width = int(max(row["ix"].max(), row["iy"].max())) + 1
+                size = 1 << (2 * width - 1).bit_length()
+
+                def spectrum(place, value, size=size):
+                    both = np.zeros((2, size))  # the series and where it has values
+                    both[0, place], both[1, place] = value, 1
+                    return np.fft.rfft(both)
+
+                s, n = np.fft.irfft(spectrum(row["ix"], row["x"]) * np.conj(spectrum(row["iy"], row["y"])), size)
+                lag = np.r_[np.arange(width), np.arange(-width + 1, 0)]
+                met = n[lag] > 0.5
+                yield pd.DataFrame({**{k: row[k] for k in keys}, "lag": lag[met] + (row["bx"] - row["by"]) * block, "s": s[lag][met] / row["n"]})
+
+    return pairs.mapInPandas(partial, schema).groupBy(*keys, "lag").agg(F.sum("s").alias("r"))
 
 
 def edge_cells(edges: DataFrame, keys: list[str], alpha: float, least_ratio: float) -> DataFrame:
@@ -96,12 +128,23 @@ def top_names(df: DataFrame, key: str, falling: list[str], rising: list[str], na
     return top.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["name"]), ",").alias(out))
 
 
-def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, tie: list[str]) -> DataFrame:
-    """False-discovery-rate adjusted p within keys."""
-    up = Window.partitionBy(*keys).orderBy(p, *tie)
-    down = Window.partitionBy(*keys).orderBy(F.desc(p), *(F.desc(t) for t in tie)).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = df.withColumn("rank", F.row_number().over(up)).withColumn("m", F.count("*").over(Window.partitionBy(*keys)))
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("m") / F.col("rank")).over(down))).drop("rank", "m")
+def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, tie: list[str], out: str = "q") -> DataFrame:
+    """`df` with the false-discovery-rate adjusted p within keys: the least p * m / rank of its own and all later ranks, at most 1.
+
+    A family may be of any size: ranks are dealt by range of p, and the minimum is carried backward over one row a partition. Nulls and NaN
+    are not tests: they take no rank, don't count in m and get null. `tie` makes the order total.
+    """
+    test = F.col(p).isNotNull() & ~F.isnan(p)
+    tests = df.filter(test)
+    placed = ranked(tests, keys, [F.col(p), *(F.col(t) for t in tie)], "__rank", parts=True)
+    family = tests.groupBy(*keys).agg(F.count("*").alias("__m"))
+    if keys:
+        family = family.withColumnsRenamed({k: f"__k{k}" for k in keys})
+        sized = placed.join(family, [F.col(k).eqNullSafe(F.col(f"__k{k}")) for k in keys]).drop(*(f"__k{k}" for k in keys))
+    else:
+        sized = placed.join(F.broadcast(family), F.lit(True))  # one row
+    got = least_from_here(sized.withColumn("__v", F.col(p) * F.col("__m") / F.col("__rank")), keys, "__rank", "__v", out)
+    return got.withColumn(out, F.least(F.lit(1.0), out)).select(*df.columns, out).unionByName(df.filter(~test).withColumn(out, F.lit(None).cast("double")))
 
 
 def venn_regions(membership: DataFrame, key: str, group: str, groups: list[str]) -> DataFrame:

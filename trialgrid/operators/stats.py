@@ -7,25 +7,23 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialgrid.operators.summaries import global_place, ranked
+from trialgrid.operators.summaries import average_ranked, global_place, ranked
 
 
 def md5_of(*parts) -> Column:
     return F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)))
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Rank within keys; ties get the mean of their places."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
-
-
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    ranked = df.select(*keys, average_rank(x, keys).alias("rx"), average_rank(y, keys).alias("ry"))
-    return ranked.groupBy(*keys).agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    """keys, rho, n: correlation of the average ranks of x and y over rows that have both; ranks are dealt by range, not by key."""
+    rows = df.select(*keys, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    placed = average_ranked(average_ranked(rows, keys, x, [y], "__rx"), keys, y, [x], "__ry")
+    return placed.groupBy(*keys).agg(F.corr("__rx", "__ry").alias("rho"), F.count("*").alias("n"))
 
 
 def stratified_folds(trials: DataFrame, k: int) -> DataFrame:
@@ -68,6 +66,20 @@ def mixup(rows: DataFrame, folds: DataFrame, seed: int) -> DataFrame:
     return mixed.select("fold", "trial", "pos", (share * F.col("va") + (1 - share) * F.col("vb")).alias("value"))
 
 
+def group_bits(units: DataFrame, keys: list[str], unit: str, group: str, permutations: int, seed: int) -> DataFrame:
+    """keys, unit, bits: for perm 0 whether the unit is in the group (a boolean), for the others whether a shuffle puts it there, as one array of 0 and 1.
+
+    Every shuffle of a key's units leaves the group at its size. Places of the shuffles are dealt by range of md5.
+    """
+    one = units.select(*keys, unit, group).distinct()
+    size = one.groupBy(*keys).agg(F.count_if(group).alias("__size"))
+    each = one.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    placed = ranked(each, [*keys, "perm"], [md5_of(F.lit(seed), F.col("perm"), F.col(unit)), F.col(unit)])
+    sized = placed.join(size, keys) if keys else placed.join(F.broadcast(size), F.lit(True))  # one row
+    shuffled = sized.groupBy(*keys, unit, group).agg(F.array_sort(F.collect_list(F.struct("perm", (F.col("place") <= F.col("__size")).cast("byte").alias("on")))).alias("s"))
+    return shuffled.select(*keys, unit, F.concat(F.array(F.col(group).cast("byte")), F.transform("s", lambda x: x["on"])).alias("bits"))
+
+
 def shuffled_labels(folds: DataFrame, permutations: int) -> DataFrame:
     """(perm, trial, fold, label): labels shuffled within each fold for every perm from 1; perm 0 is as observed.
 
@@ -189,45 +201,78 @@ def one_sample_t(means: DataFrame, keys: list[str], value: str, at_least: int =
     return got.withColumn("t", F.when((F.col("n") >= at_least) & (F.col("sd") > 0), F.col("mean") / (F.col("sd") / F.sqrt("n"))))
 
 
-def group_tests(means: DataFrame, keys: list[str], value: str, at_least: int = 3) -> DataFrame:
-    """n, mean, sd, t and the signed-rank sum of the positive values (ties share their ranks); keys with fewer than `at_least` values have no test."""
-    size = F.round(F.abs(value), 9)
-    rank = F.rank().over(Window.partitionBy(*keys).orderBy("__size")) + (F.count("*").over(Window.partitionBy(*keys, "__size")) - 1) / 2
-    placed = means.withColumn("__size", size).withColumn("__rank", rank)
-    got = placed.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.sum(F.when(F.col(value) > 0, F.col("__rank")).otherwise(0.0)).alias("w"))
+def group_tests(means: DataFrame, keys: list[str], value: str, at_least: int = 3, rank_zeros: bool = False) -> DataFrame:
+    """n, mean, sd, t, the signed-rank sum `wilcoxon` of the positive values, and what its tail needs: n_ranked and ties.
+
+    Zeros have no sign: they are left out of the ranks and of n_ranked, and count for n, mean, sd and t. With `rank_zeros` they take the
+    lowest ranks before they are left out (Pratt), for which `with_p_values` has no tail. Values of equal size (to 9 places)
+    share their ranks; ties is the sum of t^3 - t over their groups of t. Nulls are left out. Keys with fewer than `at_least` values have no
+    test, keys with zeros alone have no signed-rank sum.
+    """
+    rows = means.select(*keys, F.col(value).alias("__v")).filter("__v is not null").withColumn("__size", F.round(F.abs("__v"), 9))
+    got = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("sd"))
+    placed = average_ranked(rows if rank_zeros else rows.filter("__size > 0"), keys, "__size", ["__v"], "__rank")
+    by_size = placed.groupBy(*keys, "__size").agg(F.count("*").alias("t"), F.sum(F.when(F.col("__v") > 0, F.col("__rank")).otherwise(0.0)).alias("w"))
+    signed = by_size.groupBy(*keys).agg(F.sum("t").alias("n_ranked"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"), F.sum("w").alias("w"))
+    both = got.join(signed.withColumnsRenamed({k: f"__k{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"__k{k}")) for k in keys] or F.lit(True), "left").drop(*(f"__k{k}" for k in keys))
     enough = F.col("n") >= at_least
-    return got.withColumn("t", F.when(enough & (F.col("sd") > 0), F.col("mean") / (F.col("sd") / F.sqrt("n")))).withColumn("wilcoxon", F.when(enough, F.col("w"))).drop("w")
+    t = F.when(enough & (F.col("sd") > 0), F.col("mean") / (F.col("sd") / F.sqrt("n")))
+    return both.withColumns({"t": t, "wilcoxon": F.when(enough, F.col("w")), "n_ranked": F.coalesce("n_ranked", F.lit(0)), "ties": F.coalesce("ties", F.lit(0))}).drop("w")
 
 
-def student_tail(t: float, df: float) -> float:
+def student_tail(t: np.ndarray, df: np.ndarray, steps: int = 400) -> np.ndarray:
     """P(T > t) of Student's distribution, by Simpson's rule over the angle whose tangent is t / sqrt(df)."""
-    steps, top = 400, math.pi / 2
-    low = math.atan(t / math.sqrt(df))
-    f = lambda a: max(math.cos(a), 0.0) ** (df - 1)
-    area = lambda a, b: (b - a) / (3 * steps) * sum((1 if i in (0, steps) else 4 if i % 2 else 2) * f(a + (b - a) * i / steps) for i in range(steps + 1))
-    return area(low, top) / area(-top, top)
+    t, df = np.atleast_1d(np.asarray(t, float)), np.atleast_1d(np.asarray(df, float))
+    rule = np.where(np.arange(steps + 1) % 2, 4.0, 2.0)
+    rule[[0, -1]] = 1.0
+    at = np.arange(steps + 1) / steps
+
+    def area(low: np.ndarray) -> np.ndarray:
+        angle = low[:, None] + (math.pi / 2 - low)[:, None] * at
+        return (np.maximum(np.cos(angle), 0.0) ** (df - 1)[:, None]) @ rule * (math.pi / 2 - low)
+
+    return area(np.arctan(t / np.sqrt(df))) / (2 * area(np.zeros(len(t))))
 
 
-def signed_rank_tail(w: float, n: int) -> float:
-    """P(W >= w) of the signed-rank sum of n values, exact."""
-    ways = [1] + [0] * (n * (n + 1) // 2)
+def signed_rank_table(n: int) -> np.ndarray:
+    """P(W >= w) for w = 0, 1, ... of the signed-rank sum of n values without ties, exact."""
+    ways = np.ones(1)
     for r in range(1, n + 1):
-        for s in range(len(ways) - 1, r - 1, -1):
-            ways[s] += ways[s - r]
-    return sum(ways[max(0, math.ceil(w)) :]) / 2**n
+        longer = np.zeros(len(ways) + r)
+        longer[: len(ways)] += ways / 2
+        longer[r:] += ways / 2
+        ways = longer
+    return np.cumsum(ways[::-1])[::-1]
+
+
+def signed_rank_tail(w: np.ndarray, n: np.ndarray, ties: np.ndarray = 0, exact: int = 50) -> np.ndarray:
+    """P(W >= w): exact by one table an n for up to `exact` values without ties, else by the normal law with the variance that ties leave; n = 0 has none."""
+    w, n, ties = np.broadcast_arrays(*(np.atleast_1d(np.asarray(x, float)) for x in (w, n, ties)))
+    sd = np.sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)
+    out = np.full(len(w), np.nan)
+    able = (n > 0) & ~np.isnan(w)
+    z = np.divide(w - n * (n + 1) / 4, sd, out=np.zeros(len(w)), where=able & (sd > 0))
+    out[able] = [0.5 * math.erfc(x / math.sqrt(2)) for x in z[able]]
+    plain = able & (ties == 0) & (n <= exact)
+    for m in np.unique(n[plain]).astype(int):  # at most `exact` tables
+        mine = plain & (n == m)
+        out[mine] = signed_rank_table(m)[np.ceil(w[mine]).astype(int)]
+    return out
 
 
 def with_p_values(tests: DataFrame) -> DataFrame:
-    """The rows of `group_tests` with one-sided p_t and p_wilcoxon (over 60 values by the normal approximation)."""
+    """The rows of `group_tests` with one-sided p_t and p_wilcoxon, a batch at a time."""
 
     def p_t(t: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([student_tail(x, m - 1) if x == x and x is not None else None for x, m in zip(t, n, strict=True)], dtype="float64")
+        there = t.notna().to_numpy()
+        out = np.full(len(t), np.nan)
+        out[there] = student_tail(t.to_numpy(float)[there], n.to_numpy(float)[there] - 1) if there.any() else 0
+        return pd.Series(out).where(there, None).astype("float64")
 
-    def p_w(w: pd.Series, n: pd.Series) -> pd.Series:
-        normal = lambda x, m: 0.5 * math.erfc((x - 0.5 - m * (m + 1) / 4) / math.sqrt(m * (m + 1) * (2 * m + 1) / 12))
-        return pd.Series([None if x != x or x is None else signed_rank_tail(x, int(m)) if m <= 60 else normal(x, m) for x, m in zip(w, n, strict=True)], dtype="float64")
+    def p_w(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(signed_rank_tail(w.to_numpy(float), n.to_numpy(float), ties.to_numpy(float)))
 
-    return tests.withColumn("p_t", F.pandas_udf(p_t, "double")("t", "n")).withColumn("p_wilcoxon", F.pandas_udf(p_w, "double")("wilcoxon", "n"))
+    return tests.withColumn("p_t", F.pandas_udf(p_t, "double")("t", "n")).withColumn("p_wilcoxon", F.pandas_udf(p_w, "double")("wilcoxon", "n_ranked", "ties"))
 
 
 def autoregression(df: DataFrame, keys: list[str], order: str, value: str = "value") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trialgrid.operators import decoding as dc
 from trialgrid.operators import models as md
 from trialgrid.operators import series as op
 from trialgrid.operators import stats as st
@@ -39,6 +40,25 @@ def cluster_mask(spark, d):
     return md.permutation_clusters(diff, ["roi"], "channel", "sample", "d", 50, 11).select("roi", "start", "stop", "n", tidy("p", "p"))
 
 
+_UNPAIRED = """, s as (select roi, channel, sample, avg(value) as v from signal group by all), u as (select distinct roi, channel, hemi = 'L' as g from signal),
+m as (select roi, count(*) filter (g) as m from u group by roi),
+b as (select roi, channel, 0 as perm, g as on_ from u union all select roi, channel, perm, row_number() over (partition by roi, perm order by md5('13:' || perm || ':' || channel), channel) <= m from u join m using (roi), unnest(range(1, 51)) t(perm)),
+st as (select roi, perm, sample, round(avg(v) filter (on_) - avg(v) filter (not on_), 9) as stat from s join b using (roi, channel) group by all having count(*) filter (on_) > 0 and count(*) filter (not on_) > 0),
+o as (select *, p < 0.1 as low from (select *, round(count(*) over (partition by roi, sample order by stat desc range unbounded preceding) / 51.0::double, 9) as p from st)),
+i as (select *, row_number() over (partition by roi, perm order by sample) - row_number() over (partition by roi, perm, low order by sample) as g from o),
+r as (select roi, perm, min(sample) as start, max(sample) as stop, count(*) as n from i where low group by roi, perm, g),
+most as (select k.roi, k.perm, coalesce(max(n), 0) as most from (select distinct roi, perm from o where perm > 0) k left join r on r.roi = k.roi and r.perm = k.perm group by all),
+c as (select r.roi, start, stop, (count(*) filter (most >= n) + 1) / (count(*) + 1) as cp from r join most on most.roi = r.roi where r.perm = 0 group by r.roi, start, stop, n)"""
+
+
+@query(f"{_UNPAIRED} select o.roi, sample, round(stat + 1e-10, 6) as stat, round(p + 1e-9, 6) as pval, round(cp + 1e-9, 6) as cluster_p, coalesce(round(cp, 9) < 0.05 and p < 0.05, false) as mask from o left join c on c.roi = o.roi and low and sample between start and stop where perm = 0")
+def cluster_mask_unpaired(spark, d):
+    """Samples at which the left channels of a region lie above its right ones, of which there are more or fewer: shuffles of sides over channels."""
+    s = v.signal(spark, d).groupBy("roi", "channel", "hemi", "sample").agg(F.avg("value").alias("v")).withColumn("left", F.col("hemi") == "L")
+    got = md.two_sample_clusters(s, ["roi"], "channel", "left", "sample", "v", 50, 13)
+    return got.select("roi", "sample", F.round(F.col("stat") + 1e-10, 6).alias("stat"), tidy("pval", "pval"), tidy("cluster_p", "cluster_p"), "mask")
+
+
 @query(f"{_TRIALS}, m as (select pos, perm, round(avg(case when perm > 0 and substr(md5('4:' || perm || ':' || trial), 1, 1) < '8' then -value else value end), 9) as a from trials, unnest(range(40)) t(perm) group by all) select o.pos, round(o.a + 1e-9, 6) as observed, round((count(*) filter (abs(s.a) >= abs(o.a)) + 1) / (count(*) + 1) + 1e-9, 6) as p from m s join m o on s.pos = o.pos and s.perm > 0 and o.perm = 0 group by o.pos, o.a")
 def two_sided_mean_p(spark, d):
     flips = md.sign_flips(v.trials(spark, d), "trial", 39, 4)
@@ -109,28 +129,37 @@ def component_summary(spark, d):
 _GROUP = ", m as (select source, target, subject, round(avg(pdc) - 0.5, 9) as m from edges where round(pval, 9) < 0.05 group by all), k as (select *, rank() over (partition by source, target order by round(abs(m), 9)) + (count(*) over (partition by source, target, round(abs(m), 9)) - 1) / 2 as r from m), g as (select source, target, count(*) as n, avg(m) as mean, stddev_samp(m) as sd, sum(case when m > 0 then r else 0 end) as w from k group by all)"
 
 
-def _group(spark, d):
+def _group(spark, d, rank_zeros=False):
     e = v.edges(spark, d)
     means = e.filter(F.round("pval", 9) < 0.05).groupBy("source", "target", "subject").agg(F.round(F.avg("pdc") - 0.5, 9).alias("m"))
-    return st.group_tests(means, ["source", "target"], "m")
+    return st.group_tests(means, ["source", "target"], "m", rank_zeros=rank_zeros)
 
 
 @query(f"{_GROUP} select source, target, n, round(mean + 1e-9, 6) as mean, round(case when n >= 3 and sd > 0 then mean / (sd / sqrt(n)) end, 5) as t, case when n >= 3 then w end as wilcoxon from g")
 def group_tests(spark, d):
-    """Per edge over subjects: mean, one-sample t and signed-rank sum; at least three subjects."""
-    return _group(spark, d).select("source", "target", "n", tidy("mean", "mean"), F.round("t", 5).alias("t"), "wilcoxon")
+    """Per edge over subjects: mean, one-sample t and signed-rank sum, zeros ranked; at least three subjects."""
+    return _group(spark, d, True).select("source", "target", "n", tidy("mean", "mean"), F.round("t", 5).alias("t"), "wilcoxon")
 
 
 @query(f"{_GROUP} select source, target, n, round(mean + 1e-9, 6) as mean, case when n >= 3 then w end as wilcoxon from g join (select source, target from (select source, target, round(avg(pdc) + 1e-9, 6) as s from edges group by all) order by s desc, source, target limit 15) using (source, target)")
 def top_edges_validated(spark, d):
     """The group tests of the 15 strongest edges, in one pass over all."""
     top = v.edges(spark, d).groupBy("source", "target").agg(tidy(F.avg("pdc"), "s")).orderBy(F.desc("s"), "source", "target").limit(15)
-    return _group(spark, d).join(F.broadcast(top.select("source", "target")), ["source", "target"]).select("source", "target", "n", tidy("mean", "mean"), "wilcoxon")
+    return _group(spark, d, True).join(F.broadcast(top.select("source", "target")), ["source", "target"]).select("source", "target", "n", tidy("mean", "mean"), "wilcoxon")
+
+
+_SIGNED = ", m as (select source, target, subject, round(avg(pdc) - 0.5, 9) as m from edges where round(pval, 9) < 0.05 group by all), n as (select source, target, count(*) as n from m group by all), z as (select *, round(abs(m), 9) as size from m where round(abs(m), 9) > 0), k as (select *, rank() over (partition by source, target order by size) + (count(*) over (partition by source, target, size) - 1) / 2 as r, count(*) over (partition by source, target, size) as t from z), g as (select source, target, count(*) as n_ranked, sum(case when m > 0 then r else 0 end) as w, sum(t * t - 1) as ties from k group by all)"
+
+
+@query(f"{_SIGNED} select source, target, n, coalesce(n_ranked, 0) as n_ranked, coalesce(ties, 0)::bigint as ties, case when n >= 3 then w end as wilcoxon from n left join g using (source, target)")
+def group_signed_ranks(spark, d):
+    """Signed-rank sums without zeros, and the ties among the others."""
+    return _group(spark, d).select("source", "target", "n", "n_ranked", "ties", "wilcoxon")
 
 
 @plain
 def group_p_values(spark, d):
-    """One-sided p of the group tests: Student's t, and the exact signed-rank distribution."""
+    """One-sided p of the group tests without zeros: Student's t, and the signed-rank sum, exact where there are no ties."""
     return st.with_p_values(_group(spark, d)).select("source", "target", "n", "t", "wilcoxon", "p_t", "p_wilcoxon")
 
 
@@ -168,21 +197,29 @@ def ridge_predict_r2(spark, d):
 
 @plain
 def ridge_decode(spark, d):
-    """One-against-rest ridge classifier on principal components: accuracy out of fold and its p over shuffled training labels."""
-    rows = st.class_targets(_folded(spark, d), "label", range(10), 20, 3, folds=5)
-    pred = md.predict(rows, md.cross_fit(rows, [], 64, 210, variance=0.85, blocks=5), [], 64, 210)
-    return st.empirical_p(st.accuracy(pred, "label", range(10), 21), [], "accuracy")
+    """One-against-rest ridge classifier on principal components, ten folds: accuracy out of fold and its p over 200 shuffles of the training labels."""
+    return st.empirical_p(dc.decode_shuffled(_folded(spark, d, 10), 64, 200, 3, variance=0.85), [], "accuracy")
+
+
+@plain
+def svm_decode(spark, d):
+    """Support vector machines on folds dealt without regard to the label, balanced accuracy by fold."""
+    trials = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("trial"), "label", "embedding").withColumnRenamed("embedding", "x")
+    return dc.cross_validate(trials, 64, dc.linear_svm, lambda t: st.shuffled_folds(t, 5, 17), dc.balanced_accuracy)
 
 
 @plain
 def temporal_generalisation(spark, d):
     """Train at one sample, test at another: accuracy of a one-against-rest ridge over channels, out of fold."""
-    rows = _folded(spark, d).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.get("x", (c * 8 + F.col("t")).cast("int"))))
-    rows = st.class_targets(rows, "label", range(10), 0, 3)
-    fitted = md.cross_fit(rows, ["t"], 8, 10).withColumnRenamed("t", "t_train")
-    each = rows.withColumn("t_train", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumnRenamed("t", "t_test")
-    pred = md.predict(each, fitted, ["t_train"], 8, 10)
-    return st.accuracy(pred, "label", range(10), 1, ["t_train", "t_test"]).drop("perm")
+    got = dc.generalisation(_folded(spark, d), 8, 8, 1, 1, 0, 3)
+    return got.select(F.col("train").alias("t_train"), F.col("test").alias("t_test"), "accuracy")
+
+
+@plain
+def temporal_generalisation_p(spark, d):
+    """Train in one window of four samples, test in another, every two samples: accuracy, its p over 30 shuffles of the training labels, and that p adjusted over the map."""
+    scores = written(dc.generalisation(_folded(spark, d), 8, 8, 4, 2, 30, 3, variance=0.85), "generalisation")
+    return op.benjamini_hochberg(st.empirical_p(scores, ["train", "test"], "accuracy"), [], "p", ["train", "test"])
 
 
 @plain
@@ -209,12 +246,29 @@ def directed_coherence_p(spark, d):
     return st.empirical_p(pdc, ["win", "source", "target"], "pdc")
 
 
+def _region_trials(spark, d):
+    """(hemi, trial, m): mean values of every region (by name) and month, row by row, 0 where there is none; the numbers of regions and months."""
+    rows = v.signal_rows(spark, d).groupBy("hemi", "trial", "roi", "sample").agg(F.avg("value").alias("value"))
+    rois = [r.r_name for r in v.table(spark, d, "region").select("r_name").distinct().orderBy("r_name").collect()]  # a small dimension
+    months = (rows.agg(F.max("sample")).first()[0] or 0) + 1
+    at = (F.array_position(F.array(*(F.lit(x) for x in rois)), F.col("roi")) - 1) * months + F.col("sample")
+    return md.dense(rows.filter("sample >= 0").withColumn("at", at.cast("int")), ["hemi", "trial"], "at", "value", len(rois) * months, "m"), len(rois), months
+
+
+@plain
+def windowed_coherence(spark, d):
+    """Partial directed coherence between regions in windows of two years every half year, each edge's p over 30 circular shifts within the window."""
+    trials, channels, _ = _region_trials(spark, d)
+    return md.windowed_coherence(trials, ["hemi"], "trial", channels, 2, 24, 6, 30, 5)
+
+
 @plain
 def edge_factors(spark, d):
-    """Factors of the (edge x time) table of mean weights: one row an edge and component."""
+    """Factors of the (edge x time) table of mean weights: one row an edge and component. Time runs from the first quarter of the data to the last."""
     cells = v.edges(spark, d).groupBy(F.concat("source", F.lit(">"), "target").alias("key"), "win").agg(F.avg("pdc").alias("p"))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(27)), lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0)))
-    rows = cells.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("win", "p"))).alias("m")).select("key", grid.alias("v"))
+    ends = cells.agg(F.min("win").alias("lo"), F.max("win").alias("hi")).first()
+    quarters = ends.hi - ends.lo + 1 if ends.hi is not None else 0
+    rows = md.dense(cells.withColumn("at", F.col("win") - F.lit(ends.lo or 0)), ["key"], "at", "p", quarters, "v")
     w, _, _ = md.factorise(rows, 3, iterations=10)
     return w.select("key", F.posexplode("w").alias("component", "weight"))
 

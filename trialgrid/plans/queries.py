@@ -70,7 +70,7 @@ def time_crop_half_open(spark, d):
 
 @query("select channel, phase, win, round(avg(value) + 1e-9, 6) as mean, count(*) as n from signal, unnest(range(greatest(0, (floor((sample - 12) / 6.0) + 1)::int), floor(sample / 6.0)::int + 1)) t(win) group by all")
 def hopping_mean(spark, d):
-    got = op.moving_mean(v.signal(spark, d), ["channel", "phase"], "sample", 12, 6)
+    got = op.moving_mean(v.signal(spark, d), ["channel", "phase"], "sample", 12, 6).filter("win >= 0")
     return got.select("channel", "phase", "win", r6("mean"), "n")
 
 
@@ -185,6 +185,13 @@ def bh_fdr(spark, d):
     return op.benjamini_hochberg(p, ["sample"], "p", ["channel"]).select("channel", "sample", r6("q"))
 
 
+@query("select channel, phase, sample, case when p is not null then round(q + 1e-9, 6) end as q from (select *, least(1, min(p * m / k) over (order by p desc nulls last, channel desc, phase desc, sample desc rows unbounded preceding)) as q from (select channel, phase, sample, case when sample % 7 <> 0 then 1 / (1 + value) end as p, count(case when sample % 7 <> 0 then 1 end) over () as m, row_number() over (order by case when sample % 7 <> 0 then 1 / (1 + value) end nulls last, channel, phase, sample) as k from signal))")
+def bh_one_family(spark, d):
+    """All samples as one family; those without a p take no rank."""
+    p = v.signal(spark, d).select("channel", "phase", "sample", F.when(F.col("sample") % 7 != 0, 1 / (1 + F.col("value"))).alias("p"))
+    return op.benjamini_hochberg(p, [], "p", ["channel", "phase", "sample"]).select("channel", "phase", "sample", r6("q"))
+
+
 @query("select phase, lag, round(corr(x.value, y.value) + 1e-9, 6) as r, count(*) as n from (select phase, sample, avg(value) as value from signal where hemi = 'L' group by all) x join (select phase, sample, avg(value) as value from signal where hemi = 'R' group by all) y using (phase), unnest(range(-6, 7)) t(lag) where y.sample = x.sample + lag group by all")
 def xcorr_lags(spark, d):
     s = v.signal(spark, d).groupBy("phase", "sample").agg(F.avg(F.expr("if(hemi = 'L', value, null)")).alias("x"), F.avg(F.expr("if(hemi = 'R', value, null)")).alias("y"))

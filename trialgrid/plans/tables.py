@@ -207,6 +207,16 @@ def bootstrap_interval(spark, d):
     return sm.bootstrap(means, "roi", "subject", "x", 200, 3).select("roi", tidy("lo", "lo"), tidy("hi", "hi"), "n")
 
 
+_CURVE = ", m as (select roi, sample, subject, avg(value) as x from signal group by all), w as (select *, ('0x' || substr(md5('4|boot|' || b || '|' || subject), 1, 8))::bigint / 4294967296.0 as u from m, unnest(range(60)) t(b)), r as (select roi, sample, b, sum(x * k) / nullif(sum(k), 0) as mean from (select *, case when u < 0.36787944117144233 then 0 when u < 0.7357588823428847 then 1 when u < 0.9196986029286058 then 2 when u < 0.9810118431238462 then 3 when u < 0.9963401531726563 then 4 when u < 0.9994058151824183 then 5 else 6 end as k from w) group by all)"
+
+
+@query(f"{_CURVE} select roi, sample, n, mean, lo, hi from (select roi, sample, count(*) as n, round(avg(x) + 1e-9, 6) as mean from m group by all) join (select roi, sample, round(quantile_cont(mean, 0.025) + 1e-9, 6) as lo, round(quantile_cont(mean, 0.975) + 1e-9, 6) as hi from r group by all) using (roi, sample)")
+def curve_interval(spark, d):
+    """Mean over subjects by region and sample with its bootstrap band; a replicate weighs a subject alike at all times."""
+    means = v.signal(spark, d).groupBy("roi", "sample", "subject").agg(F.avg("value").alias("x"))
+    return sm.mean_curve(means, ["roi"], "sample", "subject", "x", 60, 4).select("roi", "sample", "n", tidy("mean", "mean"), tidy("lo", "lo"), tidy("hi", "hi"))
+
+
 @query("select subject, bool_or(dataset = 'click') as click, bool_or(dataset = 'view') as view, bool_or(dataset = 'purchase') as purchase, count(*) filter (dataset in ('click', 'view', 'purchase')) as sets from membership group by subject")
 def membership_matrix(spark, d):
     return sm.membership_matrix(v.membership(spark, d), "subject", "dataset", ["click", "view", "purchase"])
@@ -221,6 +231,15 @@ def density_grid(spark, d):
     return sm.density(v.points(spark, d), "x", "y", (-40.0, 40.0), 20, 1.5, 6, 0.1).select("i", "j", tidy("density", "density"))
 
 
+_OPEN = ", e as (select min(x) - 5 as lx, (max(x) + 5 - (min(x) - 5)) / 30 as wx, min(y) - 5 as ly, (max(y) + 5 - (min(y) - 5)) / 30 as wy from points), b as (select least(floor((x - lx) / wx), 29)::bigint as i, least(floor((y - ly) / wy), 29)::bigint as j, count(*) as n from points, e group by all), s as (select i + k as i, j, sum(n * exp(-k * k / 4.5)) as n from b, unnest(range(-6, 7)) t(k) group by all), t as (select i, j + k as j, sum(n * exp(-k * k / 4.5)) as n from s, unnest(range(-6, 7)) t(k) group by all)"
+
+
+@query(f"{_OPEN} select i, j, round(n / m + 1e-9, 6) as density from (select *, max(n) over () as m from t where i between 0 and 29 and j between 0 and 29) where round(n / m, 9) >= 0.05")
+def density_from_data(spark, d):
+    """The same on bounds five beyond the outermost points, so that every point counts."""
+    return sm.density(v.points(spark, d), "x", "y", None, 30, 1.5, 6, 0.05).select("i", "j", tidy("density", "density"))
+
+
 @query("select 'event_type' as name, event_type as value, count(*) as n from events group by all union all select 'user_id', user_id::varchar, count(*) from events group by all")
 def value_profile(spark, d):
     """Distinct values of columns with their counts."""
