@@ -37,6 +37,18 @@ def subject_id(code: Column) -> Column:
     return F.regexp_replace(code, "^([A-Z])0+", "$1")
 
 
+def subject_number(code: Column) -> Column:
+    """D0096 as D96 by the number behind the first character: D0000 is D0; null where there is no number."""
+    return F.concat(F.substring(code, 1, 1), F.substring(code, F.lit(2), F.length(code)).try_cast("int").cast("string"))
+
+
+def subject_replaced(code: Column, fronts: tuple[str, ...] = ("D00", "D0")) -> Column:
+    """The fronts, one after another, replaced by D wherever they stand: D0096 is D96, and so is the D0096 in D0096_ROG1."""
+    for front in fronts:
+        code = F.replace(code, F.lit(front), F.lit("D"))
+    return code
+
+
 def contact_pair(name: Column) -> tuple[Column, Column]:
     """PRE1-2 as (PRE1, PRE2); another name stands for both."""
     part = lambda i: F.regexp_extract(name, r"^(.+?)(\d+)-(\d+)$", i)
@@ -68,6 +80,13 @@ def millimetres(places: list[Column], below: float = 10.0) -> list[Column]:
     return [F.when(metres, p * 1000).otherwise(p) for p in places]
 
 
+def millimetres_by_set(df: DataFrame, keys: list[str], places: tuple[str, str, str] = ("x", "y", "z"), below: float = 1.0) -> DataFrame:
+    """`df` with the places of each set (all rows of a key) in millimetres: a set whose largest distance from 0 is below the limit is in metres. Sets without a place stay."""
+    far = df.groupBy(*keys).agg(F.max(F.greatest(*(F.abs(c) for c in places))).alias("__far"))
+    both = df.join(far.withColumnsRenamed({k: f"__k{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"__k{k}")) for k in keys])
+    return both.withColumns({c: F.when(F.col("__far") < below, F.col(c) * 1000).otherwise(F.col(c)) for c in places}).select(*df.columns)
+
+
 def voxel(place: Column, offset: float, size: int, flip: bool = False) -> tuple[Column, Column]:
     """Voxel index of a place (half to even) and the same within bounds."""
     index = F.rint(F.lit(offset) - place if flip else place + offset).cast("int")

@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialgrid.operators.models import _mixed, solve_ridge
-from trialgrid.operators.stats import stratified_folds
+from trialgrid.operators.models import _mixed, gram_sums, solve_ridge, two_sided_p
+from trialgrid.operators.stats import spearman, stratified_folds
 from trialgrid.operators.summaries import global_place
 from trialgrid.sources.work import written
 
@@ -181,6 +181,72 @@ def generalisation(trials: DataFrame, channels: int, samples: int, size: int, st
     return mean_accuracy(score_shuffled(rows, weights, channels * size, table, permutations, across=True), ["train", "test"])
 
 
+# --- encoding of one channel at a time ---
+
+
+def scaled_channels(trials: DataFrame, channels: int, samples: int) -> DataFrame:
+    """`trials` for each channel from 0, with x (channels x samples, row by row) cut to it: nulls and NaN are 0, then each feature is scaled over all trials; a constant one is 0."""
+    cut = F.slice("x", F.col("channel") * samples + 1, F.lit(samples))
+    rows = trials.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(channels - 1))))
+    rows = rows.withColumn("x", F.transform(cut, lambda v: F.coalesce(F.nanvl(v.cast("double"), F.lit(0.0)), F.lit(0.0))))
+    each = rows.select("channel", F.posexplode("x").alias("pos", "v")).groupBy("channel", "pos").agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))
+    level = each.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("pos", "mu", "sd"))).alias("level"))  # samples entries
+    scale = F.zip_with("x", "level", lambda v, l: F.when(l["sd"] > 1e-12 * F.greatest(F.abs(l["mu"]), F.lit(1.0)), (v - l["mu"]) / l["sd"]).otherwise(0.0))
+    return rows.join(level, "channel").withColumn("x", scale).drop("level")
+
+
+def encode(trials: DataFrame, channels: int, samples: int, permutations: int, seed: int, alpha: float = 1.0, most_targets: int = 1 << 22) -> DataFrame:
+    """(channel, observed, p): ridge of a trial's number t on one channel's samples, out of fold; rank correlation of predictions and t, two-sided p.
+
+    trials: trial, fold, t, x. Features are scaled on all trials, not by fold. A shuffle is of all trials, drawn by seed + channel, and its predictions
+    are held against the shuffled numbers. The numbers by place, 8 bytes a trial, go to every task; a table of more than `most_targets` trials is an error.
+    """
+    order = global_place(trials.select("trial").distinct(), ["trial"])
+    one = trials.join(order.select("trial", (F.col("place") - 1).alias("place")), "trial")
+    one = written(one, "encode")
+    n = one.count()
+    if n > most_targets:
+        raise ValueError(f"{n} trials, more than {most_targets}: raise most_targets if the tasks have 8 bytes a trial")
+    t = np.zeros(n)
+    for r in one.select("place", F.col("t").cast("double").alias("t")).toLocalIterator():
+        t[r.place] = r.t
+
+    def drawn(frame: pd.DataFrame) -> np.ndarray:
+        """Rows x (1 + permutations) of t and its shuffles."""
+        out = np.zeros((len(frame), permutations + 1))
+        for channel, at in frame.groupby("channel").indices.items():
+            place = frame.place.to_numpy(np.int64)[at]
+            out[at, 0] = t[place]
+            for perm in range(1, permutations + 1):
+                out[at, perm] = t[shuffled_places(place, n, seed + int(channel), perm)]
+        return out
+
+    rows = written(scaled_channels(one.select("trial", F.col("fold").cast("int").alias("fold"), "place", "x"), channels, samples), "channels")
+    width, targets = samples + 1, permutations + 1
+    sums = gram_sums(rows.select("channel", "fold", "place", "x"), ["channel", "fold"], samples, drawn)
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        folds = sorted(part.fold.unique())
+        s = np.zeros((len(folds), width, width + targets))
+        s[np.searchsorted(folds, part.fold), part.i, part.j] = part.v
+        w = [solve_ridge(s.sum(0) - s[i], samples, alpha, None, scale=False).ravel() if len(folds) > 1 else None for i in range(len(folds))]
+        return pd.DataFrame({"channel": key[0], "fold": folds, "w": w})
+
+    fitted = sums.groupBy("channel").applyInPandas(fit, "channel int, fold int, w array<double>")  # folds x samples x permutations a channel
+
+    def predicted_(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            truth = drawn(frame)
+            for (channel, _), at in frame.groupby(["channel", "fold"]).indices.items():
+                own = frame.iloc[at]
+                w = np.asarray(own.w.iloc[0]).reshape(width, targets)
+                pred = np.hstack([np.ones((len(own), 1)), np.stack(own.x.to_numpy()).astype(float)]) @ w
+                yield pd.DataFrame({"channel": channel, "perm": np.tile(np.arange(targets), len(own)), "pred": pred.ravel(), "truth": truth[at].ravel()})
+
+    each = rows.join(fitted.filter("w is not null"), ["channel", "fold"]).select("channel", "fold", "place", "x", "w").mapInPandas(predicted_, "channel int, perm int, pred double, truth double")
+    return two_sided_p(spearman(written(each.withColumn("pred", F.round("pred", 12)), "predictions"), ["channel", "perm"], "pred", "truth"), ["channel"], "rho")
+
+
 # --- choice of classifier, split and score ---
 
 

@@ -20,6 +20,18 @@ def with_default(df: DataFrame, other: DataFrame, keys: list[str], value: str, d
     return df.join(other.select(*keys, value), keys, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
+def with_alternates(df: DataFrame, others: list[tuple[str, DataFrame]], keys: list[str], values: dict) -> DataFrame:
+    """`df` with the columns `values` (name: default) from the first companion table that has the row's keys, and `companion`, its name (null: none, all defaults).
+
+    A companion that has the keys counts with its nulls, which become the defaults; later ones are not asked.
+    """
+    for i, (name, other) in enumerate(others):
+        df = df.join(other.select(*keys, F.struct(F.lit(name).alias("name"), *values).alias(f"__c{i}")).dropDuplicates(keys), keys, "left")
+    first = F.coalesce(*(F.col(f"__c{i}") for i in range(len(others))))
+    out = df.withColumn("__first", first).drop(*(f"__c{i}" for i in range(len(others))))
+    return out.withColumns({c: F.coalesce(F.col("__first")[c], F.lit(default)) for c, default in values.items()} | {"companion": F.col("__first")["name"]}).drop("__first")
+
+
 def double_lookup(pairs: DataFrame, lookup: DataFrame, key: str, value: str, ends: tuple[str, str], default: str) -> DataFrame:
     """Columns <end>_<value> for both ends of a pair, `default` where the lookup has none."""
     for end in ends:
@@ -88,6 +100,6 @@ def complete_pairs(df: DataFrame, keys: list[str], group: str, a: str, b: str, v
 
 
 def keep_first(df: DataFrame, subset: list[str], order: list[str | Column]) -> DataFrame:
-    """One row a key, the first in `order`."""
+    """One row a key, the first in `order`; Spark keeps one row a key and task before it deals them out."""
     w = Window.partitionBy(*subset).orderBy(*order)
     return df.withColumn("__place", F.row_number().over(w)).filter("__place = 1").drop("__place")

@@ -145,31 +145,36 @@ def grid_clusters(scores: DataFrame, keys: list[str], score: str, permutations:
 # --- ridge ---
 
 
-def gram_sums(rows: DataFrame, keys: list[str], features: int) -> DataFrame:
-    """Sums (keys, i, j, v) of the outer products of [1, x, y] over rows (keys, x array, y array): partial in each task, then added up."""
+def gram_sums(rows: DataFrame, keys: list[str], features: int, targets=None) -> DataFrame:
+    """Sums (keys, i, j, v) of the outer products of [1, x, y] over rows (keys, x array, y array): partial in each task, then added up. Null and NaN features count as 0.
+
+    targets: gives y for a frame of rows instead of a column y.
+    """
+    carried = [] if targets is None else [c for c in rows.columns if c not in (*keys, "x", "y")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema), "i int, j int, v double"])
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for key, part in frame.groupby(keys, dropna=False):
-                x = np.stack(part.x.to_numpy())
-                m = np.hstack([np.ones((len(x), 1)), x, np.stack(part.y.to_numpy())])
+                x = np.nan_to_num(np.stack(part.x.to_numpy()).astype(float))
+                m = np.hstack([np.ones((len(x), 1)), x, np.stack(part.y.to_numpy()) if targets is None else targets(part)])
                 s = m[:, : features + 1].T @ m
                 i, j = np.indices(s.shape)
                 key = key if isinstance(key, tuple) else (key,)
                 yield pd.DataFrame({**{k: [v] * s.size for k, v in zip(keys, key, strict=True)}, "i": i.ravel(), "j": j.ravel(), "v": s.ravel()})
 
-    return rows.select(*keys, "x", "y").mapInPandas(partial, schema).groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
+    return rows.select(*keys, "x", *(["y"] if targets is None else carried)).mapInPandas(partial, schema).groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
 
 
-def solve_ridge(s: np.ndarray, features: int, alpha: float, variance: float | None) -> np.ndarray:
-    """Weights ([intercept, features] x targets) from the sums of the training rows: features are standardised, with `variance` cut to the leading principal components."""
+def solve_ridge(s: np.ndarray, features: int, alpha: float, variance: float | None, scale: bool = True) -> np.ndarray:
+    """Weights ([intercept, features] x targets) from the sums of the training rows: features are standardised (but without `scale`), with `variance` cut to the leading principal components."""
     n = s[0, 0]
     mean = s[0] / n
     centred = s[1:] - n * np.outer(mean[1 : features + 1], mean)
     xx, xy = centred[:, 1 : features + 1], centred[:, features + 1 :]
     sd = np.sqrt(np.maximum(np.diag(xx) / n, 0))
     sd = np.where(sd > 1e-12 * np.maximum(np.abs(mean[1 : features + 1]), 1), sd, np.inf)  # a constant feature tells nothing
+    sd = sd if scale else np.ones(features)
     xx, xy = xx / np.outer(sd, sd), xy / sd[:, None]
     if variance is None:
         w = np.linalg.solve(xx + alpha * np.eye(features), xy)

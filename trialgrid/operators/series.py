@@ -31,9 +31,9 @@ def zscore(df: DataFrame, keys: list[str], value: str = "value", out: str = "z")
 
 
 def peak(df: DataFrame, keys: list[str], order: str, value: str = "value") -> DataFrame:
-    """Row of the largest value of each key, the first in `order` on ties."""
+    """Row of the largest value of each key, the first in `order` on ties. Null and NaN are no values: a key with nothing else has no row."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(value, -F.col(order))).alias("r")).select(*keys, "r.*")
+    return df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(value, -F.col(order))).alias("r")).select(*keys, "r.*")
 
 
 def earliest(df: DataFrame, keys: list[str], order: str) -> DataFrame:

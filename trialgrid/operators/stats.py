@@ -9,7 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialgrid.operators.summaries import average_ranked, global_place, ranked
@@ -52,8 +52,8 @@ def mixup(rows: DataFrame, folds: DataFrame, seed: int) -> DataFrame:
     """
     every = folds.select("fold").distinct().withColumnRenamed("fold", "own")
     train = folds.withColumnRenamed("fold", "own").join(F.broadcast(every.withColumnRenamed("own", "fold")), F.col("own") != F.col("fold")).drop("own")  # folds are few
-    w = Window.partitionBy("fold", "label")
-    donor = train.filter("not gap").select("fold", "label", F.col("trial").alias("donor"), (F.row_number().over(w.orderBy(md5_of(F.lit(seed), F.col("fold"), F.col("trial")), "trial")) - 1).cast("long").alias("k"))
+    whole = ranked(train.filter("not gap").select("fold", "label", "trial"), ["fold", "label"], [md5_of(F.lit(seed), F.col("fold"), F.col("trial")), F.col("trial")])
+    donor = whole.select("fold", "label", F.col("trial").alias("donor"), (F.col("place") - 1).cast("long").alias("k"))
     count = donor.groupBy("fold", "label").agg(F.count("*").alias("m"))
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("mix"), "fold", "trial")), 1, 8), 16, 10).cast("long")
     need = train.filter("gap").withColumn("h", h).join(count, ["fold", "label"])
@@ -87,9 +87,9 @@ def shuffled_labels(folds: DataFrame, permutations: int) -> DataFrame:
     would turn two well separated classes as a whole, right or wrong in all folds at once.
     """
     each = folds.select("*", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-    w = Window.partitionBy("perm", "fold")
-    left = each.select("perm", "fold", "trial", F.row_number().over(w.orderBy("trial")).alias("place"))
-    right = each.select("perm", "fold", "label", F.row_number().over(w.orderBy(md5_of(F.col("perm"), F.col("trial")), "trial")).alias("place"))
+    own = ranked(folds.select("fold", "trial"), ["fold"], [F.col("trial")])  # alike in all shuffles
+    left = own.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    right = ranked(each.select("perm", "fold", "trial", "label"), ["perm", "fold"], [md5_of(F.col("perm"), F.col("trial")), F.col("trial")]).select("perm", "fold", "place", "label")
     moved = left.join(right, ["perm", "fold", "place"]).select("perm", "trial", "fold", "label")
     return folds.select(F.lit(0).alias("perm"), "trial", "fold", "label").unionByName(moved)
 
@@ -100,9 +100,9 @@ def shuffled_targets(rows: DataFrame, target: Column, permutations: int, seed: i
     if not permutations:
         return rows.withColumn("y", F.array(target))
     each = one.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    w = Window.partitionBy("perm", "fold")
-    left = each.select("perm", "fold", "trial", F.row_number().over(w.orderBy("trial")).alias("place"))
-    right = each.select("perm", "fold", "t", F.row_number().over(w.orderBy(md5_of(F.lit(seed), F.lit(purpose), F.col("perm"), F.col("trial")), "trial")).alias("place"))
+    left = ranked(one.select("fold", "trial"), ["fold"], [F.col("trial")]).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    mixed = md5_of(F.lit(seed), F.lit(purpose), F.col("perm"), F.col("trial"))
+    right = ranked(each.select("perm", "fold", "trial", "t"), ["perm", "fold"], [mixed, F.col("trial")]).select("perm", "fold", "place", "t")
     moved = left.join(right, ["perm", "fold", "place"]).groupBy("trial").agg(F.transform(F.array_sort(F.collect_list(F.struct("perm", "t"))), lambda s: s["t"]).alias("moved"))
     return rows.join(moved, "trial").withColumn("y", F.concat(F.array(target), "moved")).drop("moved")
 
@@ -276,7 +276,7 @@ def with_p_values(tests: DataFrame) -> DataFrame:
 
 
 def autoregression(df: DataFrame, keys: list[str], order: str, value: str = "value") -> DataFrame:
-    """Order-1 coefficients of each series: slope, intercept and r2 of a sample on the one before it (gaps form no pair)."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    pairs = df.select(*keys, F.col(order), value, F.lag(value).over(w).alias("before"), F.lag(order).over(w).alias("at")).filter(F.col(order) - F.col("at") == 1)
+    """Order-1 coefficients of each series: slope, intercept and r2 of a sample on the one before it, met by their places, so that gaps form no pair; a place has one row."""
+    before = df.select(*keys, (F.col(order) + 1).alias(order), F.col(value).alias("before"))
+    pairs = df.select(*keys, order, value).join(before, [*keys, order])
     return pairs.groupBy(*keys).agg(F.regr_slope(value, "before").alias("slope"), F.regr_intercept(value, "before").alias("intercept"), F.regr_r2(value, "before").alias("r2"), F.count("*").alias("n"))

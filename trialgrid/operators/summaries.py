@@ -77,14 +77,18 @@ def global_place(df: DataFrame, order: list[Column | str], out: str = "place") -
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
-    """Exact quantiles by linear interpolation between neighbours, nulls and NaN left out; one column a name in `at`.
+    """Exact quantiles by linear interpolation between neighbours, nulls and NaN left out; one column a name in `at`. Null keys are a group.
 
     Values are ranked by range partition and the two neighbours of each quantile are picked, so no group is gathered.
     """
     rows = df.select(*keys, value).filter(F.col(value).isNotNull() & ~F.isnan(value))
     placed = ranked(rows, keys, [F.col(value)])
     total = rows.groupBy(*keys).agg(F.count("*").alias("__m"))
-    both = placed.join(total, keys) if keys else placed.join(F.broadcast(total), F.lit(True))
+    if keys:
+        own = total.withColumnsRenamed({k: f"__k{k}" for k in keys})
+        both = placed.join(own, [F.col(k).eqNullSafe(F.col(f"__k{k}")) for k in keys]).drop(*(f"__k{k}" for k in keys))
+    else:
+        both = placed.join(F.broadcast(total), F.lit(True))  # one row
     out = []
     for name, q in at.items():
         here = (F.col("__m") - 1) * q + 1
@@ -155,3 +159,20 @@ def density(df: DataFrame, x: str, y: str, bounds: tuple[float, float] | None, c
     inside = grid.filter(F.col("i").between(0, cells - 1) & F.col("j").between(0, cells - 1))
     peak = inside.agg(F.max("n").alias("peak"))  # one row
     return inside.join(F.broadcast(peak), F.lit(True)).select("i", "j", (F.col("n") / F.col("peak")).alias("density")).filter(F.round("density", 9) >= least)
+
+
+def stacked(df: DataFrame, keys: list[str], side: str, order: list[Column | str], height: bool = False) -> DataFrame:
+    """`df` with `place` (from 1, in `order` within keys and side) and `line` (from 1 within keys: the last side by name first, then by place).
+
+    With `height` every key is filled at its end up to the lines of the largest key; the rows put in have nulls but for keys and line.
+    """
+    placed = ranked(df, [*keys, side], order)
+    sizes = placed.groupBy(*keys, side).agg(F.count("*").alias("__n"))  # a row a key and side
+    above = sizes.select(*keys, side, F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy(F.desc(side)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__above"))
+    out = placed.join(above, [*keys, side]).withColumn("line", F.col("place") + F.col("__above")).drop("__above")
+    if not height:
+        return out
+    each = sizes.groupBy(*keys).agg(F.sum("__n").alias("n"))
+    most = each.agg(F.max("n").alias("most"))  # one row
+    short = each.join(F.broadcast(most), F.col("n") < F.col("most")).select(*keys, F.explode(F.sequence(F.col("n") + 1, F.col("most"))).alias("line"))
+    return out.unionByName(short, allowMissingColumns=True)

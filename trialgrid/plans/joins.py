@@ -41,6 +41,15 @@ def companion_fallback(spark, d):
     return got.select("id", "channel", F.coalesce("significant", F.lit(False)).alias("significant"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query("select id, channel, coalesce(a.n, b.n, 0) as n, coalesce(a.top, b.top, -1.0) as top, case when a.channel is not null then 'masked' when b.channel is not null then 'all' end as companion from contacts left join (select channel, count(*) as n, round(max(value) + 1e-9, 6) as top from signal where mask and roi <> 'ASIA' group by channel) a using (channel) left join (select channel, count(*) as n, round(max(value) + 1e-9, 6) as top from signal where subject <> 'NATION_8' group by channel) b using (channel)")
+def companion_alternate(spark, d):
+    """What a channel's companion table says, that of the alternate where it lacks the channel, the defaults where both do."""
+    s = v.signal(spark, d)
+    of = lambda rows: rows.groupBy("channel").agg(F.count("*").alias("n"), tidy(F.max("value"), "top"))
+    tables = [("masked", of(s.filter("mask and roi <> 'ASIA'"))), ("all", of(s.filter("subject <> 'NATION_8'")))]
+    return jn.with_alternates(v.contacts(spark, d).select("id", "channel"), tables, ["channel"], {"n": 0, "top": -1.0})
+
+
 @query("select e.source, e.target, e.n, coalesce(a.r, 'Unknown') as source_r, coalesce(b.r, 'Unknown') as target_r from (select source, target, count(*) as n from edges group by all) e left join (select n_name, n_regionkey::varchar as r from nation where n_nationkey % 4 <> 0) a on source = a.n_name left join (select n_name, n_regionkey::varchar as r from nation where n_nationkey % 4 <> 0) b on target = b.n_name")
 def contact_lookup(spark, d):
     lookup = v.table(spark, d, "nation").filter("n_nationkey % 4 <> 0").select("n_name", F.col("n_regionkey").cast("string").alias("r"))

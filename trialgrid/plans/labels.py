@@ -77,6 +77,14 @@ def subject_codes(spark, d):
     return v.contacts(spark, d).select("id", lb.subject_id(F.col("code")).alias("subject"), stem.alias("stem"), last.alias("last"))
 
 
+@query("select id, 'D' || code[2:]::int as by_number, replace(replace(code, 'D00', 'D'), 'D0', 'D') as replaced, 'sub-' || replace(replace(code, 'D00', 'D'), 'D0', 'D') || '_ROG1' as inside from contacts")
+def subject_variants(spark, d):
+    """The two other ways in which a padded code loses its zeros."""
+    code = F.col("code")
+    inside = lb.subject_replaced(F.concat(F.lit("sub-"), code, F.lit("_ROG1")))
+    return v.contacts(spark, d).select("id", lb.subject_number(code).alias("by_number"), lb.subject_replaced(code).alias("replaced"), inside.alias("inside"))
+
+
 @query(f"select id, case when regexp_matches(pair, {_PAIR}) then regexp_extract(pair, {_PAIR}, 1) || regexp_extract(pair, {_PAIR}, 2) else pair end as a, case when regexp_matches(pair, {_PAIR}) then regexp_extract(pair, {_PAIR}, 1) || regexp_extract(pair, {_PAIR}, 3) else pair end as b from contacts")
 def contact_pairs(spark, d):
     a, b = lb.contact_pair(F.col("pair"))
@@ -106,6 +114,14 @@ def unit_detect(spark, d):
     return _mm(spark, d).select("id", *(tidy(c, c) for c in "xyz"))
 
 
+@query("select id, round(x * f + 1e-9, 6) as x, round(y * f + 1e-9, 6) as y, round(z * f + 1e-9, 6) as z from (select *, case when max(greatest(abs(x), abs(y), abs(z))) over (partition by nation) < 1 then 1000 else 1 end as f from (select id, nation, x * s as x, y * s as y, z * s as z from (select *, case when nation like '%3' then 0.001::double else 1.0::double end as s from contacts)))")
+def unit_by_set(spark, d):
+    """Metres or millimetres by the largest distance in a nation's contacts, not row by row."""
+    scale = F.when(F.col("nation").like("%3"), 0.001).otherwise(1.0)
+    rows = v.contacts(spark, d).select("id", "nation", *((F.col(c) * scale).alias(c) for c in "xyz"))
+    return lb.millimetres_by_set(rows, ["nation"]).select("id", *(tidy(c, c) for c in "xyz"))
+
+
 @query(f"{_MM} select id, round_even(128.5 - round(x, 3), 0)::int as i, greatest(0, least(round_even(128.5 - round(x, 3), 0)::int, 199)) as ci, round_even(round(y, 3) + 90.5, 0)::int as j, greatest(0, least(round_even(round(y, 3) + 90.5, 0)::int, 149)) as cj from mm")
 def voxel_index(spark, d):
     i, ci = lb.voxel(F.round("x", 3), 128.5, 200, flip=True)

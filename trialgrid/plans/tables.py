@@ -33,6 +33,26 @@ def multi_root_scan(spark, d):
     return rows.groupBy("task", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query("select subject, phase as description, 'time' as suffix, count(*) as n, round(sum(value) + 1e-9, 5) as total from (select subject, phase, round(value + 1e-9, 6) as value from signal where phase = 'O') group by all")
+def named_round_trip(spark, d):
+    """CSV files that carry their entities in their names, found and read by them: those of one description."""
+    rows = v.signal(spark, d).select("subject", F.col("phase").alias("description"), "channel", tidy("value", "value"))
+    path = files.write_named(rows, ["subject", "description"], "time", "named")
+    got = files.scan_named(spark, [path], "channel string, value double", ["subject", "description", "suffix"], {"description": "O", "session": None})
+    return got.groupBy("subject", "description", "suffix").agg(F.count("*").alias("n"), tidy(F.sum("value"), "total", 5))
+
+
+_ODD = "case event_id % 8 when 0 then 'a+b' when 1 then 'c:d' when 2 then 'é%' when 3 then null when 4 then '' when 5 then 'x y/z' when 6 then 'k=v_w-u.t' else event_type end"
+
+
+@query(f"select {_ODD} as word, count(*) as n, sum(event_id)::bigint as total from events group by all")
+def odd_path_values(spark, d):
+    """Keys with characters that paths escape, empty and missing ones, written as folders and read back."""
+    word = F.expr(_ODD)
+    path = files.write_tidy(v.table(spark, d, "events").select("event_id", word.alias("word")), ["word"], "odd")
+    return files.scan_tidy(spark, [path], "event_id long", ["word"]).groupBy("word").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
+
+
 @query("select count(*) filter (event_id % 9 <> 0) as good, count(*) filter (event_id % 9 = 0) as damaged, round(sum(value) filter (event_id % 9 <> 0), 4) as total from events")
 def damaged_rows(spark, d):
     """Lines that don't fit the schema are counted and skipped."""
@@ -112,6 +132,15 @@ def array_sink(spark, d):
     return files.read_with_params(spark, files.write_with_params(rows, {"band": "hg", "alpha": 0.05}, "array"))
 
 
+@query("select channel, phase, count(*) as n from signal where abs(time) <= 1.5 group by all having count(*) >= 20")
+def run_by_params(spark, d):
+    """A query whose limits are the parameters that a run was stored with."""
+    path = files.write_with_params(v.signal(spark, d).select("channel", "phase", "time"), {"reach": 1.5, "least": 20}, "run")
+    p = files.run_params(spark, path, {"reach": "double", "least": "long"})
+    rows = spark.read.parquet(f"{path}/data").filter(F.abs("time") <= p["reach"])
+    return rows.groupBy("channel", "phase").agg(F.count("*").alias("n")).filter(F.col("n") >= p["least"])
+
+
 @query("select component, source, target, weight, row_number() over (order by component, weight desc, source, target) as place from (select win // 8 as component, source, target, round(avg(pdc) + 1e-9, 6) as weight from edges group by all)")
 def edge_export(spark, d):
     """Edges in order of component and falling weight, written as CSV and read back; the place shows the order of the export."""
@@ -261,8 +290,18 @@ def fraction_runs(spark, d):
 def stacked_groups(spark, d):
     """Channels by onset within each side, the right side over the left."""
     first = v.signal(spark, d).groupBy("roi", "hemi", "channel").agg(F.min(F.expr("if(mask, sample, null)")).alias("o"))
-    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("roi", "hemi").orderBy(F.col("o").asc_nulls_last(), "channel")))
-    return placed.select("roi", "hemi", "channel", "place", F.row_number().over(Window.partitionBy("roi").orderBy(F.desc("hemi"), "place")).alias("line"))
+    return sm.stacked(first, ["roi"], "hemi", [F.col("o").asc_nulls_last(), F.col("channel")]).select("roi", "hemi", "channel", "place", "line")
+
+
+_STACK = ", f as (select roi, hemi, channel, min(case when mask then sample end) as o from signal group by all), p as (select *, row_number() over (partition by roi order by hemi desc, o nulls last, channel) as line from f), h as (select roi, max(line) as n, max(max(line)) over () as most from p group by roi)"
+
+
+@query(f"{_STACK} select roi, hemi, channel, line from p union all select roi, null, null, unnest(range(n + 1, most + 1)) from h")
+def stacked_to_height(spark, d):
+    """The same, filled at the end with empty lines to the height of the largest region."""
+    first = v.signal(spark, d).groupBy("roi", "hemi", "channel").agg(F.min(F.expr("if(mask, sample, null)")).alias("o"))
+    got = sm.stacked(first, ["roi"], "hemi", [F.col("o").asc_nulls_last(), F.col("channel")], height=True)
+    return got.select("roi", "hemi", "channel", F.col("line").cast("long").alias("line"))
 
 
 @query("select channel, phase, sample, round(value + 1e-9, 6) as value from (select *, row_number() over (partition by channel order by sample, phase) as k from signal where mask) where k = 1")
