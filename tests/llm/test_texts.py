@@ -48,6 +48,91 @@ def test_media(spark, docs):
     assert all(r.media_bytes > 57 and len(r.media_sha256) == 64 for r in got)
 
 
+def plain_feature(payload):
+    x = [b - 128 for b in payload]
+    mean = sum(x) / len(x)
+    deviation = (sum((v - mean) ** 2 for v in x) / len(x)) ** 0.5
+    return mean, deviation, sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+
+
+def test_media_features_and_forms(spark, docs):
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(50, "ab" * 64), (51, "é" * 32), (52, "x" * 64)], "doc_id long, text string"))
+    got = media.media_features(media.read_archives(spark, media.write_archives(rows))).collect()
+    want = {}
+    for doc, text in rows.collect():
+        raw = (text or "").encode()
+        full = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        form = media.png(full)
+        assert media.samples(form) == full
+        want[hashlib.sha256(full).hexdigest()] = (len(form), hashlib.sha256(form).hexdigest(), plain_feature(full))
+    assert len(got) == rows.count()
+    for r in got:
+        size, digest, (mean, deviation, crossings) = want[r.payload_sha256]
+        assert (r.media_bytes, r.media_sha256) == (size, digest)
+        a, b, c = r.feature.split("|")
+        assert float(a) == pytest.approx(mean, abs=1e-3) and float(b) == pytest.approx(deviation, abs=1e-3) and int(c) == crossings
+
+
+class Flaky:
+    """A file that gives wrong bytes, or fails, at its first readings of a place."""
+
+    def __init__(self, file, seen, how):
+        self.file, self.seen, self.how = file, seen, how
+
+    def read_at(self, size, offset):
+        self.seen[offset] += 1
+        data = self.file.read_at(size, offset)
+        if self.seen[offset] > 2:
+            return data
+        if self.how == "fails":
+            raise OSError("not now")
+        return data[: size // 2] if self.how == "cut" else data[: size // 2] + bytes([data[size // 2] ^ 1]) + data[size // 2 + 1 :]
+
+    def close(self):
+        self.file.close()
+
+
+@pytest.mark.parametrize("how", ["fails", "cut", "flips"])
+def test_members_are_read_again_alone(spark, monkeypatch, how):
+    """Each member fails twice; it is read again by its offset, and the others aren't."""
+    docs = spark.createDataFrame([(i, f"text {i} " * (i + 20)) for i in range(12)], "doc_id long, text string").coalesce(1)
+    path = media.write_archives(docs)
+    plan = spark.read.parquet(f"{path}/committed").first()
+    reader = media._Reader({"path": path, "parts": "1", "tries": "6", "most_bytes": str(plan.bytes), "range_bytes": "250"})
+    monkeypatch.setattr(media.time, "sleep", lambda _: None)
+    whole = media._file_system
+    seen = Counter()
+
+    class Files:
+        def __init__(self, files):
+            self.files = files
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+        def open_input_file(self, base):
+            file = self.files.open_input_file(base)
+            return Flaky(file, seen, how) if base.endswith(".arc") else file
+
+    def member_bytes():
+        return {d: m for p in reader.partitions() for batch in reader.read(p) for d, m in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True)}
+
+    good = member_bytes()
+    assert len(good) == 12 and len(reader.partitions()) > 3
+    with monkeypatch.context() as m:
+        def opened(p):
+            files, base = whole(p)
+            return (Files(files) if p.endswith(".arc") else files), base
+
+        m.setattr(media, "_file_system", opened)
+        assert member_bytes() == good
+        assert max(v for k, v in seen.items() if k < plan.bytes) >= 3
+        seen.clear()
+        reader.tries = 2
+        with pytest.raises((OSError, ValueError, media.struct.error)):
+            member_bytes()
+
+
 # --- 3 ---
 
 

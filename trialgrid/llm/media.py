@@ -1,10 +1,11 @@
 """Media columns over archives of 8-bit image members (operator 2).
 
 `write_archives` stores each text's bytes (padded with 0 to a positive multiple of 64) as the samples of a greyscale PNG image of 64
-columns and 8 bits, losslessly compressed, many to an archive file. An archive ends with its directory (member id, offset, size) and the directory's place. Files get names of
-their own in each task attempt; a table of the names that committed says which count, so a retried task leaves no second copy.
+columns and 8 bits, losslessly compressed, many to an archive file. An archive ends with its directory (member id, offset, size), the directory's place and its sum. Files get names of
+their own in each task attempt; a table of the names that committed, one folder a writing task, says which count, so a retried task leaves no second copy.
 
-`ArchiveSource` is a Spark data source over such a folder: it plans partitions of about `range_bytes` bytes of an archive, each reads the
+`ArchiveSource` is a Spark data source over such a folder: it plans partitions of about `range_bytes` bytes of what one task wrote, from two numbers
+(how many tasks, and the most bytes of one), not from a list of archives; a range looks its archives up. It reads the
 members that begin in its range, one at a time by offset, and yields Arrow batches. A member that fails is tried again alone.
 
 Null texts count as empty; equal rows are members of their own with equal values; other columns are not read; an empty table gives no
@@ -14,7 +15,6 @@ members.
 from __future__ import annotations
 
 import hashlib
-import json
 import struct
 import time
 import uuid
@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -31,7 +32,7 @@ from trialgrid.llm.common import lean, new_path
 BLOCK = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _ENTRY = np.dtype([("member", "<i8"), ("offset", "<u8"), ("size", "<u8"), ("n_bytes", "<u8"), ("doc_id", "<i8"), ("known", "<u1")])
-_TAIL = "<QQ4s"
+_TAIL = "<QQI4s"
 SCHEMA = "member long, doc_id long, n_bytes long, media binary"
 
 
@@ -48,12 +49,14 @@ def png(payload: bytes) -> bytes:
     return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
-def samples(media: bytes) -> bytes:
-    """The samples of an image that `png` wrote; ValueError where it isn't whole."""
+def chunks(media: bytes) -> dict[bytes, bytes]:
+    """The parts of a PNG member by kind, each checked by its own sum; ValueError where it isn't whole. Nothing is decompressed."""
     if media[:8] != _SIGNATURE:
         raise ValueError("not a PNG member")
     at, parts = 8, {}
     while at < len(media):
+        if at + 12 > len(media):
+            raise ValueError("a cut PNG member")
         size, kind = struct.unpack_from(">I4s", media, at)
         data = media[at + 8 : at + 8 + size]
         if media[at + 8 + size : at + 12 + size] != struct.pack(">I", zlib.crc32(kind + data)):
@@ -62,6 +65,12 @@ def samples(media: bytes) -> bytes:
         at += 12 + size
     if b"IEND" not in parts:
         raise ValueError("a cut PNG member")
+    return parts
+
+
+def samples(media: bytes) -> bytes:
+    """The samples of an image that `png` wrote; ValueError where it isn't whole."""
+    parts = chunks(media)
     width, height, depth, colour, *_ = struct.unpack(">IIBBBBB", parts[b"IHDR"])
     try:
         lines = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8)
@@ -85,7 +94,7 @@ def _archive_writer(folder: str, archive_bytes: int):
 
         def close():
             directory = np.array(entries, _ENTRY).tobytes()
-            stream.write(directory + struct.pack(_TAIL, at, len(entries), b"TARC"))
+            stream.write(directory + struct.pack(_TAIL, at, len(entries), zlib.crc32(directory), b"TARC"))
             stream.close()
             done.append((name, at, len(entries)))
 
@@ -105,7 +114,8 @@ def _archive_writer(folder: str, archive_bytes: int):
         if stream is not None:
             close()
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["archive", "bytes", "members"])
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(done), pa.int32()), *(pa.array(c) for c in zip(*done, strict=True))], names=["part", "archive", "bytes", "members"])
 
     return run
 
@@ -116,38 +126,57 @@ def write_archives(docs: DataFrame, archive_bytes: int = 128 << 20) -> str:
     files, base = _file_system(path)
     files.create_dir(base, recursive=True)
     rows = docs.select(F.monotonically_increasing_id().alias("member"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows.mapInArrow(lean(_archive_writer(path, archive_bytes)), "archive string, bytes long, members long").write.parquet(f"{path}/committed")
+    rows.mapInArrow(lean(_archive_writer(path, archive_bytes)), "part int, archive string, bytes long, members long").write.partitionBy("part").parquet(f"{path}/committed")
     return path
 
 
 class ByteRange(InputPartition):
-    def __init__(self, path: str, low: int, high: int):
-        super().__init__((path, low, high))
-        self.path, self.low, self.high = path, low, high
+    """Bytes from low to high of the archives that one task wrote, one after another."""
+
+    def __init__(self, part: int, low: int, high: int):
+        super().__init__((part, low, high))
+        self.part, self.low, self.high = part, low, high
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
         self.step, self.tries = int(options.get("range_bytes", 16 << 20)), int(options.get("tries", 4))
-        self.archives = json.loads(options["archives"])
+        self.parts, self.most = int(options["parts"]), int(options["most_bytes"])
 
     def partitions(self):
-        return [ByteRange(f"{self.folder}/{name}", low, min(low + self.step, size)) for name, size in self.archives for low in range(0, size, self.step)] or [ByteRange("", 0, 0)]
+        return [ByteRange(part, low, low + self.step) for part in range(self.parts) for low in range(0, self.most, self.step)] or [ByteRange(-1, 0, 0)]
+
+    def archives(self, part: int) -> list[tuple[str, int]]:
+        """Names and sizes of the archives of one task, in one order."""
+        from pyarrow import dataset, fs
+
+        files, base = _file_system(f"{self.folder}/committed/part={part}")
+        found = [f.path for f in files.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.base_name.endswith(".parquet")]
+        if not found:  # it wrote nothing
+            return []
+        table = dataset.dataset(found, filesystem=files, format="parquet").to_table(columns=["archive", "bytes"])
+        return sorted(zip(table.column("archive").to_pylist(), table.column("bytes").to_pylist(), strict=True))
 
     def _again(self, action):
         for left in range(self.tries - 1, -1, -1):
             try:
                 return action()
-            except (OSError, ValueError):
+            except (OSError, ValueError, struct.error):  # the last: cut short
                 if not left:
                     raise
                 time.sleep(0.2)
 
     def read(self, partition: ByteRange):
-        if not partition.path:
-            return
-        files, base = _file_system(partition.path)
+        start = 0
+        for name, size in self._again(lambda: self.archives(partition.part)) if partition.part >= 0 else []:
+            if start < partition.high and start + size > partition.low:
+                yield from self._members(f"{self.folder}/{name}", partition.low - start, partition.high - start)
+            start += size
+
+    def _members(self, path: str, low: int, high: int):
+        """Batches of the archive's members that begin from low to high."""
+        files, base = _file_system(path)
         held_open: list = []
 
         def at(offset: int, size: int) -> bytes:
@@ -162,17 +191,21 @@ class _Reader(DataSourceReader):
                 held_open.clear()
                 raise
 
+        def listed():
+            start, count, total, magic = struct.unpack(_TAIL, at(size - struct.calcsize(_TAIL), struct.calcsize(_TAIL)))
+            raw = at(start, count * _ENTRY.itemsize) if start + count * _ENTRY.itemsize + struct.calcsize(_TAIL) == size else b""
+            if magic != b"TARC" or zlib.crc32(raw) != total:
+                raise ValueError(f"{path} has no whole directory")
+            return np.frombuffer(raw, _ENTRY)
+
         size = files.get_file_info(base).size
-        start, count, magic = self._again(lambda: struct.unpack(_TAIL, at(size - struct.calcsize(_TAIL), struct.calcsize(_TAIL))))
-        if magic != b"TARC":
-            raise ValueError(f"{partition.path} has no directory")
-        directory = np.frombuffer(self._again(lambda: at(start, count * _ENTRY.itemsize)), _ENTRY)
-        own = directory[(directory["offset"] >= partition.low) & (directory["offset"] < partition.high)]
+        directory = self._again(listed)
+        own = directory[(directory["offset"].astype(np.int64) >= low) & (directory["offset"].astype(np.int64) < high)]
         rows, held = [], 0
         for e in own:
             def member(e=e):
                 media = at(int(e["offset"]), int(e["size"]))
-                samples(media)
+                chunks(media)
                 return media
 
             media = self._again(member)
@@ -203,11 +236,13 @@ class ArchiveSource(DataSource):
         return _Reader(self.options)
 
 
-def read_archives(spark: SparkSession, path: str, range_bytes: int = 16 << 20) -> DataFrame:
-    """Members of the archives that committed. Their names and sizes (one row an archive of 128 MB) plan the ranges."""
+def read_archives(spark: SparkSession, path: str, range_bytes: int = 16 << 20, tries: int = 4) -> DataFrame:
+    """Members of the archives that committed. The driver learns how many tasks wrote and the most bytes of one; a member that isn't whole after `tries` readings is an error."""
     spark.dataSource.register(ArchiveSource)
-    archives = [tuple(r) for r in spark.read.parquet(f"{path}/committed").select("archive", "bytes").collect()]
-    return spark.read.format("trialgrid_archive").option("archives", json.dumps(archives)).option("range_bytes", str(range_bytes)).load(path)
+    written = spark.read.schema("archive string, bytes long, part int").parquet(f"{path}/committed").groupBy("part").agg(F.sum("bytes").alias("bytes"))
+    parts, most = written.agg(F.max("part") + 1, F.max("bytes")).first()
+    options = {"parts": str(parts or 0), "most_bytes": str(most or 0), "range_bytes": str(range_bytes), "tries": str(tries)}
+    return spark.read.format("trialgrid_archive").options(**options).load(path)
 
 
 def feature(payload: bytes) -> str:
