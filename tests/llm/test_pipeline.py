@@ -34,7 +34,7 @@ def test_stages(spark):
 
 def test_odd_rows(spark, odd_documents, no_documents):
     """Every stage on nulls, empty and long texts, repeated rows and columns with names that the operators use inside."""
-    extra = {c: F.lit(c) for c in ("rid", "key", "score", "lang_pred", "stays", "spans", "base", "n_words", "best", "root", "contaminated", "w")}
+    extra = {c: F.lit(c) for c in ("rid", "key", "score", "lang_pred", "stays", "spans", "base", "n_words", "best", "root", "contaminated", "w", "__rid", "__rid_", "__lang", "__score", "found_lang", "found_score", "doc")}
     for docs in (odd_documents.drop("rid", "key", "score", "n_words").withColumns(extra), no_documents.withColumns(extra)):
         rows = docs.count()
         for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -44,3 +44,8 @@ def test_odd_rows(spark, odd_documents, no_documents):
             assert all(r[c] == c for r in docs.collect() for c in extra)
         assert (docs.count() > 0) == (rows > 0)
         assert (corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0) == (rows > 0)
+
+
+def test_personal_data_adds_no_column(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.cd"), (2, None)], "doc_id long, text string")
+    assert corpus_pipeline.personal_data(spark, docs, SF).columns == docs.columns

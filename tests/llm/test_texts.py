@@ -447,6 +447,21 @@ def test_near_duplicates(spark, docs):
     same(neardup.near_duplicates(docs).collect(), near([tuple(r) for r in docs.collect()]))
 
 
+def test_near_duplicates_beyond_what_is_sent(spark, docs, monkeypatch):
+    """With nothing sent to the tasks all joins go by shuffle, to the same rows."""
+    monkeypatch.setattr(neardup, "SENT", -1)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    same(neardup.near_duplicates(docs).collect(), near(rows))
+    assert len(neardup.one_of_each(docs).collect()) <= len(rows)
+
+
+def test_null_ids_keep_their_sets(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(None, text), (None, text + " x"), (3, text + " y"), (4, "other words here")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in neardup.near_duplicates(rows).collect()}
+    assert got == {(None, 56): 3, (None, 57): 3, (3, 57): 3, (4, 1): 4}
+
+
 def test_near_duplicates_below_85(spark):
     rng = np.random.RandomState(4)
     made = []

@@ -38,6 +38,14 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores behind it as it takes to be no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(docs: DataFrame, id_col: str, name: str) -> DataFrame:
     """`docs` with a row id, in the order of its rows. Written once: numbers of a second scan differ where its splits do."""
     return stored(docs.withColumn(id_col, F.monotonically_increasing_id()), name)

@@ -38,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialgrid.llm.common import gram_hash, lean, mix64, numbered, stored, text_slices, word_table
+from trialgrid.llm.common import free_name, gram_hash, lean, mix64, numbered, stored, text_slices, word_table
 
 WORDS, COORDINATES, ROWS, MISS = 5, 48, 2, 1e-6
 #: Differences of more items don't travel with each posting; their pairs are confirmed on full sets alone.
 CARRIED = 512
 SALTS = 64
+#: Up to as many row numbers or doc_ids (8 bytes each, counted before) go to every task; more are joined by shuffle, with equal results.
+SENT = 1 << 21
 _random = np.random.RandomState(20)
 _A = _random.randint(1, 1 << 62, COORDINATES * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.randint(1, 1 << 62, COORDINATES * ROWS).astype(np.uint64)
@@ -204,11 +206,14 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
 
 def one_of_each(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """Rows of `docs`, one of each group: the one with the smallest doc_id (null last), of those the first. Empty texts all stay."""
-    rows = numbered(docs, "__rid", "rows")
-    found = _grouped(rows, threshold)
-    stays = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best")).select(F.col("best.rid").alias("__rid"))
-    stays = stored(stays.unionByName(found.filter("root is null").select(F.col("rid").alias("__rid"))), "stays")
-    return rows.join(stays, "__rid", "left_semi").select(*docs.columns)
+    own = free_name(docs, "__rid")
+    rows = numbered(docs, own, "rows")
+    found = _grouped(rows.select("doc_id", "text", F.col(own).alias("__rid")), threshold)
+    found = stored(found.select("rid", "doc_id", "root"), "grouped")
+    best = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best"))
+    goes = stored(found.filter("root is not null").join(best.select("best.rid"), "rid", "left_anti").select(F.col("rid").alias(own)), "goes")
+    few = goes.count() <= SENT
+    return rows.join(F.broadcast(goes) if few else goes, own, "left_anti").select(*docs.columns)
 
 
 def _class_components(docs: DataFrame, signed: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -218,6 +223,8 @@ def _class_components(docs: DataFrame, signed: DataFrame, classes: DataFrame, th
     shared = posted.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").select("k")
     hits = stored(posted.join(shared, "k"), "hits")
     live = stored(hits.groupBy("cid").agg(F.count("*").alias("m")).filter(F.col("m") >= match).select("cid"), "live")
+    if live.isEmpty():
+        return classes.select(F.col("cid").alias("node"), F.col("cid").alias("root")).limit(0)
     sets = stored(_live_sets(docs, signed, classes, live), "sets")
     keys = stored(one.join(live, "cid"), "keys")
     single = sets.select("cid", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("m"), F.min("cid").alias("cid")).filter("m = 1")
@@ -277,9 +284,9 @@ def _differences(group: DataFrame, sets: DataFrame, threshold: int) -> tuple[Dat
 
 
 def _by_centre(rows: DataFrame, one: DataFrame, by: str, how: str = "inner") -> DataFrame:
-    """`rows` joined with the one row of its centre. Copies of that row spread a centre that many rows have."""
+    """`rows` joined with the one row of its centre. Copies of that row, as many as its members have salts, spread a centre that many rows have."""
     rows = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
-    return rows.join(one.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["centre", "salt"], how).drop("salt")
+    return rows.join(one.join(rows.select("centre", "salt").distinct(), "centre"), ["centre", "salt"], how).drop("salt")
 
 
 def _close(x: DataFrame, y: DataFrame, threshold: int, which: Column) -> DataFrame:
@@ -299,7 +306,28 @@ def _placed(alive: DataFrame, roots: DataFrame, name: str) -> DataFrame:
 def _live_sets(docs: DataFrame, signed: DataFrame, classes: DataFrame, live: DataFrame) -> DataFrame:
     """Full sets of the classes that are left: texts meet the live doc_ids, and the hash of a set tells which class it is."""
     wanted = classes.join(live, "cid").select("cid", "h1", "h2")
-    ids = signed.join(live, signed.rid == live.cid, "left_semi").select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("t").join(ids.alias("i"), F.col("t.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
+    ids = stored(signed.join(live, signed.rid == live.cid, "left_semi").select("doc_id").distinct(), "live-ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if ids.count() <= SENT:
+        texts = _with_ids(texts, ids)
+    else:
+        texts = texts.alias("t").join(ids.alias("i"), F.col("t.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
     items = texts.mapInArrow(lean(_sets), "doc_id long, h1 long, h2 long, items array<long>").drop("doc_id")
     return items.join(wanted, ["h1", "h2"]).select("cid", "items").dropDuplicates(["cid"])
+
+
+def _with_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id, null included, is among `ids`, which are counted to be at most SENT."""
+    found = ids.toArrow().column("doc_id")
+    null, known = found.null_count > 0, np.sort(found.drop_null().to_numpy())
+
+    def run(batches):
+        for batch in batches:
+            doc = batch.column("doc_id")
+            value = doc.fill_null(0).to_numpy()
+            at = np.minimum(np.searchsorted(known, value), len(known) - 1) if len(known) else np.zeros(len(value), int)
+            here = known[at] == value if len(known) else np.zeros(len(value), bool)
+            gone = doc.is_null().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(np.where(gone, null, here)))
+
+    return texts.mapInArrow(run, "doc_id long, text string")
