@@ -82,6 +82,34 @@ def test_shuffled_fits_match_direct_ones(spark):
     assert "y" not in rows.columns and len(rows.columns) == 6  # nothing of the shuffles is in a row
 
 
+def test_shuffled_numbers_match_direct_fits(spark):
+    rng = np.random.RandomState(13)
+    n = 70
+    x = rng.normal(size=(n, 5))
+    t = x[:, 0] * 2 + rng.normal(size=n)
+    fold = rng.permutation(n) % 4
+    df = spark.createDataFrame([(i, int(fold[i]), float(t[i]), [float(v) for v in x[i]]) for i in range(n)], "trial int, fold int, t double, x array<double>")
+    got = {r.perm: r for r in dc.predict_shuffled(df, 5, 20, 3, 1.5, 0.9).collect()}
+    place = np.empty(n, int)
+    place[np.lexsort((np.arange(n), fold))] = np.arange(n)
+    numbers = np.empty(n)
+    numbers[place] = t
+    counts = np.bincount(fold)[:, None]
+    for perm in range(21):
+        r2, mse = [], []
+        for h in range(4):
+            train = fold != h
+            y = dc.shuffled_numbers(place[train], h, counts, perm, 3, numbers)
+            assert sorted(y) == sorted(t[train]) and (perm or (y == t[train]).all())
+            m = np.hstack([np.ones((train.sum(), 1)), x[train], y[:, None]])
+            w = md.solve_ridge(m[:, :6].T @ m, 5, 1.5, 0.9)[:, 0]
+            e = ((np.hstack([np.ones(((~train).sum(), 1)), x[~train]]) @ w - t[~train]) ** 2).mean()
+            r2.append(1 - e / t[~train].var())
+            mse.append(e)
+        assert got[perm].r2 == pytest.approx(np.mean(r2), abs=1e-6) and got[perm].mse == pytest.approx(np.mean(mse), rel=1e-6)
+    assert got[0].r2 > 0.5 > max(r.r2 for p, r in got.items() if p)
+
+
 def test_weights_in_several_passes(spark, monkeypatch):
     trials, *_ = made(spark, np.random.RandomState(3))
     want = sorted(map(tuple, dc.decode_shuffled(trials, 6, 40, 5).collect()))

@@ -18,7 +18,7 @@ from trialgrid.operators.stats import spearman, stratified_folds
 from trialgrid.operators.summaries import global_place
 from trialgrid.sources.work import written
 
-CHUNK, MODEL_BYTES, SORTED = 16, 1 << 27, 1 << 14
+CHUNK, MODEL_BYTES, SORTED, TARGETS = 16, 1 << 27, 1 << 14, 1 << 22
 
 
 def shuffled_places(place: np.ndarray, size: int, *key: int) -> np.ndarray:
@@ -83,13 +83,24 @@ def summed_arrays(df: DataFrame, keys: list[str], salts: int = 64) -> DataFrame:
     return last.groupBy(*keys).applyInPandas(add, last.schema)
 
 
-def fit_shuffled(rows: DataFrame, features: int, table: tuple[list, list, np.ndarray], permutations: int, seed: int, alpha: float = 1.0, variance: float | None = None) -> DataFrame:
-    """Stored weights (win, held, first, w) of one-against-rest ridge fits for perm first to first + CHUNK - 1: (1 + features) x perms x classes, row by row.
+def shuffled_numbers(place: np.ndarray, held: int, counts: np.ndarray, perm: int, seed: int, numbers: np.ndarray) -> np.ndarray:
+    """Numbers of training trials of the fold `held`, for perm 0 their own, else shuffled among all training trials; numbers: of all trials by place."""
+    if not perm:
+        return numbers[place]
+    size = counts.sum(1)
+    before, own = size[:held].sum(), size[held]
+    moved = shuffled_places(np.where(place >= before + own, place - own, place), int(size.sum() - own), seed, held, perm)
+    return numbers[np.where(moved >= before, moved + own, moved)]
+
 
-    rows: win, fold, place, label, x. Each task sums the products of [1, x] with the class indicators of all folds and shuffles; a row carries none of them.
+def fit_shuffled(rows: DataFrame, features: int, table: tuple[list, list, np.ndarray], permutations: int, seed: int, alpha: float = 1.0, variance: float | None = None, numbers: np.ndarray | None = None) -> DataFrame:
+    """Stored weights (win, held, first, w) of ridge fits for perm first to first + CHUNK - 1: (1 + features) x perms x targets, row by row.
+
+    rows: win, fold, place, label, x. The targets are one indicator a class, or with `numbers` (of all trials by place) one number. Each task sums the products of
+    [1, x] with the targets of all folds and shuffles; a row carries none of them.
     """
     folds, classes, counts = table
-    c = len(classes)
+    c = len(classes) if numbers is None else 1
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -107,7 +118,10 @@ def fit_shuffled(rows: DataFrame, features: int, table: tuple[list, list, np.nda
                         perms = range(first, min(first + CHUNK, permutations + 1))
                         y = np.zeros((len(own), len(perms), c))
                         for k, perm in enumerate(perms):
-                            y[np.arange(len(own)), k, training_labels(place[train], label[train], held, counts, perm, seed)] = 1
+                            if numbers is None:
+                                y[np.arange(len(own)), k, training_labels(place[train], label[train], held, counts, perm, seed)] = 1
+                            else:
+                                y[:, k, 0] = shuffled_numbers(place[train], held, counts, perm, seed, numbers)
                         out.append((held, first, (own.T @ y.reshape(len(own), -1)).ravel()))
                 yield pd.DataFrame({"win": win, "held": [o[0] for o in out], "first": [o[1] for o in out], "s": [o[2] for o in out]})
 
@@ -166,6 +180,49 @@ def decode_shuffled(trials: DataFrame, features: int, permutations: int, seed: i
     return mean_accuracy(score_shuffled(rows, fit_shuffled(rows, features, table, permutations, seed, alpha, variance), features, table, permutations))
 
 
+def numbers_by_place(rows: DataFrame, number: str, most: int) -> np.ndarray:
+    """`number` of all trials in the order of `place`; more than `most` trials are an error."""
+    n = rows.select("place").distinct().count()
+    if n > most:
+        raise ValueError(f"{n} trials, more than {most}: raise it if the tasks have 8 bytes a trial")
+    out = np.zeros(n)
+    for r in rows.select("place", F.col(number).cast("double").alias("v")).toLocalIterator():
+        out[r.place] = r.v
+    return out
+
+
+def predict_shuffled(trials: DataFrame, features: int, permutations: int, seed: int, alpha: float = 1.0, variance: float | None = None, most_targets: int = TARGETS) -> DataFrame:
+    """(perm, r2, mse) of a ridge on the number t of trials (trial, fold, t, x): means over folds, perm 0 as observed, the others with the numbers of each fold's training trials shuffled.
+
+    The numbers, 8 bytes a trial, go to every task. A fold whose numbers are all alike has no r2.
+    """
+    rows = placed(trials.withColumn("label", F.lit(0))).withColumn("win", F.lit(0))
+    table, numbers = class_table(rows), numbers_by_place(rows, "t", most_targets)
+    weights = fit_shuffled(rows, features, table, permutations, seed, alpha, variance, numbers)
+    step = max(1, MODEL_BYTES // max(1, len(table[0]) * (features + 1) * CHUNK * 8)) * CHUNK
+    done = None
+    for at in range(0, permutations + 1, step):
+        model: dict = {}
+        for r in weights.filter(F.col("first").between(at, at + step - 1)).collect():  # at most MODEL_BYTES, or one chunk of permutations
+            model.setdefault(table[0][r.held], []).append((r.first, np.asarray(r.w).reshape(features + 1, -1)))
+
+        def run(frames: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for fold, own in frame.groupby("fold"):
+                    x = np.hstack([np.ones((len(own), 1)), np.nan_to_num(np.stack(own.x.to_numpy()).astype(float))])
+                    t = own.t.to_numpy(float)
+                    for first, w in model.get(fold, []):
+                        error = ((x @ w - t[:, None]) ** 2).sum(0)
+                        yield pd.DataFrame({"fold": fold, "perm": np.arange(first, first + len(error)), "n": len(t), "e": error, "s": t.sum(), "q": (t**2).sum()})
+
+        got = rows.select("fold", F.col("t").cast("double").alias("t"), "x").mapInPandas(run, f"fold {rows.schema['fold'].dataType.simpleString()}, perm int, n bigint, e double, s double, q double")
+        done = got if done is None else done.unionByName(got)
+    part = done.groupBy("perm", "fold").agg(*(F.sum(c).alias(c) for c in ("n", "e", "s", "q")))
+    spread = F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2
+    r2 = F.when(spread > 1e-12 * F.col("q") / F.col("n"), 1 - F.col("e") / F.col("n") / spread)
+    return part.groupBy("perm").agg(F.avg(r2).alias("r2"), F.avg(F.col("e") / F.col("n")).alias("mse"))
+
+
 def window_features(trials: DataFrame, channels: int, samples: int, size: int, step: int) -> DataFrame:
     """`trials` for each window `win` [win * step, win * step + size) of x (channels x samples, row by row), with x cut to it."""
     start = F.col("win") * step
@@ -195,7 +252,7 @@ def scaled_channels(trials: DataFrame, channels: int, samples: int) -> DataFrame
     return rows.join(level, "channel").withColumn("x", scale).drop("level")
 
 
-def encode(trials: DataFrame, channels: int, samples: int, permutations: int, seed: int, alpha: float = 1.0, most_targets: int = 1 << 22) -> DataFrame:
+def encode(trials: DataFrame, channels: int, samples: int, permutations: int, seed: int, alpha: float = 1.0, most_targets: int = TARGETS) -> DataFrame:
     """(channel, observed, p): ridge of a trial's number t on one channel's samples, out of fold; rank correlation of predictions and t, two-sided p.
 
     trials: trial, fold, t, x. Features are scaled on all trials, not by fold. A shuffle is of all trials, drawn by seed + channel, and its predictions
@@ -204,12 +261,8 @@ def encode(trials: DataFrame, channels: int, samples: int, permutations: int, se
     order = global_place(trials.select("trial").distinct(), ["trial"])
     one = trials.join(order.select("trial", (F.col("place") - 1).alias("place")), "trial")
     one = written(one, "encode")
-    n = one.count()
-    if n > most_targets:
-        raise ValueError(f"{n} trials, more than {most_targets}: raise most_targets if the tasks have 8 bytes a trial")
-    t = np.zeros(n)
-    for r in one.select("place", F.col("t").cast("double").alias("t")).toLocalIterator():
-        t[r.place] = r.t
+    t = numbers_by_place(one, "t", most_targets)
+    n = len(t)
 
     def drawn(frame: pd.DataFrame) -> np.ndarray:
         """Rows x (1 + permutations) of t and its shuffles."""

@@ -191,11 +191,8 @@ def encoding_channels(spark, d):
 
 @plain
 def ridge_predict_r2(spark, d):
-    """Principal components of 85 % of the variance, then ridge on all features: mean R2 of the folds, and its one-sided p over shuffled training targets."""
-    rows = st.training_shuffles(_folded(spark, d), 5, F.col("label").cast("double"), 20, 2, "predict")
-    pred = md.predict(rows, md.cross_fit(rows, [], 64, 21, variance=0.85, blocks=5), [], 64, 21)
-    each = pred.select("fold", F.col("label").cast("double").alias("truth"), F.posexplode("pred").alias("perm", "pred"))
-    return st.empirical_p(st.regression_scores(each, ["perm"]), [], "r2")
+    """Principal components of 85 % of the variance, then ridge on all features, ten folds: mean R2 of the folds, and its one-sided p over 100 shuffles of the training targets."""
+    return st.empirical_p(dc.predict_shuffled(_numbered(spark, d), 64, 100, 2, variance=0.85), [], "r2")
 
 
 @plain
@@ -228,12 +225,8 @@ def temporal_generalisation_p(spark, d):
 @plain
 def generalisation_clusters(spark, d):
     """Train at one sample, test at another, even against odd labels: clusters of the map of accuracies against 20 shuffles of the training labels."""
-    rows = st.training_shuffles(_folded(spark, d), 5, F.when(F.col("label") % 2 == 0, 1.0).otherwise(-1.0), 20, 6, "map")
-    rows = rows.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.get("x", (c * 8 + F.col("row")).cast("int"))))
-    fitted = md.cross_fit(rows, ["row"], 8, 21, blocks=5)
-    each = rows.drop("y").withColumnRenamed("row", "col").withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    pred = md.predict(each, fitted, ["row"], 8, 21).select("row", "col", "label", F.posexplode("pred").alias("perm", "pred"))
-    scores = pred.groupBy("row", "col", "perm").agg(F.round(F.avg(((F.col("pred") > 0) == (F.col("label") % 2 == 0)).cast("int")), 9).alias("accuracy"))
+    trials = _folded(spark, d).withColumn("label", F.col("label") % 2)
+    scores = dc.generalisation(trials, 8, 8, 1, 1, 20, 6).withColumnsRenamed({"train": "row", "test": "col"})
     return md.grid_clusters(written(scores, "map"), [], "accuracy", 20)[0]
 
 
