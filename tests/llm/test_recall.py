@@ -38,7 +38,7 @@ def planted(seed=1, texts=240):
         parts.append((None, None, rng.choice(WORDS)))
         others = [f"room {rng.randint(1, 400)}", f"in {rng.randint(1900, 2030)}", f"v{rng.randint(1, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}", f"{rng.randint(1, 99)}%", f"order {rng.randint(1000000, 9999999)}", f"{rng.randint(1, 12)}:{rng.randint(10, 59)}"]
         for other in rng.sample(others, 4):
-            parts.insert(2 * rng.randint(0, len(parts) // 2), (None, None, f"{other} {rng.choice(WORDS)}"))  # digits side by side are one run to the rules
+            parts.insert(2 * rng.randint(0, len(parts) // 2), (None, None, f"{rng.choice(WORDS)} {other} {rng.choice(WORDS)}"))  # digits side by side are one run to the rules
         text = ""
         for own, form, value in parts:
             text += " " if text else ""
