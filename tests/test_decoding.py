@@ -108,6 +108,8 @@ def test_shuffled_numbers_match_direct_fits(spark):
             mse.append(e)
         assert got[perm].r2 == pytest.approx(np.mean(r2), abs=1e-6) and got[perm].mse == pytest.approx(np.mean(mse), rel=1e-6)
     assert got[0].r2 > 0.5 > max(r.r2 for p, r in got.items() if p)
+    wide = {r.perm: r for r in dc.predict_shuffled(df, 5, 20, 3, 1.5, 0.9, most_targets=10).collect()}
+    assert len(wide) == 21 and wide[0].r2 == pytest.approx(got[0].r2, abs=1e-6) and max(r.r2 for p, r in wide.items() if p) < 0.5
 
 
 def test_weights_in_several_passes(spark, monkeypatch):

@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialgrid.operators.models import _mixed, gram_sums, solve_ridge, two_sided_p
-from trialgrid.operators.stats import spearman, stratified_folds
+from trialgrid.operators.models import _mixed, cross_fit, gram_sums, predict, solve_ridge, two_sided_p
+from trialgrid.operators.stats import regression_scores, spearman, stratified_folds, training_shuffles
 from trialgrid.operators.summaries import global_place
 from trialgrid.sources.work import written
 
@@ -194,8 +194,14 @@ def numbers_by_place(rows: DataFrame, number: str, most: int) -> np.ndarray:
 def predict_shuffled(trials: DataFrame, features: int, permutations: int, seed: int, alpha: float = 1.0, variance: float | None = None, most_targets: int = TARGETS) -> DataFrame:
     """(perm, r2, mse) of a ridge on the number t of trials (trial, fold, t, x): means over folds, perm 0 as observed, the others with the numbers of each fold's training trials shuffled.
 
-    The numbers, 8 bytes a trial, go to every task. A fold whose numbers are all alike has no r2.
+    The numbers, 8 bytes a trial, go to every task; of more than `most_targets` trials each row carries its own shuffles (`training_shuffles`), drawn otherwise
+    but from the same law. Folds are numbered from 0. A fold whose numbers are all alike has no r2.
     """
+    if trials.select("trial").distinct().count() > most_targets:
+        folds = trials.agg(F.max("fold")).first()[0] + 1
+        wide = training_shuffles(trials, folds, F.col("t").cast("double"), permutations, seed, "predict")
+        got = predict(wide, cross_fit(wide, [], features, permutations + 1, alpha, variance, blocks=folds), [], features, permutations + 1)
+        return regression_scores(got.select("fold", F.col("t").cast("double").alias("truth"), F.posexplode("pred").alias("perm", "pred")), ["perm"])
     rows = placed(trials.withColumn("label", F.lit(0))).withColumn("win", F.lit(0))
     table, numbers = class_table(rows), numbers_by_place(rows, "t", most_targets)
     weights = fit_shuffled(rows, features, table, permutations, seed, alpha, variance, numbers)
