@@ -119,6 +119,26 @@ def test_weights_in_several_passes(spark, monkeypatch):
     assert sorted(map(tuple, dc.decode_shuffled(trials, 6, 40, 5).collect())) == want
 
 
+def test_centroids_match_direct_distances(spark):
+    """Also a class that one fold alone has, and labels that no centroid of the other folds stands for."""
+    rng = np.random.RandomState(14)
+    n, f = 40, 3
+    x, fold = rng.normal(size=(n, f)), np.arange(n) % 4
+    label = np.where(fold == 3, np.where(np.arange(n) < 20, 7, 2), np.where(np.arange(n) % 3 == 0, 2, 5))
+    perms = np.array([label, *(rng.permutation(label) for _ in range(18))])
+    z = spark.createDataFrame([(i, int(fold[i]), p, float(x[i, p])) for i in range(n) for p in range(f)], "trial int, fold int, pos int, z double")
+    labels = spark.createDataFrame([(k, i, int(v)) for k, row in enumerate(perms) for i, v in enumerate(row)], "perm int, trial int, label int")
+    want = {}
+    for k, y in enumerate(perms):
+        hits = 0
+        for i in range(n):
+            other = fold != fold[i]
+            far = {c: round(float(((x[i] - x[other & (y == c)].mean(0)) ** 2).sum()), 6) for c in sorted(set(y[other]))}
+            hits += min(far, key=far.get) == y[i]
+        want[k] = (n, hits)
+    assert {r.perm: (r.n, r.hits) for r in dc.centroid_hits(z, labels, f).collect()} == want
+
+
 def test_generalisation_over_windows(spark):
     """A class difference that stands on one channel early and on another late: windows generalise within a half, not across."""
     rng = np.random.RandomState(4)

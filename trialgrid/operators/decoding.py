@@ -244,6 +244,62 @@ def generalisation(trials: DataFrame, channels: int, samples: int, size: int, st
     return mean_accuracy(score_shuffled(rows, weights, channels * size, table, permutations, across=True), ["train", "test"])
 
 
+# --- nearest centroids ---
+
+
+def centroid_hits(z: DataFrame, labels: DataFrame, features: int) -> DataFrame:
+    """(perm, n, hits): trials whose nearest centroid, of the labels of the other folds, has the trial's own label in that perm; the smallest label on ties (to 6 places).
+
+    z: trial, fold, pos (0 to features - 1), z, no nulls. labels: perm (from 0, all numbers), trial, label. A trial is one row with its features and its labels of
+    all perms; each task adds up class sums for all perms at once, and these, perms x classes x features a fold, go along with the second pass.
+    """
+    x = z.groupBy("trial", "fold").agg(F.array_sort(F.collect_list(F.struct("pos", "z"))).alias("x"))  # `features` entries
+    y = labels.groupBy("trial").agg(F.array_sort(F.collect_list(F.struct("perm", "label"))).alias("y"))  # as many as perms
+    rows = written(x.join(y, "trial").select("fold", F.transform("x", lambda v: v["z"]).alias("x"), F.transform("y", lambda v: v["label"]).alias("y")), "centroids")
+    classes = [r.label for r in labels.filter("perm = 0").select("label").distinct().orderBy("label").collect()]
+    perms = rows.agg(F.max(F.size("y"))).first()[0] or 0
+    c = len(classes)
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for fold, own in frame.groupby("fold"):
+                m = np.hstack([np.stack(own.x.to_numpy()), np.ones((len(own), 1))])
+                label = np.searchsorted(classes, np.stack(own.y.to_numpy()))
+                for first in range(0, perms, CHUNK):
+                    part = label[:, first : first + CHUNK]
+                    on = (part[:, :, None] == np.arange(c)).astype(float).reshape(len(own), -1)
+                    yield pd.DataFrame({"fold": [fold], "first": [first], "s": [(on.T @ m).ravel()]})
+
+    kind = rows.schema["fold"].dataType.simpleString()
+    sums = written(summed_arrays(rows.mapInPandas(partial, f"fold {kind}, first int, s array<double>"), ["fold", "first"]), "class-sums")
+    folds = [r.fold for r in sums.select("fold").distinct().orderBy("fold").collect()]
+    step = max(1, MODEL_BYTES // max(1, len(folds) * CHUNK * c * (features + 1) * 8)) * CHUNK
+    done = None
+    for at in range(0, perms, step):
+        parts: dict = {}
+        for r in sums.filter(F.col("first").between(at, at + step - 1)).collect():  # at most MODEL_BYTES, or one chunk of perms
+            parts.setdefault(r["first"], {})[r.fold] = np.asarray(r.s).reshape(-1, c, features + 1)
+
+        def run(frames: Iterator[pd.DataFrame], parts=parts) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for fold, own in frame.groupby("fold"):
+                    m = np.stack(own.x.to_numpy())
+                    label = np.searchsorted(classes, np.stack(own.y.to_numpy()))
+                    for first, by_fold in parts.items():
+                        s = sum(v for k, v in by_fold.items() if k != fold)
+                        if not isinstance(s, np.ndarray):
+                            continue
+                        centre = s[:, :, :-1] / np.where(s[:, :, -1:] > 0.5, s[:, :, -1:], np.nan)
+                        for low in range(0, len(m), 256):
+                            far = np.round(((m[low : low + 256, None, None] - centre) ** 2).sum(3), 6)
+                            best = np.where(np.isnan(far), np.inf, far).argmin(2)
+                            yield pd.DataFrame({"perm": np.arange(first, first + len(s)), "n": len(best), "hits": (best == label[low : low + 256, first : first + len(s)]).sum(0)})
+
+        got = rows.mapInPandas(run, "perm int, n bigint, hits bigint")
+        done = got if done is None else done.unionByName(got)
+    return done.groupBy("perm").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+
+
 # --- encoding of one channel at a time ---
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trialgrid.operators import decoding as dc
 from trialgrid.operators import stats as st
 from trialgrid.plans.queries import query, r6, tidy
 from trialgrid.sources import views as v
-from trialgrid.sources.work import work_path
+from trialgrid.sources.work import work_path, written
 from trialgrid.streaming import windows
 
 _TRIALS = ", trials as (select trial, label, pos, value from (select vec_id as trial, label, unnest(embedding)::double as value, unnest(range(64)) as pos from embeddings))"
@@ -27,7 +28,8 @@ def _sql(ctes: str, select: str) -> str:
 def _decoded(spark, d, permutations, k=5):
     rows = v.trials(spark, d)
     folds = st.stratified_folds(rows, k)
-    return st.decode(st.fold_standardise(rows, folds), st.shuffled_labels(folds, permutations))
+    hits = dc.centroid_hits(st.fold_standardise(rows, folds), st.shuffled_labels(folds, permutations), 64)
+    return hits.select("perm", F.round(F.col("hits") / F.col("n"), 9).alias("a"))
 
 
 @query(_sql(_TRIALS, "select pos, round(corr(rx, ry) + 1e-9, 6) as rho, count(*) as n from (select pos, rank() over (partition by pos order by value) + (count(*) over (partition by pos, value) - 1) / 2 as rx, rank() over (partition by pos order by label) + (count(*) over (partition by pos, label) - 1) / 2 as ry from trials) group by pos"))
@@ -57,15 +59,13 @@ def decode_folds(spark, d):
 
 @query(_sql(_DECODED, ", scores as (select perm, round(avg((pred = label)::int), 9) as a from decoded group by perm) select round(max(o.a) + 1e-9, 6) as observed, round((count(*) filter (s.a >= o.a) + 1) / (count(*) + 1) + 1e-9, 6) as p from scores s join scores o on s.perm > 0 and o.perm = 0"))
 def decode_permutation_p(spark, d):
-    scores = _decoded(spark, d, 10).groupBy("perm").agg(F.round(F.avg((F.col("pred") == F.col("label")).cast("int")), 9).alias("a"))
-    return st.empirical_p(scores, [], "a").select(r6("observed"), r6("p"))
+    return st.empirical_p(written(_decoded(spark, d, 10), "scores"), [], "a").select(r6("observed"), r6("p"))
 
 
 @query(_sql((_PERMS_200 + _HELD).replace("% 5 as fold", "% 10 as fold"), _SCORED))
 def decode_permutation_p_200(spark, d):
     """200 permutations and 10 folds, as the survey has them: the least p is 1/201."""
-    scores = _decoded(spark, d, 200, 10).groupBy("perm").agg(F.round(F.avg((F.col("pred") == F.col("label")).cast("int")), 9).alias("a"))
-    return st.empirical_p(scores, [], "a").select(r6("observed"), r6("p"))
+    return st.empirical_p(written(_decoded(spark, d, 200, 10), "scores"), [], "a").select(r6("observed"), r6("p"))
 
 
 @query("select channel, phase, ((sample + ('0x' || substr(md5('7:' || channel || ':' || phase), 1, 8))::bigint % 83 + 1) % 84)::bigint as sample, round(value + 1e-9, 6) as value from signal")
