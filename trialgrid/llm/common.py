@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,37 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A scope whose work tables are deleted at its end. It gives a function like `stored` for what the caller goes on with: such a table is outside the scope.
+
+    After an error nothing is deleted, so that what has failed can be looked at.
+    """
+    _scopes.append([])
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        own = _scopes.pop()
+        try:
+            return stored(df, name)
+        finally:
+            _scopes.append(own)
+
+    try:
+        yield kept
+    finally:
+        own = _scopes.pop()
+    for path in own:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialgrid.llm.common import free_name, numbered, stored
+from trialgrid.llm.common import free_name, numbered, scratch, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, BROADCAST_ROWS = 10, 200_000
@@ -97,8 +97,9 @@ def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Rows of `docs` in which no item window occurs."""
     own = free_name(docs, "__rid")
     rows = numbered(docs, own, "rows")
-    _, _, found = _occurrences(rows.select(F.col(own).alias("__rid"), "doc_id", "text"), items, size)
-    bad = stored(found.select(F.col("rid").alias(own)).distinct(), "contaminated")
+    with scratch(docs.sparkSession) as kept:
+        _, _, found = _occurrences(rows.select(F.col(own).alias("__rid"), "doc_id", "text"), items, size)
+        bad = kept(found.select(F.col("rid").alias(own)).distinct(), "contaminated")
     few = bad.count() <= BROADCAST_ROWS
     return rows.join(F.broadcast(bad) if few else bad, own, "left_anti").select(*docs.columns)
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialgrid.llm.common import free_name, gram_hash, lean, mix64, numbered, stored, text_slices, word_table
+from trialgrid.llm.common import free_name, gram_hash, lean, mix64, numbered, scratch, stored, text_slices, word_table
 
 WORDS, COORDINATES, ROWS, MISS = 5, 48, 2, 1e-6
 #: Differences of more items don't travel with each posting; their pairs are confirmed on full sets alone.
@@ -191,7 +191,8 @@ def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
     signed = stored(rows.mapInArrow(lean(_signed), "rid long, doc_id long, n long, h1 long, h2 long, keys array<long>"), "signed")
     light = signed.select("rid", "doc_id", "n", "h1", "h2")
     classes = stored(light.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least")), "classes")
-    roots = _class_components(docs, signed, classes, threshold)
+    with scratch(docs.sparkSession) as kept:
+        roots = kept(_class_components(docs, signed, classes, threshold), "roots")
     named = classes.join(roots, classes.cid == roots.node, "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(least, "root").select("h1", "h2", F.col("n").alias("size"), "root", "component_id")
