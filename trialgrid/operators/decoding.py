@@ -247,17 +247,18 @@ def generalisation(trials: DataFrame, channels: int, samples: int, size: int, st
 # --- nearest centroids ---
 
 
-def centroid_hits(z: DataFrame, labels: DataFrame, features: int) -> DataFrame:
+def centroid_hits(z: DataFrame, labels: DataFrame, features: int | None = None) -> DataFrame:
     """(perm, n, hits): trials whose nearest centroid, of the labels of the other folds, has the trial's own label in that perm; the smallest label on ties (to 6 places).
 
-    z: trial, fold, pos (0 to features - 1), z, no nulls. labels: perm (from 0, all numbers), trial, label. A trial is one row with its features and its labels of
+    z: trial, fold, pos (0 to features - 1; without that number as many as there are), z, no nulls. labels: perm (from 0, all numbers), trial, label. A trial is one row with its features and its labels of
     all perms; each task adds up class sums for all perms at once, and these, perms x classes x features a fold, go along with the second pass.
     """
     x = z.groupBy("trial", "fold").agg(F.array_sort(F.collect_list(F.struct("pos", "z"))).alias("x"))  # `features` entries
     y = labels.groupBy("trial").agg(F.array_sort(F.collect_list(F.struct("perm", "label"))).alias("y"))  # as many as perms
     rows = written(x.join(y, "trial").select("fold", F.transform("x", lambda v: v["z"]).alias("x"), F.transform("y", lambda v: v["label"]).alias("y")), "centroids")
     classes = [r.label for r in labels.filter("perm = 0").select("label").distinct().orderBy("label").collect()]
-    perms = rows.agg(F.max(F.size("y"))).first()[0] or 0
+    perms, found = (n or 0 for n in rows.agg(F.max(F.size("y")), F.max(F.size("x"))).first())
+    features = features or found
     c = len(classes)
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
