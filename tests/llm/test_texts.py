@@ -583,3 +583,35 @@ def test_pages(spark):
     texts = {r.page_id: r.text for r in htmltext.extract(odd).collect()}
     assert texts == {1: "", 2: "", 3: "a < b c d\ne", None: ""}
     assert htmltext.extract(odd.limit(0)).count() == 0
+
+
+def test_steps_of_components_leave_no_shuffle_files_and_write_few(spark):
+    """On few edges each step of the components writes one file however many shuffle partitions there are, and a stored table leaves no shuffle file behind."""
+    from pathlib import Path
+
+    from trialgrid.llm.common import stored
+
+    def shuffled():
+        return {p.name for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(k) for k in names]
+    for k, v in zip(names, ("61", "false")):
+        spark.conf.set(k, v)
+    try:
+        edges = stored(spark.createDataFrame([(i + 1, i) for i in range(20)] + [(100, 100 + i) for i in range(1, 40)], "a long, b long"), "edges")
+        with neardup.scratch(spark) as kept:
+            found = kept(neardup.connected(edges, "cc"), "roots")
+            paths = [Path(p.removeprefix("file:")) for p in common._scopes[-1]]
+            written = [len(list(p.glob("part-*"))) for p in paths]
+        assert {r.node: r.root for r in found.collect()} == {i: 0 for i in range(1, 21)} | {100 + i: 100 for i in range(1, 40)}
+        assert len(written) > 2 and set(written) == {1}
+        had = shuffled()
+        stored(spark.range(1000).groupBy(F.col("id") % 7).count(), "sevenths")
+        wait = time.time() + 20
+        while shuffled() - had and time.time() < wait:
+            time.sleep(0.2)
+        assert not shuffled() - had
+    finally:
+        for k, v in zip(names, before):
+            spark.conf.set(k, v)

@@ -46,6 +46,8 @@ CARRIED = 512
 SALTS = 64
 #: Up to as many row numbers or doc_ids (8 bytes each, counted before) go to every task; more are joined by shuffle, with equal results.
 SENT = 1 << 21
+#: Edges of a graph that go to one task, and so to one file, at most on average.
+EDGES = 1 << 16
 _random = np.random.RandomState(20)
 _A = _random.randint(1, 1 << 62, COORDINATES * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.randint(1, 1 << 62, COORDINATES * ROWS).astype(np.uint64)
@@ -142,7 +144,8 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
     """Components of an undirected graph (a, b): (node, root) with the smallest node of each as root, for nodes with edges.
 
     Alternates the large-star and small-star steps; each writes its edges to the shared folder, so lineage stays short and
-    a lost executor costs no step again. Hubs are combined before the shuffle; no neighbour list is ever gathered.
+    a lost executor costs no step again. Hubs are combined before the shuffle; no neighbour list is ever gathered. The edges,
+    counted before, tell how many tasks write: each file of a step, however small, would take three of every shuffle of the next.
     """
 
     def star(pairs: DataFrame, larger: bool) -> DataFrame:
@@ -155,13 +158,15 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
         return below.unionByName(least.filter("m < u").select(F.col("u").alias("a"), F.col("m").alias("b")))
 
     tidy = lambda df: df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before = stored(tidy(edges), name), None
+    tasks = lambda n: max(1, -(-n // EDGES))
+    now, before = stored(tidy(edges).coalesce(tasks(edges.count())), name), None
     while True:
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == before:
             return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
         before = mark
-        now = stored(tidy(star(star(now, True), False)), name)
+        large = stored(star(now, True).coalesce(tasks(mark[0])), name)
+        now = stored(tidy(star(large, False)).coalesce(tasks(mark[0])), name)
 
 
 def _linked(threshold: int) -> Column:
@@ -209,8 +214,8 @@ def one_of_each(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """Rows of `docs`, one of each group: the one with the smallest doc_id (null last), of those the first. Empty texts all stay."""
     own = free_name(docs, "__rid")
     rows = numbered(docs, own, "rows")
-    found = _grouped(rows.select("doc_id", "text", F.col(own).alias("__rid")), threshold)
-    found = stored(found.select("rid", "doc_id", "root"), "grouped")
+    with scratch(docs.sparkSession) as kept:
+        found = kept(_grouped(rows.select("doc_id", "text", F.col(own).alias("__rid")), threshold).select("rid", "doc_id", "root"), "grouped")
     best = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best"))
     goes = stored(found.filter("root is not null").join(best.select("best.rid"), "rid", "left_anti").select(F.col("rid").alias(own)), "goes")
     few = goes.count() <= SENT
