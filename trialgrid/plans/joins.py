@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialgrid.operators import joins as jn
+from trialgrid.operators.pairs import correlations
 from trialgrid.plans.queries import query, tidy
 from trialgrid.sources import views as v
 
@@ -59,10 +60,9 @@ def contact_lookup(spark, d):
 @query("select a.subject, a.channel as a, b.channel as b, round(corr(a.value, b.value) + 1e-9, 6) as r from signal a join signal b on a.subject = b.subject and a.phase = b.phase and a.sample = b.sample where a.phase = 'F' and right(a.channel, 1) in ('1', '3', '5', '7', '9') and right(b.channel, 1) in ('0', '2', '4', '6', '8') group by all")
 def label_group_pairs(spark, d):
     """Pairs of a channel of one label group with one of the other in the same subject; they meet by sample, so pairs without one in common don't exist."""
-    s = v.signal(spark, d).filter("phase = 'F'")
-    odd = F.right("channel", F.lit(1)).isin("1", "3", "5", "7", "9")
-    a, b = s.filter(odd).select("subject", "sample", F.col("channel").alias("a"), F.col("value").alias("x")), s.filter(~odd).select("subject", "sample", F.col("channel").alias("b"), F.col("value").alias("y"))
-    return a.join(b, ["subject", "sample"]).groupBy("subject", "a", "b").agg(tidy(F.corr("x", "y"), "r"))
+    digit = F.right("channel", F.lit(1))
+    even = F.when(digit.isin("0", "2", "4", "6", "8"), True).when(digit.isin("1", "3", "5", "7", "9"), False)  # other labels are in neither group
+    return correlations(v.evoked(spark, d).filter("phase = 'F'"), ["subject"], "channel", "sample", right=even).select("subject", "a", "b", tidy("r", "r"))
 
 
 @query("select channel, phase, sample, round(p + 1e-9, 6) as p, round(base + 1e-9, 6) as base from (select channel, phase, sample from signal) join (select sample, 1 / (1 + avg(value)) as p from signal group by sample) using (sample) join (select phase, sample, min(value) as base from signal group by all) using (phase, sample)")

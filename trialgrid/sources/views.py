@@ -25,12 +25,17 @@ def signal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def evoked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trial averages by channel, phase and sample."""
+    return signal_rows(spark, sf_dir).groupBy("channel", "subject", "roi", "hemi", "phase", "sample").agg(F.avg("value").alias("value"))
+
+
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trial averages by channel, phase and sample, with a significance mask at half a deviation over the channel's mean."""
-    evoked = signal_rows(spark, sf_dir).groupBy("channel", "subject", "roi", "hemi", "phase", "sample").agg(F.avg("value").alias("value"))
-    level = evoked.groupBy("channel", "phase").agg(F.avg("value").alias("mu"), F.stddev_samp("value").alias("sd"))
+    """Trial averages with their time and a significance mask at half a deviation over the channel's mean."""
+    cells = evoked(spark, sf_dir)
+    level = cells.groupBy("channel", "phase").agg(F.avg("value").alias("mu"), F.stddev_samp("value").alias("sd"))
     over = F.round(F.col("value") - F.col("mu") - F.col("sd") / 2, 9) > 0
-    return evoked.join(level, ["channel", "phase"]).select("channel", "subject", "roi", "hemi", "phase", "sample", ((F.col("sample") - TICK_ORIGIN) / F.lit(12.0)).alias("time"), "value", F.coalesce(over, F.lit(False)).alias("mask"))
+    return cells.join(level, ["channel", "phase"]).select("channel", "subject", "roi", "hemi", "phase", "sample", ((F.col("sample") - TICK_ORIGIN) / F.lit(12.0)).alias("time"), "value", F.coalesce(over, F.lit(False)).alias("mask"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
