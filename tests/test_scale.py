@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialgrid.operators.pairs import correlations
-from trialgrid.plans import joins, statistics
+from trialgrid.plans import joins, queries, statistics
 from trialgrid.plans.queries import ORACLES
 
 SF = "/root/testdata/sf0.001"
@@ -75,6 +75,13 @@ def test_blocks_of_groups(spark, block, part):
     close({(x.g, x.a, x.b): (x.r, x.n) for x in got}, joined(rows, "right(a.c, 1) in ('1', '3', '5', '7', '9') and right(b.c, 1) in ('0', '2', '4', '6', '8')"))
 
 
+@pytest.mark.parametrize("block, part", [(1024, 256), (4, 256), (1024, 7), (5, 6)])
+def test_blocks_of_pairs(spark, block, part):
+    df, rows = made_series(spark)
+    got = correlations(df, ["g"], "c", "s", "v", None, block, part).collect()
+    close({(x.g, x.a, x.b): (x.r, x.n) for x in got}, joined(rows, "a.c < b.c"))
+
+
 def shuffled_bytes(spark, run):
     """Bytes that the stages of `run` write for shuffles."""
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
@@ -116,3 +123,10 @@ def test_group_pairs_shuffle_series_not_pairs(spark, spread, tmp_path):
     written = shuffled_bytes(spark, lambda: got.append(joins.label_group_pairs(spark, str(tmp_path)).toPandas()))
     same(got[0], wanted("label_group_pairs", tmp_path, made), ["subject", "a", "b"])
     assert len(got[0]) == 150 * 150 and written < 3_000_000, written
+
+
+def test_pearson_pairs_shuffle_series_not_pairs(spark, spread, tmp_path):
+    made, got = many_channels(spark, tmp_path), []
+    written = shuffled_bytes(spark, lambda: got.append(queries.pearson_pairs(spark, str(tmp_path)).toPandas()))
+    same(got[0], wanted("pearson_pairs", tmp_path, made), ["subject", "phase", "a", "b"])
+    assert len(got[0]) == 300 * 299 // 2 and written < 3_000_000, written

@@ -119,10 +119,10 @@ def _moments(a: dict, b: dict) -> dict[str, np.ndarray]:
         "rows": a["rows"] @ b["rows"].T, "n": n, "mx": whole_a @ b["count"].T / few, "my": a["count"] @ whole_b.T / few,
         "xx": qx - sx * sx / few, "yy": qy - sy * sy / few, "xy": sum_a @ sum_b.T - sx * sy / few, "bad": np.zeros_like(n),
     }
-    for x, y in ((a, b), (b, a)):
-        if x["bad"] is not None:
-            bad = x["bad"] @ y["count"].T
-            got["bad"] += bad if x is a else bad.T
+    if a["bad"] is not None:
+        got["bad"] += a["bad"] @ b["count"].T
+    if b["bad"] is not None:
+        got["bad"] += a["count"] @ b["bad"].T
     got["xx"][n == 1] = got["yy"][n == 1] = got["xy"][n == 1] = 0
     again = np.argwhere((n > 1) & ((got["xx"] <= CLOSE * qx) | (got["yy"] <= CLOSE * qy)))
     step = max(1, (1 << 20) // a["mean"].shape[1])

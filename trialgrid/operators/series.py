@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialgrid.operators.pairs import correlations
 from trialgrid.operators.summaries import least_from_here, ranked
 from trialgrid.sources.work import written
 
@@ -66,9 +67,7 @@ def window_grid(df: DataFrame, keys: list[str], order: str, size: int, step: int
 
 def pearson_pairs(df: DataFrame, within: list[str], channel: str, order: str, value: str = "value") -> DataFrame:
     """Correlation of every ordered pair of channels that share the keys `within`, on samples both have."""
-    a = df.select(*within, order, F.col(channel).alias("a"), F.col(value).alias("va"))
-    b = df.select(*within, order, F.col(channel).alias("b"), F.col(value).alias("vb"))
-    return a.join(b, [*within, order]).filter("a < b").groupBy(*within, "a", "b").agg(F.corr("va", "vb").alias("r"), F.count("*").alias("n"))
+    return correlations(df, within, channel, order, value)
 
 
 def lagged_correlation(left: DataFrame, right: DataFrame, keys: list[str], order: str, x: str, y: str, lags: range) -> DataFrame:

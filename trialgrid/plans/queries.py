@@ -76,7 +76,7 @@ def hopping_mean(spark, d):
 
 @query("select a.subject, a.phase, a.channel as a, b.channel as b, round(corr(a.value, b.value) + 1e-9, 6) as r, count(*) as n from signal a join signal b on a.subject = b.subject and a.phase = b.phase and a.sample = b.sample and a.channel < b.channel group by all having count(*) > 5")
 def pearson_pairs(spark, d):
-    return op.pearson_pairs(v.signal(spark, d), ["subject", "phase"], "channel", "sample").filter("n > 5").select("subject", "phase", "a", "b", r6("r"), "n")
+    return op.pearson_pairs(v.evoked(spark, d), ["subject", "phase"], "channel", "sample").filter("n > 5").select("subject", "phase", "a", "b", r6("r"), "n")
 
 
 @query("select roi, hemi, count(distinct channel) as n, count(distinct subject) as subjects from signal group by all")
